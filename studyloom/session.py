@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,11 +21,12 @@ def ship(spark: SparkSession) -> SparkSession:
     if getattr(context, "_studyloom_shipped", False):
         return spark
     here = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        target = os.path.join(folder, "studyloom.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(here.rglob("*.py")):
-                z.write(p, f"studyloom/{p.relative_to(here)}")
-        context.addPyFile(target)
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="studyloom-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may fetch it at any time
+    target = os.path.join(folder, "studyloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, f"studyloom/{p.relative_to(here)}")
+    context.addPyFile(target)
     context._studyloom_shipped = True
     return spark
