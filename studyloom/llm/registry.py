@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_language import op10_language
 from .op2_simhash import op2_simhash
+from .op5_repetition import SQL as OP5_SQL
+from .op5_repetition import op5_repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_repetition": op5_repetition,
+    "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_repetition": OP5_SQL}
