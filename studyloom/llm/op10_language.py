@@ -14,7 +14,7 @@ dictionary has at most pieces * piece_bytes bytes however large the corpus.
 Prediction is a map over rows: no shuffle, no hot key.
 
 A null text, or one without a letter, is `und` with score 0.  Ties go to the
-first language in alphabetical order, with score 0, and are rejected.  With
+language with more training rows, with score 0, and are rejected.  With
 no labelled training row every answer is `und`.  Repeated rows get equal
 answers; extra columns are ignored.
 """
@@ -32,16 +32,19 @@ from pyspark.sql import functions as F
 from . import textkit
 
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_SIGNS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def folded(text: str) -> bytes:
-    """The runs of letters, lower-cased, with single spaces between: case, digits and signs say little of the language."""
-    return " ".join(_LETTERS.findall(text.lower())).encode()
+    """The text lower-cased, with single spaces for runs of ASCII other than letters; empty without a letter."""
+    if not _LETTER.search(text):
+        return b""
+    return b" ".join(text.lower().encode().translate(_SIGNS).split())
 
 
 def dictionaries(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: int = 192, piece_bytes: int = 512) -> dict[str, bytes]:
-    """A raw-content dictionary for each language of the labelled rows.
+    """A raw-content dictionary for each language of the labelled rows, that with most rows first.
 
     Rows are thinned by a hash of the id to some four times the pieces wanted
     before anything is collected, so the driver gets a bounded number.
@@ -56,7 +59,7 @@ def dictionaries(train: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = F.pmod(F.xxhash64("id", F.lit("piece")), F.lit(1 << 30))
     found = rows.withColumn("order", order).where(F.col("order") < share * (1 << 30)).select("lang", "order", "id", F.substring("text", 1, piece_bytes).alias("piece")).collect()
     out = {}
-    for lang in sorted(count):
+    for lang in sorted(count, key=lambda x: (-count[x], x)):
         own = dict.fromkeys(r["piece"] for r in sorted((r for r in found if r["lang"] == lang), key=lambda r: (r["order"], r["id"])))
         out[lang] = b" ".join(folded(p)[:piece_bytes] for p in list(own)[:pieces])
     return out
@@ -68,16 +71,17 @@ def sizes(data: bytes, packers: list[zstandard.ZstdCompressor], block: int) -> l
     return [sum(len(p.compress(x)) for x in parts) for p in packers]
 
 
-def packers_of(dicts: dict[str, bytes], level: int) -> list[zstandard.ZstdCompressor]:
+def packers_of(dicts: dict[str, bytes], level: int, block: int) -> list[zstandard.ZstdCompressor]:
     out = []
     for content in dicts.values():
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        out.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
+        p = zstandard.ZstdCompressionParameters.from_level(level, source_size=block, dict_size=len(content), write_content_size=0, write_dict_id=0)
+        d.precompute_compress(compression_params=p)
+        out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
     return out
 
 
-def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", block: int = 1024, level: int = 3, least_margin: float = 0.01) -> DataFrame:
+def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", block: int = 2048, level: int = 6, least_margin: float = 0.01) -> DataFrame:
     """(id, lang_pred, score, rejected) for each row.
 
     score is the margin between the best two totals as a share of the second,
@@ -86,7 +90,7 @@ def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
     given = docs.sparkSession.sparkContext.broadcast(dicts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, packers = list(given.value), packers_of(given.value, level)
+        names, packers = list(given.value), packers_of(given.value, level, block)
         for batch in textkit.sliced(batches, "text", 8 << 20):
             pred, score, rejected = [], [], []
             for text in batch.column(1).to_pylist():

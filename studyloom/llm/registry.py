@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op10_language import op10_language
 from .op2_simhash import op2_simhash
+from .op3_pii import op3_pii
 from .op5_repetition import SQL as OP5_SQL
 from .op5_repetition import op5_repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
     "op5_repetition": op5_repetition,
     "op10_language": op10_language,
 }
