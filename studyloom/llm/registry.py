@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op10_language import op10_language
 from .op2_simhash import op2_simhash
 from .op3_pii import op3_pii
+from .op4_archive import op4_archive
 from .op5_repetition import SQL as OP5_SQL
 from .op5_repetition import op5_repetition
 from .op6_kdtree import op6_kdtree
@@ -17,6 +18,7 @@ from .op9_raking import op9_raking
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
+    "op4_archive": op4_archive,
     "op5_repetition": op5_repetition,
     "op6_kdtree": op6_kdtree,
     "op9_raking": op9_raking,

@@ -23,6 +23,8 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Lower case, and a space for every ASCII character but letters and digits.
+FOLDED = np.array([LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -118,10 +120,11 @@ class Words:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
 
-def words(column: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
+def words(column: pa.Array, mapped: np.ndarray | None = None, hashed: bool = True) -> Words:
+    """mapped: a table of 256 bytes through which the text goes first, such as LOWER."""
     buf, borders = raw(column)
-    if lower:
-        buf = LOWER[buf]
+    if mapped is not None:
+        buf = mapped[buf]
     start, end = runs(~IS_SPACE[buf], borders)
     hashes = segment_hashes(buf, start, end) if hashed else np.zeros(0, np.uint64)
     return Words(buf, start, end, hashes, np.searchsorted(start, borders))
