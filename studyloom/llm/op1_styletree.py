@@ -13,8 +13,8 @@ start, and elements that announce the article outweigh what lies outside.
 
 Entropies are counts by (host, path, feature), partially aggregated before
 the shuffle, so a host with a third of all pages has small groups.  Pages are
-parsed twice and their html is never shuffled with the counts; what is joined
-back is a short list of path importances for each page.
+parsed twice; their html moves once, by page, when the short list of path
+importances is joined back.
 
 Null or empty html gives an empty text; a null or odd url belongs to the
 host "".  Broken markup is read as far as it goes: an unclosed tag ends where

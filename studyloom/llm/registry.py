@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_styletree import op1_styletree
 from .op10_language import op10_language
 from .op2_simhash import op2_simhash
 from .op3_pii import op3_pii
@@ -17,6 +18,7 @@ from .op8_latent import op8_latent
 from .op9_raking import op9_raking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_styletree": op1_styletree,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
     "op4_archive": op4_archive,
