@@ -14,6 +14,7 @@ from .op4_archive import op4_archive
 from .op5_repetition import SQL as OP5_SQL
 from .op5_repetition import op5_repetition
 from .op6_kdtree import op6_kdtree
+from .op7_pitmanyor import op7_pitmanyor
 from .op8_latent import op8_latent
 from .op9_raking import op9_raking
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_archive": op4_archive,
     "op5_repetition": op5_repetition,
     "op6_kdtree": op6_kdtree,
+    "op7_pitmanyor": op7_pitmanyor,
     "op8_latent": op8_latent,
     "op9_raking": op9_raking,
     "op10_language": op10_language,
