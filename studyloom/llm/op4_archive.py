@@ -14,8 +14,9 @@ partial aggregation and the join back handles a digest that a third of all
 records share.
 
 Archives are written and read by Spark, so any store that Spark reaches will
-do: a record is a row of text whose line end is the record's own.  Files are
-bounded by `file_bytes`, the most that a task holds of an archive.
+do: a record is a row of text whose line end is the record's own, and files
+are compressed.  A file has as many records as make `file_bytes` on average,
+which bounds what a task holds of an archive.
 
 Null html is an empty payload; a null or odd url is percent-encoded, null as
 "-".  Repeated rows make equal records, of which each is kept.  Very long
@@ -25,6 +26,7 @@ pages are single records.  Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, written
+from .shared import dropped, fresh_path, removed, written
 
 ARC_SCHEMA = "version int, url string, ip string, stamp string, mime string, status string, block binary"
 WARC_SCHEMA = "headers map<string,string>, http binary, payload binary"
@@ -123,6 +125,8 @@ def _read(spark: SparkSession, path: str, parse: str, names: list[str], schema:
             for cell in batch.column(0):
                 rows, size = [], 0
                 data = cell.as_buffer().to_pybytes()
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
                 for row in parser(data):
                     rows.append(row)
                     size += sum(len(x) for x in row if isinstance(x, bytes)) + 500
@@ -153,18 +157,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "warc", ["headers", "http", "payload"], WARC_SCHEMA)
 
 
-def _write(records: DataFrame, path: str, end: str, total: int, file_bytes: int, salt: str) -> None:
-    """A row's text and its line end as a record, over as many files as the bytes need."""
-    n = max(1, ceil(total / file_bytes))
-    dealt = records.repartition(n, F.xxhash64("order", F.lit(salt))) if n > 1 else records.coalesce(1)
-    dealt.select("value").write.option("lineSep", end).text(path)
+def _records_in_file(total: int, count: int, file_bytes: int) -> int:
+    """How many records of the mean size make a file; tasks start a new file after so many."""
+    return max(1, int(file_bytes * count / max(1, total)))
+
+
+def _write(records: DataFrame, path: str, end: str, many: int) -> None:
+    """A row's text and its line end as a record, in compressed files of `many` records at most, without a shuffle."""
+    records.select("value").write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", many).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 2, file_bytes: int = 16 << 20) -> None:
     """Pages as ARC files: each a version block and the HTTP responses, with the page's key as a header field.
 
     The version block is part of each file's first record, so that Spark's
-    text writer makes whole archives; it comes first by a sort in each file.
+    text writer makes whole archives.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     url = F.coalesce(F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "%20"), F.lit("-"))
@@ -172,13 +179,12 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: st
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Key: "), F.col(key_col).cast("string"), F.lit("\r\nContent-Length: "), F.octet_length(html), F.lit("\r\n\r\n"), html)
     tail = F.lit(" 200 - - 0 pages.arc" if version == 2 else "")
     head = F.concat(url, F.lit(" 0.0.0.0 20080101000000 text/html"), tail, F.lit(" "), F.octet_length(http).cast("string"), F.lit("\n"))
-    rows = pages.select(F.concat(head, http).alias("value"), F.col(key_col).alias("order"))
-    total = pages.agg(F.sum(F.octet_length(html) + 300)).first()[0] or 0
-    n = max(1, ceil(total / file_bytes))
-    dealt = rows.repartition(n, F.xxhash64("order", F.lit("arc"))) if n > 1 else rows.coalesce(1)
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    whole = pages.agg(F.sum(F.octet_length(html) + 300).alias("bytes"), F.count("*").alias("n")).first()
+    many = _records_in_file(whole["bytes"] or 0, whole["n"], file_bytes)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in the task, which fills one file after the other
     block = F.lit(arc_version_block(version).decode())
-    dealt.select(F.when(first, F.concat(block, F.col("value"))).otherwise(F.col("value")).alias("value")).write.option("lineSep", "\n").text(path)
+    value = F.concat(F.when(place % many == 0, block).otherwise(F.lit("")), head, http)
+    _write(pages.select(value.alias("value")), path, "\n", many)
 
 
 def converted(records: DataFrame, key_field: str = "X-Key") -> DataFrame:
@@ -226,9 +232,9 @@ def write_warc(parts: DataFrame, path: str, least_bytes: int = 0, file_bytes: in
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     ]
-    rows = met.withColumn("block", block).select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("block")).alias("value"), F.col("record_id").alias("order"))
-    total = parts.agg(F.sum(F.octet_length("payload") + 700)).first()[0] or 0
-    _write(rows, path, "\r\n\r\n", total, file_bytes, "warc")
+    rows = met.withColumn("block", block).select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("block")).alias("value"))
+    whole = parts.agg(F.sum(F.col("payload_bytes") + 700).alias("bytes"), F.count("*").alias("n")).first()
+    _write(rows, path, "\r\n\r\n", _records_in_file(whole["bytes"] or 0, whole["n"], file_bytes))
 
 
 def op4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +246,10 @@ def op4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     legacy, modern = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, legacy)
-    write_warc(written(converted(read_arc(spark, legacy)), "warc-parts"), modern)
+    parts = written(converted(read_arc(spark, legacy)), "warc-parts")
+    dropped(spark, legacy)
+    write_warc(parts, modern)
+    removed(parts)
     h = F.col("headers")
     key = F.regexp_extract(F.col("http").cast("string"), r"(?i)\r\nX-Key:[ \t]*([0-9-]+)", 1).cast("long")
     back = written(
@@ -254,6 +263,7 @@ def op4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "warc-read",
     )
+    dropped(spark, modern)
     # equal rows have equal identifiers: one of each is what a revisit refers to
     first = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers")).agg(F.first("page_id").alias("refers_to"), F.first("own_bytes").alias("full_bytes"))
     return back.join(first, "refers", "left").select("page_id", F.coalesce("full_bytes", "own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

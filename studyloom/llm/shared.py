@@ -39,12 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a path of fresh_path(), once nothing reads it any more."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def removed(df: DataFrame) -> None:
-    """Delete what written() made, once nothing reads it any more."""
-    spark = df.sparkSession
+    """Delete what written() made."""
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        dropped(df.sparkSession, f)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
