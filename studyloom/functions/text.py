@@ -56,13 +56,6 @@ def quotable(quote: Column) -> Column:
     return (F.length(flat) >= 12) & (F.regexp_count(flat, F.lit(r"(?U)\w+")) >= 2)
 
 
-def canonical_quote(source: Column, quote: Column) -> Column:
-    """The span of source that the quote stands for, up to white space; null where there is none."""
-    words = F.split(collapsed(quote), " ")
-    pattern = F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), r"(?U:\s+)")
-    return F.when(quotable(quote), F.coalesce(F.when(F.contains(source, quote), quote), F.nullif(F.call_function("regexp_extract", source, pattern, F.lit(0)), F.lit(""))))
-
-
 def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z-]*"), F.lit(0))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.quotes import canonical_quote, canonical_quotes
 
 RAW_CHARS = 1800
 
@@ -79,10 +80,10 @@ def structured_chunks(sources: DataFrame) -> DataFrame:
     fields = ("header", "bullet_points", "key_terms", "summary_notes", "page_number")
     one = top.select("sourceId", "sourceName", "rawText", "i", F.lit(-1).alias("j"), "sectionId", *[F.col(f"s.{f}") for f in fields])
     two = below.select("sourceId", "sourceName", "rawText", "i", "j", F.concat_ws("-", "sourceId", "sectionId", F.col("j") + 1).alias("sectionId"), *[F.col(f"sub.{f}") for f in fields])
-    quotes = F.array_distinct(F.filter(F.transform(_joined(F.coalesce("bullet_points", F.array().cast("array<string>")), F.array(F.coalesce("summary_notes", F.lit("")))), lambda q: T.canonical_quote(F.col("rawText"), q)), lambda q: q.isNotNull()))
-    heading = T.canonical_quote(F.col("rawText"), F.col("header"))
-    both = one.unionByName(two).withColumn("quotes", quotes)
-    out = both.withColumn("evidence", F.when(F.size("quotes") > 0, F.col("quotes")).when(heading.isNotNull(), F.array(heading)).otherwise(F.array().cast("array<string>")))
+    points = _joined(F.coalesce("bullet_points", F.array().cast("array<string>")), F.array(F.coalesce("summary_notes", F.lit(""))))
+    both = one.unionByName(two).withColumn("points", points)
+    both = both.withColumn("quotes", canonical_quotes(F.col("rawText"), F.col("points"))).withColumn("own", canonical_quote(F.col("rawText"), F.col("header")))
+    out = both.withColumn("evidence", F.when(F.size("quotes") > 0, F.col("quotes")).when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array().cast("array<string>")))
     return out.where(F.size("evidence") > 0).select("sourceId", "sourceName", "sectionId", F.coalesce(T.blank_to_null(F.col("header")), F.lit("Study material")).alias("heading"), "page_number", "bullet_points", "key_terms", "evidence", "i", "j")
 
 

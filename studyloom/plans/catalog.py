@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import quotes
 from ..functions import text as T
 from ..functions.keyterms import key_terms_of
 from ..functions.similarity import ratio
@@ -297,7 +298,7 @@ def answer_prefix(spark: SparkSession, d: str) -> DataFrame:
 def canonical_quote(spark: SparkSession, d: str) -> DataFrame:
     """The first line with doubled spaces, found again in the source as it stands there."""
     line = F.element_at(lines(F.col("text")), 1)
-    return table(spark, d, "documents").select("doc_id", T.canonical_quote(F.col("text"), F.replace(line, F.lit(" "), F.lit("  "))).alias("quote"))
+    return table(spark, d, "documents").select("doc_id", quotes.canonical_quote(F.col("text"), F.replace(line, F.lit(" "), F.lit("  "))).alias("quote"))
 
 
 # --- chunks --------------------------------------------------------------------------------------------------------
@@ -363,8 +364,8 @@ _GROUNDED = f"(SELECT d.doc_id, b.item_id FROM {_FLAT_D} d JOIN {_FLAT_B} b ON c
 
 def _grounded(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("quote"))
-    return grounding.grounded(docs, quotes)
+    evidence = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("quote"))
+    return grounding.grounded(docs, evidence)
 
 
 @query(f"SELECT * FROM {_GROUNDED} g")
