@@ -110,12 +110,28 @@ def blocked(w: textkit.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return first[text] + (np.arange(len(w.hash)) - w.first[text]) // size, np.repeat(np.arange(len(count)), blocks), first
 
 
-def _sums(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by ascending group number, for groups 0 to n - 1."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(group):
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        out[group[start]] = np.add.reduceat(rows, start, axis=0)
+def _sums(table: np.ndarray, row: np.ndarray, group: np.ndarray, n: int, step: int = 1024, small: int = 48) -> np.ndarray:
+    """Sums of table[row] by ascending group number, for groups 0 to n - 1.
+
+    Groups of few rows are added up side by side, their first rows, their
+    second rows and so on, in steps that stay in the cache; large ones singly.
+    """
+    out = np.zeros((n, table.shape[1]), np.float32)
+    if not len(row):
+        return out
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    count = np.diff(np.append(start, len(row)))
+    for i in np.flatnonzero(count > small):
+        out[group[start[i]]] = table[row[start[i] : start[i] + count[i]]].sum(0)
+    few = np.flatnonzero(count <= small)
+    few = few[np.argsort(-count[few], kind="stable")]
+    for at in range(0, len(few), step):
+        own = few[at : at + step]
+        sums = table[row[start[own]]]
+        for k in range(1, int(count[own[0]])):
+            m = int(np.searchsorted(-count[own], -k, "left"))
+            sums[:m] += table[row[start[own[:m]] + k]]
+        out[group[start[own]]] = sums
     return out
 
 
@@ -199,13 +215,14 @@ def sketch(docs: DataFrame, items: Items, idf: np.ndarray, omega: np.ndarray, s:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it, weight, om = given.value
+        om = om * weight[:, None]
         total, n = np.zeros((len(weight), wide), np.float64), 0
         for batch in textkit.sliced(batches, "text", 1 << 20):
             _, b, term, norm, same, _ = passages(it, weight, batch.column(0), s)
             if not len(b):
                 n += len(norm)
                 continue
-            one = _sums(om[term] * weight[term, None], b, len(norm))
+            one = _sums(om, term, b, len(norm))
             two = one.copy()
             two[:-1] += np.where(same[:-1, None], one[1:], 0)
             scale = 1 / np.maximum(norm, 1e-9) ** 2
@@ -213,7 +230,7 @@ def sketch(docs: DataFrame, items: Items, idf: np.ndarray, omega: np.ndarray, s:
             back = two.copy()
             back[1:] += np.where(same[:-1, None], two[:-1], 0)  # a block lies in its own passage and in the one before
             order = np.argsort(term, kind="stable")
-            total += _sums(back[b[order]] * weight[term[order], None], term[order], len(weight))
+            total += _sums(back, b[order], term[order], len(weight)) * weight[:, None]
             n += len(norm)
         some = [i for i in range(0, len(total), band) if total[i : i + band].any()]
         yield pa.record_batch([pa.array([-1, *some], pa.int64()), pa.array([n, *[0] * len(some)], pa.int64()), pa.array([b"", *(total[i : i + band].tobytes() for i in some)], pa.binary())], names=["at", "n", "part"])
@@ -286,7 +303,7 @@ class Search:
 
     items: Items
     idf: np.ndarray
-    table: np.ndarray  # for each term its latent vector, or at once its products with the items
+    table: np.ndarray  # for each term its weighted latent vector, or at once its products with the items
     targets: np.ndarray | None  # the items' latent vectors, where table has none of them
     owner: np.ndarray
     settings: Settings
@@ -297,7 +314,7 @@ class Search:
         w, b, term, norm, same, first = passages(self.items, self.idf, column, s)
         if not len(b):
             return []
-        one = _sums(self.table[term] * self.idf[term, None], b, len(norm))
+        one = _sums(self.table, term, b, len(norm))
         one[:-1] += np.where(same[:-1, None], one[1:], 0)
         if self.targets is not None:
             one = one @ self.targets.T
@@ -341,9 +358,9 @@ def searches(docs: DataFrame, benchmark: DataFrame, s: Settings, id_col: str = "
         own = vectors @ space
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
         if len(own) <= space.shape[1]:
-            yield Search(it, idf, space @ own.T, None, owner, s)
+            yield Search(it, idf, idf[:, None] * (space @ own.T), None, owner, s)
         else:
-            yield Search(it, idf, space, own, owner, s)
+            yield Search(it, idf, idf[:, None] * space, own, owner, s)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
