@@ -303,23 +303,32 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def site_of(host: str, path: int) -> int:
+    """One number for a path on a host."""
+    return _key(host, path)
+
+
 def importances(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (id, url, html): (host, path, pages, presentation, content, styles), and the paths (id, host, path) of every page."""
+    """From (id, url, html): (site, pages, presentation, content, styles), and the sites (id, site) of every page.
+
+    A site is a path on a host, see site_of; the last bit of a feature tells
+    styles (0) from texts (1).  So what is shuffled is three numbers a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.sliced(batches, "html", 1 << 20):
             rows: list[tuple] = []
             for key, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 host = host_of(url)
-                rows += [(key, host, *f) for f in sorted(features(parse(source or "")))]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [batch.schema.types[0], pa.string(), pa.int64(), pa.int8(), pa.int64()], strict=True)], names=["id", "host", "path", "kind", "feature"])
+                rows += [(key, site_of(host, path), f & ~1 | kind) for path, kind, f in sorted(features(parse(source or "")))]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [batch.schema.types[0], pa.int64(), pa.int64()], strict=True)], names=["id", "site", "feature"])
 
     kind = pages.schema["id"].dataType.simpleString()
-    found = written(pages.mapInArrow(run, f"id {kind}, host string, path long, kind byte, feature long"), "page-features")
-    counts = found.groupBy("host", "path", "kind", "feature").agg(F.count("*").cast("double").alias("c"))
-    style, text = F.col("kind") == 0, F.col("kind") == 1
-    sums = counts.groupBy("host", "path").agg(
+    found = written(pages.mapInArrow(run, f"id {kind}, site long, feature long"), "page-features")
+    counts = found.groupBy("site", "feature").agg(F.count("*").alias("c"))
+    style, text = F.col("feature") % 2 == 0, F.col("feature") % 2 != 0
+    sums = counts.groupBy("site").agg(
         F.sum(F.when(style, F.col("c"))).alias("pages"),
         F.sum(F.when(style, F.col("c") * F.log("c"))).alias("clogc"),
         F.count(F.when(style, 1)).alias("styles"),
@@ -328,8 +337,8 @@ def importances(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = F.log("pages")
     presentation = F.when(F.col("pages") > 1, (m - F.col("clogc") / F.col("pages")) / m).otherwise(1.0)
     content = F.when(F.col("pages") > 1, 1 - F.least(F.lit(1.0), F.coalesce("text_log", F.lit(0.0)) / m)).otherwise(1.0)
-    model = sums.select("host", "path", F.col("pages").cast("long").alias("pages"), presentation.alias("presentation"), content.alias("content"), "styles")
-    return model, found.where(style).select("id", "host", "path")
+    model = sums.select("site", F.col("pages").cast("long").alias("pages"), presentation.alias("presentation"), content.alias("content"), "styles")
+    return model, found.where(style).select("id", "site")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_importance: float = 0.1) -> DataFrame:
@@ -339,16 +348,19 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     model, paths = importances(keyed.select("id", "url", "html"))
     # a page's own paths with what its host says of them; rows repeated in the input repeat here and are merged
     telling = model.where(F.col("pages") >= least_pages)
-    lists = paths.join(telling, ["host", "path"]).groupBy("id").agg(F.collect_set(F.struct("path", "pages", "presentation", "content", "styles")).alias("known"))
+    lists = paths.join(telling, "site").groupBy("id").agg(F.collect_set(F.struct("site", "pages", "presentation", "content", "styles")).alias("known"))
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.sliced(batches, "html", 1 << 20):
             hosts, out = [], []
             for url, source, known in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                table = {k["path"]: (k["pages"], k["presentation"], k["content"], k["styles"]) for k in known or ()}
-                hosts.append(host_of(url))
-                out.append(extract(parse(source or ""), table, least_pages, least_importance))
+                table = {k["site"]: (k["pages"], k["presentation"], k["content"], k["styles"]) for k in known or ()}
+                host = host_of(url)
+                hosts.append(host)
+                page = parse(source or "")
+                known = {n.path: table[x] for n in page.nodes if (x := site_of(host, n.path)) in table} if table else {}
+                out.append(extract(page, known, least_pages, least_importance))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(out, pa.string())], names=["page", "url", "host", "text"])
 
     return keyed.join(lists, "id", "left").select("page", "url", "html", "known").mapInArrow(run, f"page {kind}, url string, host string, text string")

@@ -61,11 +61,12 @@ def _summed(cells: DataFrame, dim: str) -> DataFrame:
     return cells.groupBy(dim).agg(F.sum("w").alias("sum"), F.first(f"t_{dim}").alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, most_sweeps: int = 40) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, most_sweeps: int = 20) -> DataFrame:
     """cells (source, lang, topic, tokens) with weights w whose marginals match the targets.
 
     targets has for each dimension a table (dim, target) of shares; values without a target get weight 0.
-    Cells of zero tokens stay at 0.  Stops once every marginal is within the relative tolerance.
+    Cells of zero tokens stay at 0.  Where no weights can meet all targets, because cells are missing, the last
+    sweep's weights are the answer and meet the last dimension.  Stops once every marginal is within the relative tolerance.
     """
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMS:

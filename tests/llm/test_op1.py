@@ -55,8 +55,9 @@ def brute_importances(pages):
 def test_importances_against_their_definition(spark):
     pages = [(i, f"http://h{i % 3}.org/{i}", f"<body><div class=x>same</div><div><p>text {i}</p>{'<p>more' if i % 2 else ''}</div></body>") for i in range(30)]
     df = spark.createDataFrame(pages, "id long, url string, html string").repartition(4)
-    got = {(r["host"], r["path"]): (r["pages"], r["presentation"], r["content"]) for r in H.importances(df)[0].collect()}
+    got = {r["site"]: (r["pages"], r["presentation"], r["content"]) for r in H.importances(df)[0].collect()}
     want = brute_importances([(u, h) for _, u, h in pages])
+    want = {H.site_of(*k): v for k, v in want.items()}
     assert got.keys() == want.keys()
     for k in want:
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want[k], strict=True))

@@ -64,7 +64,8 @@ def test_odd_rows(odd_docs, no_docs):
 
 
 def test_raked_marginals_meet_their_targets(hot_docs):
-    docs = hot_docs.withColumn("text", F.concat_ws(" ", "text", F.repeat(F.lit(" a b"), (F.col("doc_id") % 11).cast("int"))))
+    mixed = F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit(None)), (F.xxhash64("doc_id") % 3 + 3).cast("int") % 3 + 1)
+    docs = hot_docs.withColumn("text", F.repeat(F.lit("a b "), (F.abs(F.xxhash64("doc_id", F.lit(1))) % 300).cast("int"))).withColumn("lang", mixed)
     cells = M.mixing(docs, share=0.5, power=0.5)
     rows = cells.collect()
     for d in M.DIMS:

@@ -1,15 +1,20 @@
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from studyloom.llm import op7_pitmanyor as L
 from studyloom.llm import op10_language as Z
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test module
+
+
 def tokens(text):
     return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + [""]
 
