@@ -26,6 +26,8 @@ def _finder(quotes: list[tuple[int, str]]):
     by_text: dict[str, list[int]] = {}
     for key, q in quotes:
         by_text.setdefault(q, []).append(key)
+    if not by_text:
+        return lambda text: []
     try:
         import ahocorasick
     except ImportError:
