@@ -114,3 +114,8 @@ def concatenated(selected: DataFrame) -> DataFrame:
     """One source for each request: names joined by " + ", texts by an empty line, in the order of selection."""
     rows = F.array_sort(F.collect_list(F.struct("ordinal", "id", "name", "source_text")))
     return selected.groupBy("request").agg(rows.alias("r")).select("request", F.array_join("r.id", ",").alias("ids"), F.array_join("r.name", " + ").alias("name"), F.array_join("r.source_text", "\n\n").alias("source"))
+
+
+def in_scope(modules: DataFrame, scope: str) -> DataFrame:
+    """Modules of one scope ("demo", "mine"), or of any ("all")."""
+    return modules if scope == "all" else modules.where(F.col("scope") == scope)

@@ -10,7 +10,7 @@ from ..functions import quotes
 from ..functions import text as T
 from ..functions.keyterms import key_terms_of
 from ..functions.similarity import ratio
-from ..operators import analytics, chunking, dedup, grounding, planning, provider, structure, tables, validation
+from ..operators import analytics, chunking, dedup, facts, grounding, planning, provider, structure, tables, validation
 from ..sources.files import supported
 from .registry import query, table
 from .views import ATTEMPTS, CALLS, FOLD, MODULES, QUESTIONS, attempts, calls, lines, lines_sql, modules, questions, raw_sources, stem_key_sql
@@ -643,3 +643,60 @@ def combined_results(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, ((l_linenumber - 1) // 5)::BIGINT AS page_batch FROM lineitem")
 def page_batches(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor((F.col("l_linenumber") - 1) / 5).alias("page_batch"))
+
+
+# --- more of the library's operations ------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in facts.CLOZE_STOP)
+
+
+@query(rf"""WITH l AS (SELECT doc_id AS id, pos, trim(regexp_replace(ls[pos], '^\s*[-*#]+\s*', '')) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+p AS (SELECT id, pos, trim(left(line, c - 1)) AS term, trim(substr(line, c + 1)) AS definition FROM (SELECT *, instr(line, ':') AS c FROM l WHERE line <> '') WHERE c > 2 AND c <= 100 AND length(trim(substr(line, c + 1))) > 15),
+t AS (SELECT id FROM p GROUP BY 1 HAVING count(*) >= 4),
+s AS (SELECT id, pos, trim(ss[pos]) AS definition FROM (SELECT doc_id AS id, ss, unnest(range(1, len(ss) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]?') AS ss FROM documents WHERE doc_id NOT IN (SELECT id FROM t)))),
+w AS (SELECT *, list_filter(regexp_extract_all(definition, '[a-zA-Z][a-zA-Z-]{{4,}}'), lambda x: lower(x) NOT IN ({_STOP})) AS ws FROM s WHERE length(definition) > 35),
+c AS (SELECT id, pos, definition, list_reduce(ws, lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS term FROM w WHERE len(ws) > 0)
+SELECT id, 'topic' AS mode, term, definition FROM (SELECT *, row_number() OVER (PARTITION BY id, lower(term) ORDER BY pos) AS a, row_number() OVER (PARTITION BY id, lower(definition) ORDER BY pos) AS b FROM p WHERE id IN (SELECT id FROM t)) WHERE a = 1 AND b = 1
+UNION ALL SELECT id, 'cloze', term, definition FROM (SELECT *, row_number() OVER (PARTITION BY id, lower(term) ORDER BY pos) AS a FROM c) WHERE a = 1""")
+def study_facts(spark: SparkSession, d: str) -> DataFrame:
+    return facts.facts(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'demo' ELSE 'mine' END AS scope FROM documents WHERE doc_id % 3 > 0")
+def module_filter(spark: SparkSession, d: str) -> DataFrame:
+    scoped = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "demo").otherwise("mine").alias("scope"))
+    return tables.in_scope(scoped, "mine")
+
+
+@query("SELECT event_id, strftime(ts, '%a') AS weekday, strftime(ts, '%b ') || day(ts) AS label, ts::DATE - 6 AS first_day FROM events")
+def date_labels(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp_ntz")
+    return table(spark, d, "events").select("event_id", F.date_format(ts, "E").alias("weekday"), F.date_format(ts, "MMM d").alias("label"), F.date_sub(F.to_date(ts), 6).alias("first_day"))
+
+
+@query()
+def label_split(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat(F.lit("Causes: "), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" Risk factors: age"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.labels(t), "|").alias("labels"), F.size(T.label_parts(t)).alias("parts"))
+
+
+@query("SELECT p_partkey, len(list_distinct(list_transform(o, lambda x: lower(trim(x))))) = len(o) AS options_differ FROM (SELECT p_partkey, [p_name, upper(p_name) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '!' END, p_brand, p_type] AS o FROM part)")
+def distinct_options(spark: SparkSession, d: str) -> DataFrame:
+    o = F.array("p_name", F.concat(F.upper("p_name"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("!")), "p_brand", "p_type")
+    folded = F.transform(o, lambda x: F.lower(F.trim(x)))
+    return table(spark, d, "part").select("p_partkey", (F.size(F.array_distinct(folded)) == F.size(o)).alias("options_differ"))
+
+
+@query("SELECT 'customer' AS kind, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY 2")
+def union_rounds(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("nation"))
+    s = table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("nation"))
+    return c.unionByName(s).groupBy("kind", "nation").agg(F.count("*").alias("n"))
+
+
+@query()
+def extraction_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's structure against the rules of an extraction result, page 2 being expected too for every third."""
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page_number"), "text")
+    found = structure.structured(pages).withColumn("pages", F.when(F.col("doc") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return structure.checked(found).select("doc", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
