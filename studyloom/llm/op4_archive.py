@@ -18,7 +18,7 @@ do: a record is a row of text whose line end is the record's own, and files
 are compressed.  A file has as many records as make `file_bytes` on average,
 which bounds what a task holds of an archive.
 
-Null html is an empty payload; a null or odd url is percent-encoded, null as
+Null html is an empty payload; a null key stays null and counts as smallest; a null or odd url is percent-encoded, null as
 "-".  Repeated rows make equal records, of which each is kept.  Very long
 pages are single records.  Extra columns are ignored.
 """
@@ -176,7 +176,7 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: st
     html = F.coalesce(F.col(html_col), F.lit(""))
     url = F.coalesce(F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "%20"), F.lit("-"))
     url = F.when(url == "", "-").otherwise(url)
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Key: "), F.col(key_col).cast("string"), F.lit("\r\nContent-Length: "), F.octet_length(html), F.lit("\r\n\r\n"), html)
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Key: "), F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html), F.lit("\r\n\r\n"), html)
     tail = F.lit(" 200 - - 0 pages.arc" if version == 2 else "")
     head = F.concat(url, F.lit(" 0.0.0.0 20080101000000 text/html"), tail, F.lit(" "), F.octet_length(http).cast("string"), F.lit("\n"))
     whole = pages.agg(F.sum(F.octet_length(html) + 300).alias("bytes"), F.count("*").alias("n")).first()
@@ -212,7 +212,7 @@ def converted(records: DataFrame, key_field: str = "X-Key") -> DataFrame:
 
 def write_warc(parts: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 16 << 20) -> None:
     """Parts (as from converted(), written) as WARC files, with revisits for payloads seen under a smaller key."""
-    ranked = parts.withColumn("rank", F.coalesce(F.col("key").cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")))
+    ranked = parts.withColumn("rank", F.coalesce(F.expr("try_cast(key AS decimal(38,0))"), F.lit(-1).cast("decimal(38,0)")))
     first = ranked.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min_by(F.struct(F.col("rank"), F.col("record_id"), F.col("url"), F.col("date")), F.struct("rank", "record_id")).alias("first"))
     met = ranked.join(first, "payload_digest", "left")
     again = (F.col("payload_bytes") >= least_bytes) & (F.col("first.rank") < F.col("rank"))
@@ -251,7 +251,7 @@ def op4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(parts, modern)
     removed(parts)
     h = F.col("headers")
-    key = F.regexp_extract(F.col("http").cast("string"), r"(?i)\r\nX-Key:[ \t]*([0-9-]+)", 1).cast("long")
+    key = F.regexp_extract(F.col("http").cast("string"), r"(?i)\r\nX-Key:[ \t]*([0-9-]+)", 1).try_cast("long")
     back = written(
         read_warc(spark, modern).select(
             key.alias("page_id"),

@@ -80,7 +80,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         then = written(then.select(*now.columns), "raking")
         off = None
         for d in DIMS[:-1]:
-            one = _summed(then, d).select(F.abs(F.col("sum") / F.col("target") - 1).alias("off")).where("target > 0")
+            one = _summed(then, d).select(F.when(F.col("target") > 0, F.abs(F.col("sum") / F.col("target") - 1)).alias("off"))
             off = one if off is None else off.unionByName(one)
         worst = off.agg(F.max("off")).first()[0]
         removed(now)

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from studyloom.llm import op4_archive as A
 from studyloom.llm.shared import fresh_path, written
@@ -57,10 +56,10 @@ def test_broken_archives_are_errors():
 
 
 def test_query_on_a_folder(spark, pages, tmp_path):
-    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    pages.unionByName(spark.createDataFrame([(None, "http://n", "<i>no key</i>", "p", 1)], PAGES)).write.parquet(f"{tmp_path}/pages.parquet")
     rows = {r["page_id"]: r for r in A.op4_archive(spark, str(tmp_path)).collect()}
     assert (rows[1]["record_type"], rows[3]["record_type"], rows[7]["refers_to"]) == ("response", "revisit", 1)
     assert rows[4]["refers_to"] == 2 and rows[2]["payload_bytes"] == 0 and rows[3]["payload_bytes"] == rows[1]["payload_bytes"] > 0
+    assert rows[None]["record_type"] == "response" and rows[None]["payload_bytes"] == 13
     pages.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
     assert A.op4_archive(spark, f"{tmp_path}/none").count() == 0
-    assert F is not None

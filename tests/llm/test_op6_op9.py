@@ -96,6 +96,13 @@ def test_raking_against_brute_force(spark):
     assert all(abs(got[k] - w[k]) < 1e-6 for k in w)
 
 
+def test_cells_without_tokens(spark):
+    rows = [(1, None, "a", "x"), (2, "", "a", "x"), (3, "one two", "b", "y"), (4, "three", "b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in M.chosen(docs, M.mixing(docs)).collect()}
+    assert len(got) == 4 and got[1]["_mix_p"] == 1.0 and got[1]["_mix_tokens"] == 0
+
+
 def test_sample_is_calibrated_and_repeatable(hot_docs, odd_docs, no_docs):
     docs = hot_docs.withColumn("text", F.concat_ws(" ", "text", F.lit("one two three")))
     cells = M.mixing(docs, share=0.6)
