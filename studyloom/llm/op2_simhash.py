@@ -16,7 +16,7 @@ Connected components then run over fingerprints that have a link.
 
 Null texts count as empty.  Empty texts have fingerprint zero and are linked
 like any other.  Repeated rows get the same answer each.  Extra columns of the
-input are ignored by the query and pass through `with_component`.
+input are ignored by `near_duplicates` and kept by `representatives`.
 """
 
 from __future__ import annotations
