@@ -30,6 +30,7 @@ MEDICAL = "algia emia itis osis pathy penia plegia uria tension tachy cardia ele
 #: Words left in lower case within a term.
 CONNECTORS = frozenset("and of for with in on to".split())
 _BARRED = GENERIC_WORDS | NON_NOUNS | {"water", "body"}
+#: The patterns at which a text is cut into spans, and of a word.
 _SPANS = re.compile(r"(?<=[.!?:])\s+|\n+")
 _WORD = re.compile(r"[A-Za-z][A-Za-z-]*")
 #: Suffix rules (least length, suffix, characters cut, added); the first that fits decides.

@@ -42,6 +42,7 @@ SUBHEADINGS = frozenset(
 )
 #: Fixed value: the confidence of this parser, below the least that raises no warning.
 CONFIDENCE = 0.54
+#: The patterns of heading lines and of labels within a line, and the most characters of a header.
 _HEADING = re.compile(r"\[Heading(?:\s+(\d+))?\]\s*(.*)", re.I)
 _LABEL = re.compile(r"(?<!\w)([A-Z][A-Za-z0-9 /&()'-]{2,55}:)\s*")
 _HEADER_CHARS = 120
