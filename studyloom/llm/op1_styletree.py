@@ -221,14 +221,18 @@ def extract(page: Page, known: dict[int, tuple[int, float, float, int]], least_p
 
     articles = {"article"}
     inside, gone = [False] * n, [False] * n
-    holds = [False] * n  # an article element lies below
+    holds = [False] * n  # what may be the article lies below
     for i in range(n - 1, 0, -1):
-        if nodes[i].tag in articles or nodes[i].tag == "main" or holds[i]:
-            holds[nodes[i].parent] = True
+        x = nodes[i]
+        named = x.tag in {"div", "section", "td"} and bool(x.words & ARTICLE_WORDS) and 3 * size[i] >= size[0]
+        if holds[i] or ((x.tag in articles or x.tag == "main" or x.body or named) and not x.words & FURNITURE_WORDS):
+            holds[x.parent] = True
     for i in range(1, n):
         x, p = nodes[i], nodes[i].parent
         inside[i] = inside[p] or x.tag in articles or x.body
-        announced = furniture(x, inside[i]) and not (holds[i] and x.tag not in FURNITURE_TAGS)
+        # a wrapper of most of the page is no furniture, whatever its name, and neither is a form around all of it
+        wraps = holds[i] and not inside[i] and 2 * size[i] >= size[0] and x.tag not in FURNITURE_TAGS - {"form"}
+        announced = furniture(x, inside[i]) and not wraps
         gone[i] = gone[p] or announced
 
     def roots(test) -> list[int]:

@@ -30,6 +30,16 @@ def test_odd_markup():
     text_of("<div>" * 30_000 + "x"), text_of('<a "' * 20_000), text_of("<" * 100_000), text_of("<!--" * 50_000)
 
 
+def test_wrappers_and_comments():
+    body = "<p>" + "word " * 60 + "</p>"
+    want = " ".join(["word"] * 60)
+    assert text_of(f"<body><form id=aspnet><div class='with-sidebar'><article>{body}</article><div class=sidebar>s</div></div></form>") == want
+    assert text_of(f"<body><div id=page class=has-menu><div class=content>{body}</div><div class=menu>m</div></div>") == want
+    assert text_of(f"<main><article>{body}</article><section id=comments><h2>Comments</h2><article>c1</article></section></main>") == want
+    assert text_of(f"<article>{body}<section class=comments><h2>3 comments</h2><article><p>nice {'x ' * 90}</p></article></section></article>") == want
+    assert text_of(f"<body><form><p>Search</p><input></form><div class=post>{body}</div><div class=footer>f</div>") == want
+
+
 def brute_importances(pages):
     """The tree's importances from their definition, one page at a time."""
     m, styles, texts = Counter(), defaultdict(Counter), defaultdict(Counter)
