@@ -5,7 +5,7 @@ told apart.  It is cut along its widest dimension (spread relative to the
 spread over all rows) so that each side gets its shards' part of the bytes.
 Cuts of all nodes of a level are found together: weighted histograms over the
 nodes' key ranges, refined where the cut falls, until the bin at the cut
-holds next to nothing.  A histogram is a partial aggregation of bounded size,
+holds next to nothing or one row.  A histogram is a partial aggregation of bounded size,
 whatever the number of rows, and no row moves while the tree grows; the
 driver sees one row for each node.  Keys order rows by the dimension, then by
 the text's checksum, then by a hash of the id, so a group of equal texts,
@@ -76,14 +76,14 @@ def _cuts(rows: DataFrame, goals: dict[int, dict], tolerance: float) -> None:
         small = F.broadcast(_table(spark, asked, "node:bigint, dim:int, lo:bigint, hi:bigint, wide:bigint, phase:int, key:bigint, want:bigint"))
         key = F.element_at(F.array(*dims), F.col("dim") + 1)
         near = rows.join(small, "node").withColumn("_v", F.when(F.col("phase") == 0, key).otherwise(F.col("h"))).where(((F.col("phase") == 0) | (key == F.col("key"))) & F.col("_v").between(F.col("lo"), F.col("hi")))
-        bins = near.groupBy("node", "want", F.expr("(_v - lo) div wide").alias("bin")).agg(F.sum("size").alias("mass"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        bins = near.groupBy("node", "want", F.expr("(_v - lo) div wide").alias("bin")).agg(F.sum("size").alias("mass"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.count("*").alias("n"))
         bins.createOrReplaceTempView("_kd_bins")
         ran = spark.sql("SELECT *, sum(mass) OVER (PARTITION BY node ORDER BY bin) AS upto FROM _kd_bins").where("upto >= want")
-        picked = ran.groupBy("node").agg(F.min_by(F.struct("least", "most", "mass", "upto"), "bin").alias("x")).select("node", "x.*")
+        picked = ran.groupBy("node").agg(F.min_by(F.struct("least", "most", "mass", "upto", "n"), "bin").alias("x")).select("node", "x.*")
         for r in picked.collect():
             g = goals[r["node"]]
             start = g["before"] + r["upto"] - r["mass"]
-            if r["mass"] <= tolerance * g["total"] or (r["least"] == r["most"] and g["phase"] == 1):
+            if r["n"] == 1 or r["mass"] <= tolerance * g["total"] or (r["least"] == r["most"] and g["phase"] == 1):
                 ahead = g["before"] + r["upto"] - g["goal"] <= g["goal"] - start
                 at = r["most"] if ahead else r["least"] - 1
                 g |= {"open": False, "cut": g["key"] if g["phase"] else at, "cut_h": at if g["phase"] else (1 << 62)}
