@@ -351,7 +351,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     keyed = plain.withColumn("id", F.xxhash64("page", "url", "html"))
     model, paths = importances(keyed.select("id", "url", "html"))
     # a page's own paths with what its host says of them; rows repeated in the input repeat here and are merged
-    telling = model.where(F.col("pages") >= least_pages)
+    # written, so that the join reads a plain table: Spark can then broadcast it if it is small, or split a hot site's pages
+    telling = written(model.where(F.col("pages") >= least_pages), "site-importances")
     lists = paths.join(telling, "site").groupBy("id").agg(F.collect_set(F.struct("site", "pages", "presentation", "content", "styles")).alias("known"))
     kind = pages.schema[id_col].dataType.simpleString()
 
