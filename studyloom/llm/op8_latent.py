@@ -9,7 +9,8 @@ across tasks, and a Nystrom step on the driver turns the sum into the leading
 singular vectors.  The items enter C with the weight of the corpus, so that
 the space keeps what tells them apart.
 
-A passage whose cosine to an item is at least `cosine` is a candidate.  It is
+A passage whose cosine to an item in that space is at least `cosine` is a
+candidate; the part of the passage outside the space does not count.  It is
 decided on words: the longest common subsequence of the item with a window of
 the text about the item's length.  A document is contaminated where that
 covers `same` of the item, or `paraphrase` of it and the item's answer stands
@@ -17,8 +18,9 @@ in the window word for word.  An item's answer is what follows its last
 question mark or "answer:"; items without one are held to `same`.
 
 What a task holds is a slice of text and tables over the benchmark's words.
-The benchmark is taken in blocks of `most_items`, each bounded, so a larger
-benchmark means more passes and no larger broadcast.  No documents are
+The benchmark is taken in blocks of about `most_items` passages, no more than
+the space has dimensions: with more it would lose what tells items apart.  A
+larger benchmark means more passes and no larger broadcast.  No documents are
 shuffled or compared with each other: a hot source, passage or group of
 copies costs what its bytes cost.
 
@@ -53,7 +55,7 @@ class Settings:
     same: float = 0.8
     paraphrase: float = 0.6
     common: float = 0.2
-    most_items: int = 4096
+    most_items: int = 256
     seed: int = 7
 
 
@@ -303,8 +305,8 @@ class Search:
 
     items: Items
     idf: np.ndarray
-    table: np.ndarray  # for each term its weighted latent vector, or at once its products with the items
-    targets: np.ndarray | None  # the items' latent vectors, where table has none of them
+    table: np.ndarray  # for each term its weighted latent vector
+    targets: np.ndarray  # the items' latent vectors
     owner: np.ndarray
     settings: Settings
 
@@ -316,9 +318,9 @@ class Search:
             return []
         one = _sums(self.table, term, b, len(norm))
         one[:-1] += np.where(same[:-1, None], one[1:], 0)
-        if self.targets is not None:
-            one = one @ self.targets.T
-        one /= np.maximum(norm, 1e-9)[:, None]
+        length = np.linalg.norm(one, axis=1)
+        one[length < 1e-4 * norm] = 0
+        one = one @ self.targets.T / np.maximum(length, 1e-9)[:, None]
         block, which = np.nonzero(one >= s.cosine)
         out: dict[tuple[int, int], tuple[float, float]] = {}
         seen: dict[tuple[int, int, int], tuple[float, bool]] = {}
@@ -340,7 +342,8 @@ class Search:
 def searches(docs: DataFrame, benchmark: DataFrame, s: Settings, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text") -> Iterator[Search]:
     """A Search for each block of the benchmark, fitted on all texts of docs."""
     items = benchmark.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = max(1, ceil(items.count() / s.most_items))
+    size = F.greatest(F.lit(1), F.ceil(F.size(F.split(F.trim("text"), r"\W+")) / (2 * s.block)))
+    blocks = max(1, ceil((items.agg(F.sum(size)).first()[0] or 0) / s.most_items))
     texts = docs.select(F.col(docs_text).alias("text"))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
@@ -357,10 +360,7 @@ def searches(docs: DataFrame, benchmark: DataFrame, s: Settings, id_col: str = "
         space = latent_space(y, omega.astype(np.float64), s.rank).astype(np.float32)
         own = vectors @ space
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-        if len(own) <= space.shape[1]:
-            yield Search(it, idf, idf[:, None] * (space @ own.T), None, owner, s)
-        else:
-            yield Search(it, idf, idf[:, None] * space, own, owner, s)
+        yield Search(it, idf, idf[:, None] * space, own, owner, s)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

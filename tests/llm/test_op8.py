@@ -92,3 +92,30 @@ def test_latent_space_spans_the_leading_eigenvectors():
     value, vector = np.linalg.eigh(c)
     top = vector[:, ::-1][:, :6]
     assert np.linalg.norm(u.T @ top) > 0.99 * np.sqrt(6)
+
+
+def test_thousands_of_items_against_brute_force(spark):
+    """Items stand in other words, half of them with a fifth of their words changed; every one that the words decide on is found."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(12000)]
+    common = [f"c{i}" for i in range(30)]
+
+    def prose(n):
+        return [rng.choice(common) if rng.random() < 0.5 else words[int(len(words) * rng.random() ** 2)] for _ in range(n)]
+
+    items = {k: prose(rng.randint(12, 40)) for k in range(2000)}
+    docs, want = [], set()
+    for i in range(300):
+        k = rng.randrange(2000)
+        said, own = list(items[k]), prose(rng.randint(40, 200))
+        if i % 2:
+            for j in rng.sample(range(len(said)), len(said) // 5):
+                said[j] = rng.choice(words)
+        at = rng.randint(0, len(own))
+        docs.append((i, " ".join(own[:at] + said + own[at:])))
+        assert D.lcs(items[k], said) >= 0.8 * len(said)
+        want.add((i, k))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["id"], r["item_id"]) for r in D.matches(d, b).collect()}
+    assert want <= got
