@@ -54,7 +54,6 @@ class Settings:
     cosine: float = 0.35
     same: float = 0.8
     paraphrase: float = 0.6
-    common: float = 0.2
     most_items: int = 256
     seed: int = 7
 
@@ -161,15 +160,9 @@ def frequencies(docs: DataFrame, items: Items, s: Settings) -> tuple[np.ndarray,
     return df, sum(r["df"] for r in rows if r["term"] < 0)
 
 
-def weights(items: Items, df: np.ndarray, n: int, s: Settings) -> np.ndarray:
-    """Inverse document frequencies; a term in over `common` of the blocks counts only for items that have no other."""
-    idf = np.log((n + 1) / (df + 1)) + 1e-3
-    often = df > s.common * n if n >= 1000 else np.zeros(len(df), bool)
-    for own in items.words:
-        term = np.searchsorted(items.vocabulary, own)
-        if often[term].all():
-            often[term] = False
-    return np.where(often, 0, idf).astype(np.float32)
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequencies, by one law at every size; no term has none."""
+    return (np.log((n + 1) / (df + 1)) + 1e-3).astype(np.float32)
 
 
 def item_vectors(items: Items, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,12 +180,10 @@ def item_vectors(items: Items, idf: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def passages(it: Items, idf: np.ndarray, column: pa.Array, s: Settings) -> tuple[textkit.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words; block, term of each word of weight; norm of each passage (block and the next); whether the next is of the same text; first blocks."""
+    """Words; block, term of each word of the vocabulary; norm of each passage (block and the next); whether the next is of the same text; first blocks."""
     w = folded(column)
     block, owner, first = blocked(w, s.block)
     at, term = it.terms(w.hash)
-    heavy = idf[term] > 0
-    at, term = at[heavy], term[heavy]
     b = block[at]
     n = len(owner)
     same = np.append(owner[1:] == owner[:-1], False) if n else np.zeros(0, bool)
@@ -351,7 +342,7 @@ def searches(docs: DataFrame, benchmark: DataFrame, s: Settings, id_col: str = "
         if not it.ids:
             continue
         df, n = frequencies(texts, it, s)
-        idf = weights(it, df, n, s)
+        idf = weights(df, n)
         vectors, owner = item_vectors(it, idf, 2 * s.block)
         wide = min(len(it.vocabulary), s.rank + s.oversample)
         omega = np.random.default_rng(s.seed).standard_normal((len(it.vocabulary), wide)).astype(np.float32)

@@ -119,3 +119,16 @@ def test_thousands_of_items_against_brute_force(spark):
     b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
     got = {(r["id"], r["item_id"]) for r in D.matches(d, b).collect()}
     assert want <= got
+
+
+def test_an_item_of_common_words_is_found_in_a_large_corpus(spark):
+    """All but two words of the item are in a quarter of the blocks, and those two are changed in the document."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(24)]
+    item = [*common[:9], "rare1", *common[9:18], "rare2"]
+    said = ["other1" if w == "rare1" else "other2" if w == "rare2" else w for w in item]
+    docs = [(i, " ".join(w for b in range(5) for w in rng.sample(common, 6) + [f"w{rng.randrange(5000)}" for _ in range(26)])) for i in range(300)]
+    docs.append((1000, " ".join(f"w{rng.randrange(5000)}" for _ in range(12)) + " " + " ".join(said)))
+    items = [(1, " ".join(item))] + [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(20))) for k in range(2, 30)]
+    found = D.matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["id"], r["item_id"]) for r in found.collect()} == {(1000, 1)}
