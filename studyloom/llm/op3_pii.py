@@ -6,7 +6,10 @@ spelled "at" and "dot", spelled digits.  Each step carries, for every
 character of its output, the source range it came from, so steps compose and
 a span found in the rewritten text maps back to source code points.  A span
 is added if its source differs from the rewritten text and it overlaps no
-plain span and no span added before it; plain spans always stay.
+span added before it and no plain span but those of its own kind that it
+strictly contains, which a disguise of a part leaves; plain spans always stay.
+A number that stands plainly is not made longer by spelled digits beside it,
+which may be prose, only by figures of other scripts or invisible characters.
 
 All scanners are linear in the text, so very long texts and runs are safe.
 The work is a map over rows without a shuffle.  Null and empty texts have no
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LETTER = re.compile("[A-Za-z]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -203,20 +208,23 @@ def spans(text: str) -> tuple[dict[str, list[Span]], list[tuple[int, int, str]]]
     every = [(a, b, k) for k in KINDS for a, b in base[k]]
     new = rewritten(text)
     if new.text is not text:
-        taken = sorted((a, b) for a, b, _ in every)
-        starts = [a for a, _ in taken]
-        more = []
+        ends = {k: [b for _, b in base[k]] for k in KINDS}
+        more: list[tuple[int, int, str]] = []
+        done = 0  # where the added spans end
         for kind, found in plain(new.text).items():
             for s in found:
                 a, b = new.source(s)
                 if text[a:b] != new.text[s[0] : s[1]]:
                     more.append((a, b, kind))
         for a, b, kind in sorted(more, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
-            i = int(np.searchsorted(starts, b, "left")) if starts else 0
-            if not any(taken[j][1] > a for j in range(max(0, i - 4), i)):
+            if a < done:
+                continue
+            # plain spans of one kind ascend and do not overlap
+            met = [(k, base[k][j]) for k in KINDS for j in range(bisect_right(ends[k], a), bisect_right(base[k], (b - 1, len(text))))]
+            whole = kind == "email" or not _LETTER.search(text, a, b)
+            if all(whole and k == kind and a <= x and y <= b and (x, y) != (a, b) for k, (x, y) in met):
                 every.append((a, b, kind))
-                taken.insert(i, (a, b))
-                starts.insert(i, a)
+                done = b
     every.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return base, every
 

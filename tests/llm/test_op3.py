@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from studyloom.llm import op3_pii as P
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -62,3 +64,28 @@ def test_query_columns(spark, odd_docs, no_docs):
     assert (rows[20]["n_email"], rows[20]["n_ip"], rows[20]["n_card"], rows[20]["n_added"]) == (1, 1, 0, 0)
     assert rows[4]["spans"] == "" and hashlib.sha256(b"").hexdigest()
     assert P.detect(docs).count() == docs.count() and P.detect(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(
+    "said, tail",
+    [
+        ("usеr@example.com", "r@example.com"),
+        ("john [dot] smith@example.com", "smith@example.com"),
+        ("john@mail.example [dot] com", "john@mail.example"),
+        ("john dot smith@example.com", "smith@example.com"),
+        ("usеr@mail.example [dot] com", "r@mail.example"),
+    ],
+)
+def test_a_disguise_of_a_part_leaves_the_whole_identifier(said, tail):
+    text = f"Write to {said}, or 192.168.0.1 today."
+    base, every = P.spans(text)
+    at, inner = text.index(said), text.index(tail)
+    assert base["email"] == [(inner, inner + len(tail))]
+    assert (at, at + len(said), "email") in every and (inner, inner + len(tail), "email") in every
+    assert len(every) == 3
+
+
+def test_figures_of_other_scripts_belong_to_the_number():
+    text = "Call +1 988 555 248５ now"
+    base, every = P.spans(text)
+    assert base["phone"] == [(5, 19)] and every == [(5, 19, "phone"), (5, 20, "phone")]
