@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir.  Only where that is unset, as
-    in local tests, is a temporary folder made and set.
+    A cluster names it in spark.checkpoint.dir.  Where that is unset, a local
+    session gets a temporary folder; on any other master that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors share; the master is {master}")
         folder = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -51,6 +55,16 @@ def removed(df: DataFrame) -> None:
         dropped(df.sparkSession, f)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Let go of the shuffles of finished steps.
+
+    Spark deletes the files of a shuffle once the driver's JVM has collected
+    what refers to it.  A driver that holds little seldom collects, while the
+    files of steps whose results are written stay on the executors' disks.
+    """
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node reachable.
 
