@@ -12,8 +12,10 @@ those bytes out of multi-byte characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +105,24 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             at = to
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, where it can give memory back."""
+    try:
+        lib = ctypes.CDLL(None)
+        lib.malloc_trim  # noqa: B018 - absent outside glibc
+    except (OSError, AttributeError):
+        return None
+    return lib
+
+
+def lean() -> None:
+    """Give freed memory back to the system: workers live on, and their heap counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if lib := _libc():
+        lib.malloc_trim(0)
+
+
 @dataclass
 class Words:
     """The words of a slice: byte borders, hashes, and each text's range of words."""
