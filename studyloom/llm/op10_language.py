@@ -15,7 +15,8 @@ Prediction is a map over rows: no shuffle, no hot key.
 
 A null text, or one without a letter, is `und` with score 0.  Ties go to the
 language with more training rows, with score 0, and are rejected.  With
-no labelled training row every answer is `und`.  Repeated rows get equal
+no labelled training row every answer is `und`.  In the query a row without an
+id has no remainder: it is not held out.  Repeated rows get equal
 answers; extra columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -60,7 +61,7 @@ def dictionaries(train: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = rows.withColumn("order", order).where(F.col("order") < share * (1 << 30)).select("lang", "order", "id", F.substring("text", 1, piece_bytes).alias("piece")).collect()
     out = {}
     for lang in sorted(count, key=lambda x: (-count[x], x)):
-        own = dict.fromkeys(r["piece"] for r in sorted((r for r in found if r["lang"] == lang), key=lambda r: (r["order"], r["id"])))
+        own = dict.fromkeys(r["piece"] for r in sorted((r for r in found if r["lang"] == lang), key=lambda r: (r["order"], r["id"] is None, r["id"], r["piece"])))
         out[lang] = b" ".join(folded(p)[:piece_bytes] for p in list(own)[:pieces])
     return out
 
@@ -114,6 +115,8 @@ def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    found = classify(docs, dictionaries(docs.where(~held)))
-    return found.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    def held(key: str) -> Column:
+        return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
+
+    found = classify(docs, dictionaries(docs.where(~held("doc_id"))))
+    return found.select(F.col("id").alias("doc_id"), held("id").alias("held_out"), "lang_pred", "score", "rejected")

@@ -6,7 +6,8 @@ child elements), and a content importance, one less the mean entropy of its
 texts over pages: what every page repeats tells nothing.  Both combine from
 the leaves up, as in the published method: an element's importance is
 (1 - g^l) of its own entropy and g^l of its parts' mean, g = 0.9 and l the
-number of its styles.  A branch of a page whose importance on its host is low
+number of its styles.  The fewer pages tell of a path, the nearer is its
+importance to 1.  A branch of a page whose importance on its host is low
 goes.  Elements that announce themselves as furniture (nav, footer, forms,
 class names such as "sidebar" or "comments") have importance 0 from the
 start, and elements that announce the article outweigh what lies outside.
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
@@ -64,6 +65,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"\d+")
 
 
+#: Branches of less importance go.
+LEAST_IMPORTANCE = 0.15
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -92,6 +97,7 @@ def parse(source: str) -> Page:
     nodes = [Node("#root", "", -1, _key("#root"))]
     texts: list[tuple[int, int, str]] = []
     stack, segment, at = [0], 0, 0
+    unclosed: Counter[str] = Counter()  # spares stray end tags the search of the stack
 
     def text(raw: str) -> None:
         if raw:
@@ -100,6 +106,7 @@ def parse(source: str) -> Page:
     def pop_to(index: int) -> None:
         nonlocal segment
         for i in stack[index:]:
+            unclosed[nodes[i].tag] -= 1
             if nodes[i].tag not in INLINE:
                 segment += 1
         del stack[index:]
@@ -117,7 +124,7 @@ def parse(source: str) -> Page:
         if m[1] or m[4]:
             if name == "br":
                 texts.append((segment, stack[-1], " "))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if unclosed[name] else ():
                 tag = nodes[stack[i]].tag
                 if tag == name:
                     pop_to(i)
@@ -171,6 +178,7 @@ def parse(source: str) -> Page:
             own.append(style)
         nodes.append(Node(name, label, parent, _key(nodes[parent].path, style), words, role, hidden, main))
         stack.append(len(nodes) - 1)
+        unclosed[name] += 1
         if name not in INLINE:
             segment += 1
     return Page(nodes, texts)
@@ -201,7 +209,12 @@ def furniture(n: Node, inside: bool) -> bool:
     return bool(n.words & FURNITURE_WORDS)
 
 
-def extract(page: Page, known: dict[int, tuple[int, float, float, int]], least_pages: int, least_importance: float) -> str:
+def sure(importance: float, pages: int) -> float:
+    """An importance drawn towards 1 by what few pages cannot tell: one page tells nothing, two three quarters."""
+    return 1 - (1 - importance) * (1 - 1 / pages**2)
+
+
+def extract(page: Page, known: dict[int, tuple[int, float, float, int]], least_importance: float = LEAST_IMPORTANCE) -> str:
     """The main text of a page; known has (pages, presentation, content, styles) for paths of its host."""
     nodes = page.nodes
     n = len(nodes)
@@ -271,7 +284,8 @@ def extract(page: Page, known: dict[int, tuple[int, float, float, int]], least_p
         if own_text[i]:
             parts[i].append(content)
         g = 0.9**styles
-        importance[i] = 1.0 if pages < least_pages else content if not nodes[i].styles and own_text[i] else (1 - g) * presentation + g * (sum(parts[i]) / len(parts[i]) if parts[i] else presentation)
+        own = content if not nodes[i].styles and own_text[i] else (1 - g) * presentation + g * (sum(parts[i]) / len(parts[i]) if parts[i] else presentation)
+        importance[i] = sure(own, pages)
         if i:
             parts[nodes[i].parent].append(importance[i])
 
@@ -345,14 +359,14 @@ def importances(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return model, found.where(style).select("id", "site")
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 3, least_importance: float = 0.1) -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """(id, url, host, text) for each page."""
     plain = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     keyed = plain.withColumn("id", F.xxhash64("page", "url", "html"))
     model, paths = importances(keyed.select("id", "url", "html"))
     # a page's own paths with what its host says of them; rows repeated in the input repeat here and are merged
     # written, so that the join reads a plain table: Spark can then broadcast it if it is small, or split a hot site's pages
-    telling = written(model.where(F.col("pages") >= least_pages), "site-importances")
+    telling = written(model.where("pages > 1"), "site-importances")  # a path of one page has importance 1
     lists = paths.join(telling, "site").groupBy("id").agg(F.collect_set(F.struct("site", "pages", "presentation", "content", "styles")).alias("known"))
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -365,7 +379,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 hosts.append(host)
                 page = parse(source or "")
                 known = {n.path: table[x] for n in page.nodes if (x := site_of(host, n.path)) in table} if table else {}
-                out.append(extract(page, known, least_pages, least_importance))
+                out.append(extract(page, known, least_importance))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(out, pa.string())], names=["page", "url", "host", "text"])
 
     return keyed.join(lists, "id", "left").select("page", "url", "html", "known").mapInArrow(run, f"page {kind}, url string, host string, text string")

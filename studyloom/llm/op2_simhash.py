@@ -19,7 +19,8 @@ MinHash bands as candidates and verifies the Jaccard similarity of whole
 shingle sets.
 
 Null texts count as empty.  Empty texts have fingerprint zero and are linked
-like any other.  Repeated rows get the same answer each.  Extra columns of the
+like any other.  A row without an id gets its component's least id, null if
+no row of it has one.  Repeated rows get the same answer each.  Extra columns of the
 input are ignored by `near_duplicates` and kept by `representatives`.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import components, written
+from .shared import components, fresh_names, written
 
 BITS = 64
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -266,12 +267,16 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Near copies are those of `similar_texts`: 5-word shingle sets with a
     Jaccard similarity of 0.8 or more.  At 0.8 SimHashes differ by some 10 of
-    64 bits, which no number of blocks makes selective.  Of repeated rows with
-    the same id one stays.  All columns stay as they are.
+    64 bits, which no number of blocks makes selective.  Rows without an id
+    come after all others, and texts with one id by a hash; so a group of
+    such rows has one that stays as well.  Of repeated rows one stays.  All
+    columns stay as they are.
     """
-    marks = similar_texts(docs, id_col, text_col).where("id = component_id").select(F.col("id").alias("_keep_id")).distinct()
-    kept = docs.join(marks, docs[id_col] == F.col("_keep_id")).drop("_keep_id")
-    return kept.dropDuplicates([id_col])
+    text, key, kept = fresh_names(docs, "text_hash", "row_key", "kept_key")
+    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    marks = similar_texts(docs.select(place.alias(key), F.col(text_col).alias(text)), key, text).where("id <=> component_id").select(F.col("id").alias(kept)).distinct()
+    rows = docs.withColumn(key, place)
+    return rows.join(marks, F.col(key).eqNullSafe(F.col(kept))).dropDuplicates([key]).drop(key, kept)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

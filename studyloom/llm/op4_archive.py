@@ -9,7 +9,9 @@ separators that WARC wants, a type, and SHA-1 digests in base32.
 
 Of records with equal payloads of at least `least_bytes` bytes the one with
 the smallest key is the response and the others are revisits that refer to
-it and keep the HTTP header but no payload.  The least key by digest is a
+it and keep the HTTP header but no payload.  Keys are ordered as their type
+orders them; of equal keys the record's identifier decides, which its place
+in the archive makes its own.  The least key by digest is a
 partial aggregation and the join back handles a digest that a third of all
 records share.
 
@@ -18,9 +20,11 @@ do: a record is a row of text whose line end is the record's own, and files
 are compressed.  A file has as many records as make `file_bytes` on average,
 which bounds what a task holds of an archive.
 
-Null html is an empty payload; a null key stays null and counts as smallest; a null or odd url is percent-encoded, null as
-"-".  Repeated rows make equal records, of which each is kept.  Very long
-pages are single records.  Extra columns are ignored.
+Null html is an empty payload; a null key stays null and counts as smallest;
+keys of any type that casts to and from text keep their type.  A null or odd
+url is percent-encoded, null as "-".  Repeated rows make a record each, one
+of them the response.  Very long pages are single records.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from collections.abc import Iterator
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import dropped, fresh_path, removed, written
 
-ARC_SCHEMA = "version int, url string, ip string, stamp string, mime string, status string, block binary"
+ARC_SCHEMA = "version int, url string, ip string, stamp string, mime string, status string, block binary, place string"
 WARC_SCHEMA = "headers map<string,string>, http binary, payload binary"
 
 #: The version blocks of ARC 1 and 2, and the names of their header fields.
@@ -53,7 +57,7 @@ def arc_version_block(version: int, name: str = "pages.arc", stamp: str = "20080
 
 
 def parse_arc(data: bytes) -> Iterator[tuple]:
-    """(version, url, ip, stamp, mime, status, block) of each record after the version block.
+    """(version, url, ip, stamp, mime, status, block, byte where it starts) of each record after the version block.
 
     A header line that does not have its version's number of fields, or a
     declared length beyond the end of the file, is an error: guessing where
@@ -72,7 +76,7 @@ def parse_arc(data: bytes) -> Iterator[tuple]:
         body = data[end + 1 : end + 1 + int(fields[-1])]
         if len(body) != int(fields[-1]):
             raise ValueError(f"the record at byte {at} declares {fields[-1]} bytes and has {len(body)}")
-        at = end + 1 + len(body)
+        start, at = at, end + 1 + len(body)
         if not version:
             if not line.startswith("filedesc:"):
                 raise ValueError("an ARC file starts with a filedesc: block")
@@ -82,7 +86,7 @@ def parse_arc(data: bytes) -> Iterator[tuple]:
         if len(fields) != want:
             raise ValueError(f"an ARC {version} header has {want} fields, not {len(fields)}: {line[:80]!r}")
         status = fields[4] if version == 2 else None
-        yield version, fields[0], fields[1], fields[2], fields[3], status, body
+        yield version, fields[0], fields[1], fields[2], fields[3], status, body, start
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -116,18 +120,26 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+_FILE = re.compile(r"part-(\d+)-.*-c(\d+)\.")
+
+
 def _read(spark: SparkSession, path: str, parse: str, names: list[str], schema: str) -> DataFrame:
     """The records of all archive files below a path, one file at a time in a task."""
     parser = {"arc": parse_arc, "warc": parse_warc}[parse]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell in batch.column(0):
+            for cell, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 rows, size = [], 0
+                # part and number of the file; the rest of its name is another in every run
+                known = _FILE.match(name.rpartition("/")[2])
+                file = "-".join(known.groups()) if known else name
                 data = cell.as_buffer().to_pybytes()
                 if data[:2] == b"\x1f\x8b":
                     data = gzip.decompress(data)
                 for row in parser(data):
+                    if parse == "arc":
+                        row = (*row[:-1], f"{file}-{row[-1]}")
                     rows.append(row)
                     size += sum(len(x) for x in row if isinstance(x, bytes)) + 500
                     if size > 4 << 20:
@@ -136,13 +148,13 @@ def _read(spark: SparkSession, path: str, parse: str, names: list[str], schema:
                 if rows:
                     yield _batch(rows, names, parse)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("content", "path").mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], parse: str) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     if parse == "arc":
-        kinds = [pa.int32(), *[pa.string()] * 5, pa.binary()]
+        kinds = [pa.int32(), *[pa.string()] * 5, pa.binary(), pa.string()]
     else:
         columns[0] = [list(h.items()) for h in columns[0]]
         kinds = [pa.map_(pa.string(), pa.string()), pa.binary(), pa.binary()]
@@ -168,7 +180,7 @@ def _write(records: DataFrame, path: str, end: str, many: int) -> None:
 
 
 def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 2, file_bytes: int = 16 << 20) -> None:
-    """Pages as ARC files: each a version block and the HTTP responses, with the page's key as a header field.
+    """Pages as ARC files: each a version block and the HTTP responses, with the page's key, after a sign and encoded, as a header field.
 
     The version block is part of each file's first record, so that Spark's
     text writer makes whole archives.
@@ -176,7 +188,7 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: st
     html = F.coalesce(F.col(html_col), F.lit(""))
     url = F.coalesce(F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "%20"), F.lit("-"))
     url = F.when(url == "", "-").otherwise(url)
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Key: "), F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html), F.lit("\r\n\r\n"), html)
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Key: "), F.coalesce(F.url_encode(F.concat(F.lit("="), F.col(key_col).cast("string"))), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html), F.lit("\r\n\r\n"), html)
     tail = F.lit(" 200 - - 0 pages.arc" if version == 2 else "")
     head = F.concat(url, F.lit(" 0.0.0.0 20080101000000 text/html"), tail, F.lit(" "), F.octet_length(http).cast("string"), F.lit("\n"))
     whole = pages.agg(F.sum(F.octet_length(html) + 300).alias("bytes"), F.count("*").alias("n")).first()
@@ -200,7 +212,7 @@ def converted(records: DataFrame, key_field: str = "X-Key") -> DataFrame:
                 found = field.search(http)
                 s = (r["stamp"] + "00000000000000")[:14]
                 date = f"{s[:4]}-{s[4:6]}-{s[6:8]}T{s[8:10]}:{s[10:12]}:{s[12:]}Z"
-                own = hashlib.sha256(b"\0".join([r["url"].encode(), date.encode(), http, payload])).hexdigest()
+                own = hashlib.sha256(b"\0".join([r["place"].encode(), r["url"].encode(), date.encode(), http, payload])).hexdigest()
                 name = f"urn:uuid:{own[:8]}-{own[8:12]}-5{own[13:16]}-{'89ab'[int(own[16], 16) % 4]}{own[17:20]}-{own[20:32]}"
                 rows.append((found[1].decode() if found else None, r["url"], r["ip"], date, r["mime"], http, payload, len(payload), digest(payload), name))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -210,12 +222,18 @@ def converted(records: DataFrame, key_field: str = "X-Key") -> DataFrame:
     return records.mapInArrow(run, "key string, url string, ip string, date string, mime string, http binary, payload binary, payload_bytes long, payload_digest string, record_id string")
 
 
-def write_warc(parts: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 16 << 20) -> None:
+def key_of(field: Column, kind: str) -> Column:
+    """The key that write_arc() made a field of; null for an empty one."""
+    return F.when(field != "", F.substring(F.url_decode(field), 2, 1 << 30)).try_cast(kind)
+
+
+def write_warc(parts: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 16 << 20, key_kind: str = "long") -> None:
     """Parts (as from converted(), written) as WARC files, with revisits for payloads seen under a smaller key."""
-    ranked = parts.withColumn("rank", F.coalesce(F.expr("try_cast(key AS decimal(38,0))"), F.lit(-1).cast("decimal(38,0)")))
-    first = ranked.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min_by(F.struct(F.col("rank"), F.col("record_id"), F.col("url"), F.col("date")), F.struct("rank", "record_id")).alias("first"))
+    key = key_of(F.col("key"), key_kind)
+    ranked = parts.withColumn("rank", F.struct(key.isNotNull().alias("some"), key.alias("key"), F.col("record_id")))
+    first = ranked.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min_by(F.struct("record_id", "url", "date"), "rank").alias("first"))
     met = ranked.join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= least_bytes) & (F.col("first.rank") < F.col("rank"))
+    again = (F.col("payload_bytes") >= least_bytes) & (F.col("first.record_id") != F.col("record_id"))
     block = F.when(again, F.col("http").cast("string")).otherwise(F.concat(F.col("http").cast("string"), F.col("payload").cast("string")))
     lines = [
         F.lit("WARC/1.1"),
@@ -244,14 +262,15 @@ def op4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     is that of the response it refers to.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    kind = pages.schema["page_id"].dataType.simpleString()
     legacy, modern = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, legacy)
     parts = written(converted(read_arc(spark, legacy)), "warc-parts")
     dropped(spark, legacy)
-    write_warc(parts, modern)
+    write_warc(parts, modern, key_kind=kind)
     removed(parts)
     h = F.col("headers")
-    key = F.regexp_extract(F.col("http").cast("string"), r"(?i)\r\nX-Key:[ \t]*([0-9-]+)", 1).try_cast("long")
+    key = key_of(F.regexp_extract(F.col("http").cast("string"), r"(?i)\r\nX-Key:[ \t]*([^\r\n]*)", 1), kind)
     back = written(
         read_warc(spark, modern).select(
             key.alias("page_id"),
@@ -264,6 +283,9 @@ def op4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         "warc-read",
     )
     dropped(spark, modern)
-    # equal rows have equal identifiers: one of each is what a revisit refers to
-    first = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers")).agg(F.first("page_id").alias("refers_to"), F.first("own_bytes").alias("full_bytes"))
-    return back.join(first, "refers", "left").select("page_id", F.coalesce("full_bytes", "own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # responses refer to nothing and stay out of the join, in which their nulls would be one key
+    first = back.where("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("payload_bytes"))
+    again = back.where("record_type = 'revisit'").join(first, "refers")
+    alone = back.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast(kind)).withColumn("payload_bytes", F.col("own_bytes"))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return alone.select(*names).unionByName(again.select(*names))

@@ -102,6 +102,15 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     return found
 
 
+def failing(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each text fails the base rules, and whether it fails any."""
+    base = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > WINDOW_PERCENT * m["n_words"])
+    bad = base | (100 * m["dup_line_chars"] > LINE_PERCENT * m["word_chars"])
+    for n, most in NGRAM_PERCENT.items():
+        bad = bad | (100 * m[f"dup_{n}gram_chars"] > most * m["word_chars"])
+    return base, bad
+
+
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{n}gram_chars" for n in NGRAM_PERCENT)]
 
 
@@ -111,15 +120,12 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.sliced(batches, "text"):
             found = measure(batch.column(1))
-            yield pa.record_batch([batch.column(0), *(pa.array(found[k].astype(np.int64)) for k in _NAMES)], names=["id", *_NAMES])
+            base, bad = failing(found)
+            yield pa.record_batch([batch.column(0), *(pa.array(found[k].astype(np.int64)) for k in _NAMES), pa.array(base), pa.array(~bad)], names=["id", *_NAMES, "base_failed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} long" for k in _NAMES))
-    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > WINDOW_PERCENT * F.col("n_words"))
-    repeats = 100 * F.col("dup_line_chars") > LINE_PERCENT * F.col("word_chars")
-    for n, most in NGRAM_PERCENT.items():
-        repeats = repeats | (100 * F.col(f"dup_{n}gram_chars") > most * F.col("word_chars"))
-    return out.withColumn("base_failed", base).withColumn("kept", ~(base | repeats))
+    schema = f"id {kind}, " + ", ".join(f"{k} long" for k in _NAMES) + ", base_failed boolean, kept boolean"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -128,11 +134,7 @@ def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.sliced(batches, text_col):
-            m = measure(batch.column(at))
-            bad = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > WINDOW_PERCENT * m["n_words"]) | (100 * m["dup_line_chars"] > LINE_PERCENT * m["word_chars"])
-            for n, most in NGRAM_PERCENT.items():
-                bad |= 100 * m[f"dup_{n}gram_chars"] > most * m["word_chars"]
-            yield batch.filter(pa.array(~bad))
+            yield batch.filter(pa.array(~failing(measure(batch.column(at)))[1]))
 
     return docs.mapInArrow(run, schema)
 

@@ -8,13 +8,13 @@ nodes' key ranges, refined where the cut falls, until the bin at the cut
 holds next to nothing or one row.  A histogram is a partial aggregation of bounded size,
 whatever the number of rows, and no row moves while the tree grows; the
 driver sees one row for each node.  Keys order rows by the dimension, then by
-the text's checksum, then by a hash of the id, so a group of equal texts,
-even a third of all rows, is cut wherever the bytes demand it and otherwise
-stays together.
+the text's checksum, then by a hash of the id and the row's place, so a group
+of equal texts or of repeated rows, even a third of all, is cut wherever the
+bytes demand it and otherwise stays together.
 
 The law is `bytes`: shards differ by no more than the tolerance and a row.
-Null text counts as empty, null metadata as a value of its own.  Repeated
-rows with the same id and text share a key and stay in one shard.  An empty
+Null text counts as empty, a null id and null metadata as values of their
+own.  Repeated rows are rows like others, in any shard.  An empty
 table gives no rows; with fewer rows than shards some shards are empty.
 Only named columns are read, so extra columns do not matter.
 """
@@ -31,6 +31,8 @@ from .shared import written
 
 #: Bins of a histogram for each node.
 BINS = 2048
+#: Tree nodes whose table is broadcast; a larger tree is joined as Spark sees fit.
+MOST_BROADCAST = 1 << 16
 
 
 def _code(column: Column) -> Column:
@@ -44,13 +46,16 @@ def points(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta
     size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text)
     values = [F.least(size, F.lit((1 << 31) - 1)), *(_code(F.col(c)) for c in metadata)]
     keys = [(F.shiftleft(v.cast("long"), 32) + crc).alias(f"k{i}") for i, v in enumerate(values)]
-    h = F.xxhash64(F.col(id_col), F.lit("kd")).bitwiseAND(F.lit((1 << 62) - 1))
+    # the id's hash orders rows; its last bits come from the row's place, so that repeated rows can be told apart
+    place = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 22) - 1))
+    h = F.xxhash64(F.col(id_col), F.lit("kd")).bitwiseAND(F.lit((1 << 62) - (1 << 22))).bitwiseOR(place)
     return docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), h.alias("h"), *keys)
 
 
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table from a literal; its size is bounded by the number of tree nodes."""
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("x")).select("x.*")
+    """A table of one row a tree node, broadcast while it has at most MOST_BROADCAST rows (some 3 MB)."""
+    out = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("x")).select("x.*")
+    return F.broadcast(out) if len(rows) <= MOST_BROADCAST else out
 
 
 def _located(pts: DataFrame, levels: list[list[dict]]) -> DataFrame:
@@ -58,7 +63,7 @@ def _located(pts: DataFrame, levels: list[list[dict]]) -> DataFrame:
     out = pts.withColumn("node", F.lit(0).cast("long"))
     dims = [c for c in pts.columns if c[0] == "k" and c[1:].isdigit()]
     for cuts in levels:
-        small = F.broadcast(_table(pts.sparkSession, cuts, "node:bigint, dim:int, cut:bigint, cut_h:bigint, right:bigint"))
+        small = _table(pts.sparkSession, cuts, "node:bigint, dim:int, cut:bigint, cut_h:bigint, right:bigint")
         key = F.element_at(F.array(*dims), F.col("dim") + 1)
         beyond = (key > F.col("cut")) | ((key == F.col("cut")) & (F.col("h") > F.col("cut_h")))
         out = out.join(small, "node", "left").withColumn("node", F.when(beyond, F.col("right")).otherwise(F.col("node"))).drop("dim", "cut", "cut_h", "right")
@@ -73,12 +78,11 @@ def _cuts(rows: DataFrame, goals: dict[int, dict], tolerance: float) -> None:
         g |= {"before": 0, "phase": 0, "key": 0, "open": True}
     while todo := {n: g for n, g in goals.items() if g["open"]}:
         asked = [{"node": n, "dim": g["dim"], "lo": g["lo"], "hi": g["hi"], "wide": max(1, -(-(g["hi"] - g["lo"] + 1) // BINS)), "phase": g["phase"], "key": g["key"], "want": g["goal"] - g["before"]} for n, g in todo.items()]
-        small = F.broadcast(_table(spark, asked, "node:bigint, dim:int, lo:bigint, hi:bigint, wide:bigint, phase:int, key:bigint, want:bigint"))
+        small = _table(spark, asked, "node:bigint, dim:int, lo:bigint, hi:bigint, wide:bigint, phase:int, key:bigint, want:bigint")
         key = F.element_at(F.array(*dims), F.col("dim") + 1)
         near = rows.join(small, "node").withColumn("_v", F.when(F.col("phase") == 0, key).otherwise(F.col("h"))).where(((F.col("phase") == 0) | (key == F.col("key"))) & F.col("_v").between(F.col("lo"), F.col("hi")))
         bins = near.groupBy("node", "want", F.expr("(_v - lo) div wide").alias("bin")).agg(F.sum("size").alias("mass"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.count("*").alias("n"))
-        bins.createOrReplaceTempView("_kd_bins")
-        ran = spark.sql("SELECT *, sum(mass) OVER (PARTITION BY node ORDER BY bin) AS upto FROM _kd_bins").where("upto >= want")
+        ran = bins.withColumn("upto", F.sum("mass").over(Window.partitionBy("node").orderBy("bin"))).where("upto >= want")
         picked = ran.groupBy("node").agg(F.min_by(F.struct("least", "most", "mass", "upto", "n"), "bin").alias("x")).select("node", "x.*")
         for r in picked.collect():
             g = goals[r["node"]]
@@ -127,8 +131,7 @@ def slots(rows: DataFrame, n_shards: int, n_rows: int, bucket_rows: int = 4096)
     n = max(1, ceil(n_rows / n_shards / bucket_rows))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(n)))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("many"))
-    counts.createOrReplaceTempView("_kd_counts")
-    begins = rows.sparkSession.sql("SELECT shard, bucket, sum(many) OVER (PARTITION BY shard ORDER BY bucket) - many AS begin FROM _kd_counts")
+    begins = counts.select("shard", "bucket", (F.sum("many").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("many")).alias("begin"))
     within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "id", "size", "crc"))
     return rows.join(begins, ["shard", "bucket"]).withColumn("slot", F.col("begin") + within - 1).drop("bucket", "begin")
 

@@ -24,8 +24,8 @@ larger benchmark means more passes and no larger broadcast.  No documents are
 shuffled or compared with each other: a hot source, passage or group of
 copies costs what its bytes cost.
 
-Null and empty texts match nothing; null and wordless items are left out, and
-repeated items each match.  Repeated rows get equal answers.  Very long texts
+Null and empty texts match nothing; null and wordless items are left out, an
+item without an id keeps its null, and repeated items each match.  Repeated rows get equal answers.  Very long texts
 are searched whole.  An empty table gives no rows.  Extra columns are ignored
 by `matches` and kept by `clean`.
 """
@@ -42,6 +42,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit
 
@@ -62,7 +63,7 @@ class Settings:
 class Items:
     """A block of benchmark items: word hashes, their vocabulary, and answers."""
 
-    ids: list[int]
+    ids: list
     words: list[np.ndarray]
     answers: list[np.ndarray | None]
     vocabulary: np.ndarray = field(init=False)
@@ -89,7 +90,7 @@ def folded(column: pa.Array) -> textkit.Words:
 _ANSWER = re.compile(r".*(?:\?|\banswer\s*:)\s*(.+)\Z", re.I | re.S)
 
 
-def read_items(rows: list[tuple[int, str]]) -> Items:
+def read_items(rows: list[tuple]) -> Items:
     ids, found, answers = [], [], []
     for key, text in rows:
         own = folded(pa.array([text])).hash
@@ -238,7 +239,9 @@ def sketch(docs: DataFrame, items: Items, idf: np.ndarray, omega: np.ndarray, s:
                     sums[at] = sums.get(at, 0) + np.frombuffer(part)
         yield pa.record_batch([pa.array([-1, *sums], pa.int64()), pa.array([n, *[0] * len(sums)], pa.int64()), pa.array([b"", *(x.astype(np.float32).tobytes() for x in sums.values())], pa.binary())], names=["at", "n", "part"])
 
-    most = 4 * spark.sparkContext.defaultParallelism
+    # few tasks, as each returns a whole sketch, but none of more than 64 splits, so that a lost one is soon made up for
+    splits = docs.rdd.getNumPartitions()
+    most = max(4 * spark.sparkContext.defaultParallelism, -(-splits // 64))
     schema = "at long, n long, part binary"
     parts = docs.select("text").coalesce(most).mapInArrow(run, schema)
     out, n = np.zeros(omega.shape), 0
@@ -332,13 +335,13 @@ class Search:
 
 def searches(docs: DataFrame, benchmark: DataFrame, s: Settings, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text") -> Iterator[Search]:
     """A Search for each block of the benchmark, fitted on all texts of docs."""
-    items = benchmark.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    items = benchmark.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = F.greatest(F.lit(1), F.ceil(F.size(F.split(F.trim("text"), r"\W+")) / (2 * s.block)))
     blocks = max(1, ceil((items.agg(F.sum(size)).first()[0] or 0) / s.most_items))
     texts = docs.select(F.col(docs_text).alias("text"))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        it = read_items(sorted((r["id"], r["text"]) for r in part.collect()))
+        it = read_items(sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1])))
         if not it.ids:
             continue
         df, n = frequencies(texts, it, s)
@@ -354,24 +357,25 @@ def searches(docs: DataFrame, benchmark: DataFrame, s: Settings, id_col: str = "
         yield Search(it, idf, idf[:, None] * space, own, owner, s)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc id, item_id, cosine, share) for each contaminated document and item."""
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id long, cosine double, share double"
+    key = benchmark.schema[item_col].dataType
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id {key.simpleString()}, cosine double, share double"
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
-    for search in searches(docs, benchmark, settings or Settings(), docs_text=text_col):
+    for search in searches(docs, benchmark, settings or Settings(), id_col=item_col, docs_text=text_col):
         given = docs.sparkSession.sparkContext.broadcast(search)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             for batch in textkit.sliced(batches, "text", 1 << 20):
                 found = given.value.find(batch.column(1))
                 ids = batch.column(0).take(pa.array([t for t, *_ in found], pa.int64()))
-                keys = pa.array([given.value.items.ids[i] for _, i, *_ in found], pa.int64())
+                keys = pa.array([given.value.items.ids[i] for _, i, *_ in found], to_arrow_type(key))
                 yield pa.record_batch([ids, keys, pa.array([c for _, _, c, _ in found], pa.float64()), pa.array([x for *_, x in found], pa.float64())], names=["id", "item_id", "cosine", "share"])
 
         one = own.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else own.limit(0).selectExpr("id", "0L AS item_id", "0D AS cosine", "0D AS share")
+    return out if out is not None else own.limit(0).selectExpr("id", f"CAST(NULL AS {key.simpleString()}) AS item_id", "0D AS cosine", "0D AS share")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, text_col: str = "text") -> DataFrame:

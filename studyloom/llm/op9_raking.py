@@ -43,11 +43,11 @@ def form(text: Column) -> Column:
 
 
 def featured(docs: DataFrame, source_col: str, lang_col: str, text_col: str, topic_col: str | None) -> list[Column]:
-    """The cell keys and tokens of a row, under names of this module's own."""
+    """The cell keys and the tokens of a row."""
     text = F.col(text_col).cast("string")
     topic = F.col(topic_col).cast("string") if topic_col else form(text)
     keys = zip(DIMS, (F.col(source_col), F.col(lang_col), topic), strict=True)
-    return [*(F.coalesce(c.cast("string"), F.lit(_NONE)).alias(f"_mix_{d}") for d, c in keys), n_tokens(text).alias("_mix_tokens")]
+    return [*(F.coalesce(c.cast("string"), F.lit(_NONE)).alias(d) for d, c in keys), n_tokens(text).alias("tokens")]
 
 
 def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
@@ -61,18 +61,20 @@ def _summed(cells: DataFrame, dim: str) -> DataFrame:
     return cells.groupBy(dim).agg(F.sum("w").alias("sum"), F.first(f"t_{dim}").alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, most_sweeps: int = 20) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, stalled: float = 0.98) -> DataFrame:
     """cells (source, lang, topic, tokens) with weights w whose marginals match the targets.
 
     targets has for each dimension a table (dim, target) of shares; values without a target get weight 0.
-    Cells of zero tokens stay at 0.  Where no weights can meet all targets, because cells are missing, the last
-    sweep's weights are the answer and meet the last dimension.  Stops once every marginal is within the relative tolerance.
+    Cells of zero tokens stay at 0.  Sweeps go on until every marginal is within the relative tolerance.  Where cells
+    are missing, no weights may meet all targets: once two sweeps leave more than the part `stalled` of the worst
+    deviation they end, the weights meet the last dimension, and column off, the worst deviation, tells so.
     """
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMS:
         now = now.join(targets[d].withColumnRenamed("target", f"t_{d}"), d, "left").fillna(0.0, [f"t_{d}"])
     now = written(now, "raking")
-    for _ in range(0, most_sweeps, 2):
+    last = float("inf")
+    while True:
         then = now
         for d in DIMS * 2:
             factor = _summed(then, d).select(d, F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("f"))
@@ -85,9 +87,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         worst = off.agg(F.max("off")).first()[0]
         removed(now)
         now = then
-        if worst is None or worst <= tolerance:
-            break
-    return now
+        if worst is None or worst <= tolerance or worst > stalled * last:
+            return now.withColumn("off", F.lit(float(worst or 0.0)))
+        last = worst
 
 
 def calibrated(cells: DataFrame, share: float) -> DataFrame:
@@ -108,26 +110,26 @@ def calibrated(cells: DataFrame, share: float) -> DataFrame:
 
 def mixing(docs: DataFrame, share: float = 0.8, power: float = 0.7, targets: dict[str, DataFrame] | None = None, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
     """The cells of docs with tokens, docs, w and p; keys are source, lang and topic."""
-    own = docs.select(*featured(docs, source_col, lang_col, text_col, topic_col)).toDF(*DIMS, "tokens")
+    own = docs.select(*featured(docs, source_col, lang_col, text_col, topic_col))
     cells = written(own.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
     goal = {d: tempered(cells, d, power) for d in DIMS} | (targets or {})
     return written(calibrated(rake(cells, goal), share), "cells-raked")
 
 
 def chosen(docs: DataFrame, cells: DataFrame, id_col: str = "doc_id", seed: str = "mix", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
-    """docs with _mix_* columns: keys, tokens, weight for each token, probability and selected."""
-    keyed = docs.select("*", *featured(docs, source_col, lang_col, text_col, topic_col))
-    known = cells.select(*(F.col(d).alias(f"_mix_{d}") for d in DIMS), F.col("ratio").alias("_mix_weight"), F.col("p").alias("_mix_p"))
+    """(row, source, lang, topic, tokens, ratio, p, selected) for each row of docs, which is the struct `row` with all its columns."""
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return keyed.join(known, [f"_mix_{d}" for d in DIMS]).withColumn("_mix_selected", draw < F.col("_mix_p"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(whole.alias("row"), *featured(docs, source_col, lang_col, text_col, topic_col), draw.alias("draw"))
+    return keyed.join(cells.select(*DIMS, "ratio", "p"), list(DIMS)).withColumn("selected", F.col("draw") < F.col("p"))
 
 
 def sampled(docs: DataFrame, share: float = 0.8, power: float = 0.7) -> DataFrame:
     """The rows of docs that the mix selects, with docs' own columns."""
-    return chosen(docs, mixing(docs, share, power)).where("_mix_selected").select(*docs.columns)
+    return chosen(docs, mixing(docs, share, power)).where("selected").select("row.*")
 
 
 def op9_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     found = chosen(docs, mixing(docs))
-    return found.select("doc_id", "source", "lang", F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_weight").alias("weight"), F.col("_mix_p").alias("probability"), F.col("_mix_selected").alias("selected"))
+    return found.select("row.doc_id", "row.source", "row.lang", "topic", F.col("tokens").alias("n_tokens"), F.col("ratio").alias("weight"), F.col("p").alias("probability"), "selected")

@@ -28,6 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as keep them apart from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    lead = ""
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

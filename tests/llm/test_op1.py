@@ -12,7 +12,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def text_of(source, known=None):
-    return H.extract(H.parse(source), known or {}, 3, 0.1)
+    return H.extract(H.parse(source), known or {})
 
 
 def test_article_without_its_furniture():

@@ -22,16 +22,18 @@ def test_round_trip(spark, pages, version, file_bytes):
     A.write_warc(written(A.converted(A.read_arc(spark, arc)), "t-parts"), warc, file_bytes=file_bytes)
     back = A.read_warc(spark, warc).collect()
     assert len(back) == pages.count()
+    assert len({r["headers"]["warc-record-id"] for r in back}) == len(back)
+    assert sum(r["headers"]["warc-type"] == "response" for r in back) == len({r["html"] or "" for r in pages.collect()})
     by_id = {r["headers"]["warc-record-id"]: r for r in back}
     first = {}
     for r in sorted(pages.collect(), key=lambda r: r["page_id"]):
         first.setdefault(r["html"] or "", r["page_id"])
     for r in back:
-        h, key = r["headers"], int(r["http"].split(b"X-Key: ")[1].split(b"\r\n")[0])
+        h, key = r["headers"], int(r["http"].split(b"X-Key: %3D")[1].split(b"\r\n")[0])
         source = next(x for x in pages.collect() if x["page_id"] == key)["html"] or ""
         assert h["warc-payload-digest"] == "sha1:" + A.digest(source.encode())
         assert h["warc-date"] == "2008-01-01T00:00:00Z"
-        if first[source] == key:
+        if first[source] == key and h["warc-type"] == "response":
             assert h["warc-type"] == "response" and r["payload"] == source.encode()
         else:
             assert h["warc-type"] == "revisit" and r["payload"] == b""
@@ -63,3 +65,12 @@ def test_query_on_a_folder(spark, pages, tmp_path):
     assert rows[None]["record_type"] == "response" and rows[None]["payload_bytes"] == 13
     pages.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
     assert A.op4_archive(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_keys_of_text_and_repeated_rows(spark, tmp_path):
+    rows = [("b/ 1", "u", "same"), ("a:\u00e9", "u", "same"), ("a:\u00e9", "u", "same"), ("", "u", "other"), (None, "u", "other")]
+    spark.createDataFrame(rows, "page_id string, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = A.op4_archive(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"] or "", r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 4) == [("a:\u00e9", "response", None), ("a:\u00e9", "revisit", "a:\u00e9"), ("b/ 1", "revisit", "a:\u00e9")]
+    assert [(r["page_id"], r["record_type"]) for r in got if r["payload_bytes"] == 5 and r["record_type"] == "response"] == [(None, "response")]
+    assert [(r["page_id"], r["refers_to"]) for r in got if r["payload_bytes"] == 5 and r["record_type"] == "revisit"] == [("", None)]

@@ -92,24 +92,24 @@ def test_raking_against_brute_force(spark):
             w = {k: v * target[d][k[i]] / sums[k[i]] for k, v in w.items()}
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     goals = {d: spark.createDataFrame(list(t.items()), f"{d} string, target double") for d, t in target.items()}
-    got = {(r["source"], r["lang"], r["topic"]): r["w"] for r in M.rake(df, goals, tolerance=1e-9, most_sweeps=400).collect()}
+    got = {(r["source"], r["lang"], r["topic"]): r["w"] for r in M.rake(df, goals, tolerance=1e-9, stalled=0.9999).collect()}
     assert all(abs(got[k] - w[k]) < 1e-6 for k in w)
 
 
 def test_cells_without_tokens(spark):
     rows = [(1, None, "a", "x"), (2, "", "a", "x"), (3, "one two", "b", "y"), (4, "three", "b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    got = {r["doc_id"]: r for r in M.chosen(docs, M.mixing(docs)).collect()}
-    assert len(got) == 4 and got[1]["_mix_p"] == 1.0 and got[1]["_mix_tokens"] == 0
+    got = {r["row"]["doc_id"]: r for r in M.chosen(docs, M.mixing(docs)).collect()}
+    assert len(got) == 4 and got[1]["p"] == 1.0 and got[1]["tokens"] == 0
 
 
 def test_sample_is_calibrated_and_repeatable(hot_docs, odd_docs, no_docs):
     docs = hot_docs.withColumn("text", F.concat_ws(" ", "text", F.lit("one two three")))
     cells = M.mixing(docs, share=0.6)
     rows = M.chosen(docs, cells).collect()
-    kept = sum(r["_mix_tokens"] for r in rows if r["_mix_selected"]) / sum(r["_mix_tokens"] for r in rows)
+    kept = sum(r["tokens"] for r in rows if r["selected"]) / sum(r["tokens"] for r in rows)
     assert abs(kept - 0.6) < 0.04
-    assert {r["doc_id"] for r in M.sampled(docs, 0.6).collect()} == {r["doc_id"] for r in rows if r["_mix_selected"]}
+    assert {r["doc_id"] for r in M.sampled(docs, 0.6).collect()} == {r["row"]["doc_id"] for r in rows if r["selected"]}
     assert M.sampled(odd_docs).columns == odd_docs.columns and M.sampled(no_docs).count() == 0
     assert M.chosen(odd_docs, M.mixing(odd_docs)).count() == odd_docs.count()
 
