@@ -61,7 +61,7 @@ def _summed(cells: DataFrame, dim: str) -> DataFrame:
     return cells.groupBy(dim).agg(F.sum("w").alias("sum"), F.first(f"t_{dim}").alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, stalled: float = 0.98) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, stalled: float = 0.9) -> DataFrame:
     """cells (source, lang, topic, tokens) with weights w whose marginals match the targets.
 
     targets has for each dimension a table (dim, target) of shares; values without a target get weight 0.
