@@ -35,17 +35,24 @@ def packed(lines: Column, most: int = RAW_CHARS) -> Column:
 
 
 def raw_chunks(sources: DataFrame, most: int = RAW_CHARS) -> DataFrame:
-    """(sourceId, sourceName, text) as raw chunks with their evidence, numbered from 1."""
+    """(sourceId, sourceName, text) as raw chunks, numbered from 1.
+
+    A raw chunk's paragraphs are its evidence as well, so chars, the length of its whole chunk text, counts them twice.
+    """
     lines = F.filter(F.transform(F.split("text", r"\n"), T.trimmed), lambda x: x != "")
     cut = sources.select("sourceId", "sourceName", F.posexplode(packed(lines, most)).alias("i", "evidence"))
     number = F.col("i") + 1
+    heading = F.concat(F.lit("Original lecture text · part "), number)
     return cut.select(
         "sourceId",
         "sourceName",
         F.concat("sourceId", F.lit("-raw-"), number).alias("sectionId"),
-        F.concat(F.lit("Original lecture text · part "), number).alias("heading"),
+        heading.alias("heading"),
         F.array_join("evidence", "\n").alias("text"),
         F.size("evidence").alias("n_lines"),
+        F.col("evidence").alias("paragraphs"),
+        "evidence",
+        F.length(chunk_text(heading, F.col("evidence"), F.col("evidence"))).alias("chars"),
     )
 
 
@@ -60,7 +67,8 @@ def chunk_text(heading: Column, *arrays: Column) -> Column:
 
 
 def usable(chunks: DataFrame, least: int = 45) -> DataFrame:
-    return chunks.where(F.length("text") >= least)
+    """Chunks whose whole text, see chunk_text, has at least so many characters (column chars)."""
+    return chunks.where(F.col("chars") >= least)
 
 
 def flattened(header: Column, bullets: Column, indent: str = "") -> Column:
@@ -88,6 +96,9 @@ def structured_chunks(sources: DataFrame) -> DataFrame:
 
 
 def lacking(structured: DataFrame, sources: DataFrame, least: float = 0.75) -> DataFrame:
-    """Sources whose structured chunks (sourceId, text) hold less than `least` of the raw text's length."""
-    have = structured.groupBy("sourceId").agg(F.sum(F.length("text")).alias("have"))
+    """Sources whose structured chunks (sourceId, parts) hold less than `least` of the raw text's length.
+
+    parts are a chunk's paragraphs, bullets and evidence; equal ones count once.
+    """
+    have = structured.groupBy("sourceId").agg(F.sum(F.length(F.array_join(F.array_distinct("parts"), "\n"))).alias("have"))
     return sources.join(have, "sourceId", "left").where(F.coalesce("have", F.lit(0)) < least * F.length("text")).drop("have")

@@ -313,9 +313,9 @@ def raw_chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     return chunking.raw_chunks(raw_sources(spark, d)).select("sectionId", "heading", "text", "n_lines")
 
 
-@query(f"""{_PACK} SELECT doc_id || '-raw-' || k AS "sectionId", sum(length(ls[i]))::BIGINT + count(*) - 1 AS chars FROM p GROUP BY doc_id, k HAVING sum(length(ls[i])) + count(*) - 1 >= 45""")
+@query(f"""{_PACK} SELECT doc_id || '-raw-' || k AS "sectionId", (length('Original lecture text · part ' || k) + 2 * (sum(length(ls[i])) + count(*)))::BIGINT AS chars FROM p GROUP BY doc_id, k HAVING length('Original lecture text · part ' || k) + 2 * (sum(length(ls[i])) + count(*)) >= 45""")
 def usable_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.usable(chunking.raw_chunks(raw_sources(spark, d))).select("sectionId", F.length("text").cast("long").alias("chars"))
+    return chunking.usable(chunking.raw_chunks(raw_sources(spark, d))).select("sectionId", F.col("chars").cast("long").alias("chars"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_concat(ls, ls))), lambda x: x), '|') AS content FROM (SELECT doc_id, {lines_sql('text')} AS ls FROM documents)")
@@ -334,11 +334,13 @@ def sections_flatten(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", chunking.flattened(F.col("source"), lines(F.col("text"))).alias("flat"))
 
 
-@query("SELECT doc_id FROM documents WHERE coalesce(length(split_part(text, chr(10), 1)), 0) < 0.75 * length(text)")
+@query(f"""SELECT doc_id FROM (SELECT doc_id, text, list_distinct(list_filter({lines_sql('text')}, x -> length(x) >= 120)) AS parts FROM documents)
+WHERE coalesce(list_sum(list_transform(parts, x -> length(x))), 0) + greatest(len(parts) - 1, 0) < 0.75 * length(text)""")
 def structured_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's long lines as the one structured chunk, as bullets and as evidence."""
     s = raw_sources(spark, d)
-    heads = s.select("sourceId", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
-    return chunking.lacking(heads, s).select(F.col("sourceId").cast("long").alias("doc_id"))
+    long_lines = F.filter(lines(F.col("text")), lambda x: F.length(x) >= 120)
+    return chunking.lacking(s.select("sourceId", F.concat(long_lines, long_lines).alias("parts")), s).select(F.col("sourceId").cast("long").alias("doc_id"))
 
 
 @query()
@@ -449,7 +451,7 @@ def rounding_rules(spark: SparkSession, d: str) -> DataFrame:
 def coverage_plan(spark: SparkSession, d: str) -> DataFrame:
     """A plan of 25 questions for each document's raw chunks."""
     chunks = chunking.raw_chunks(raw_sources(spark, d))
-    return planning.coverage_plan(chunks.select(F.col("sourceId").alias("request"), F.substring_index("sectionId", "-", -1).cast("int").alias("ordinal"), "sectionId", "text"), 25)
+    return planning.coverage_plan(chunks.select(F.col("sourceId").alias("request"), F.substring_index("sectionId", "-", -1).cast("int").alias("ordinal"), "sectionId", "chars"), 25)
 
 
 # --- deduplication and validation ----------------------------------------------------------------------------------

@@ -21,6 +21,17 @@ def test_allocation_by_hand():
     assert planning.allocated([800, 200], 100) == [55, 45]  # the cap pass sends the excess back once
     assert planning.split(25, 10) == [9, 8, 8]
     assert planning.allocated([100], 7) == [7]
+    assert planning.allocated([10, 10, 10], 2) == [1, 1, 0] and planning.evened([9, 0, 0], 4) == [4, 3, 2]
+    assert planning.dealt([3, 1, 2], [4, 2]) == [[(0, 3), (1, 1)], [(2, 2)]] and planning.dealt([5, 1], [2, 2, 2]) == [[(0, 2)], [(1, 1), (0, 1)], [(0, 2)]]
+    assert planning.planned([("a", 100), ("a", 100)], 4, 2, offset=7) == [(7, "a", 2), (8, "a", 2)] and planning.planned([], 3, 2) == []
+
+
+def test_a_raw_chunk_counts_its_heading_and_its_lines_twice(spark):
+    rows = spark.createDataFrame([("s", "n", "abc\ncde")], "sourceId string, sourceName string, text string")
+    chunk = chunking.raw_chunks(rows).first()
+    assert chunk["chars"] == len("\n".join([chunk["heading"], "abc", "cde", "abc", "cde"])) and chunk["text"] == "abc\ncde"
+    plan = planning.coverage_plan(chunking.raw_chunks(rows).selectExpr("sourceId AS request", "1 AS ordinal", "sectionId", "chars"), 12).collect()
+    assert sorted((r["batch"], r["quota"]) for r in plan) == [(0, 6), (1, 6)]  # its six characters alone would be too few
 
 
 @given(st.lists(st.integers(45, 5000), min_size=1, max_size=12), st.integers(1, 100), st.integers(5, 20))
