@@ -54,50 +54,95 @@ def test_no_training_rows_and_no_rows(corpus):
     assert L.scored(corpus.limit(0), held).count() == 0
 
 
-def brute_predicted(word, room, comes, opens, p, d, s):
-    """A restaurant's predictions from its definition, customer by customer."""
-    out = []
-    for i in range(len(word)):
-        before = [j for j in range(i) if room[j] == room[i]]
-        c = sum(comes[j] for j in before if word[j] == word[i])
-        t = sum(opens[j] for j in before if word[j] == word[i])
-        out.append((max(c - d * t, 0) + (s + d * sum(opens[j] for j in before)) * p[i]) / (s + sum(comes[j] for j in before)))
-    return np.array(out)
-
-
-def test_levels_against_the_definition():
+def brute_tables(customers, mass, discount, key, salt):
+    """Customers sit down one after the other."""
+    n = t = 0
+    for _ in range(customers):
+        place = (key + n * 0xD1342543DE82EF95) % (1 << 64)
+        if n == 0 or float(L.uniform(np.array([place], np.uint64), salt)[0]) * (mass + n - discount * t) < mass:
+            t += 1
+        n += 1
+    return t
+
+
+def brute_scores(docs, chains=2, strength=1.0, root_strength=10.0):
+    """The model from its definition: every restaurant in one place, one customer at a time."""
+    name = {None: int(L.START)} | {w: L.textkit.hash_of(w.encode()) for d in docs.values() for w in d}
+    pairs, words = Counter(), Counter()
+    for i, d in docs.items():
+        if not held(str(i)):
+            pairs.update(zip([None, *d[:-1]], d, strict=True))
+            words.update(d)
+    context = Counter(u for u, _ in pairs.elements())
+    discount = L.discount_of(sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values()))
+    root_discount = L.discount_of(sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values()))
+    base = 1 / (len(words) + 1)
+    cut = 64 - min(64, 24 + sum(map(len, docs.values())).bit_length())
+    models = []
+    for k in range(chains):
+        tables = dict.fromkeys(pairs, 1)
+        top = dict.fromkeys(words, 1)
+
+        def parent(w):
+            n = sum(t for (_, x), t in tables.items() if x == w)
+            return (max(n - root_discount * top.get(w, 0), 0) + (root_strength + root_discount * sum(top.values())) * base) / (root_strength + sum(tables.values()))
+
+        def room(u):
+            return strength + discount * sum(t for (x, _), t in tables.items() if x == u)
+
+        new = {}
+        for (u, w), c in pairs.items():
+            key = int(L.pair_key(np.array([name[u]], np.uint64), np.array([name[w]], np.uint64))[0])
+            new[u, w] = brute_tables(c, room(u) * parent(w), discount, key, 2 * (chains + k))
+        mass = (root_strength + root_discount * sum(top.values())) * base
+        tables = new
+        top = {w: brute_tables(sum(t for (_, x), t in tables.items() if x == w), mass, root_discount, name[w] >> cut << cut, 2 * (chains + k) + 1) for w in words}
+        p = {w: parent(w) for w in name if w is not None}
+        rooms = {u: room(u) for u in name}
+        models.append((dict(tables), p, rooms))
+
+    def predicted(u, w):
+        return sum((max(pairs[u, w] - discount * t.get((u, w), 0), 0) + rooms[u] * p[w]) / (strength + context[u]) for t, p, rooms in models) / chains
+
+    total = sum(predicted("w1", w) for w in words)
+    assert 0.5 < total < 1  # the rest is for words never seen
+    return {i: sum(math.log10(predicted(u, w)) for u, w in zip([None, *d[:-1]], d, strict=True)) for i, d in docs.items()}
+
+
+def test_scores_against_brute_force_and_over_layouts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"W{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 25)))) for i in range(50)] + [(50, "w1 w2 " * 60), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_scores({i: tokens(t) for i, t in rows})
+    one = {r["id"]: r["score"] for r in L.scored(docs.repartition(1), held, chunk_bytes=300, hot=3).collect()}
+    five = {r["id"]: r["score"] for r in L.scored(docs.repartition(5), held).collect()}
+    assert one.keys() == five.keys() == want.keys()
+    for i in want:
+        assert one[i] == pytest.approx(five[i], rel=1e-9) and one[i] == pytest.approx(want[i], rel=1e-9)
+
+
+def test_seating_one_by_one_and_by_thinning():
+    """Few customers agree with the definition one by one, many have the known mean of a plain restaurant."""
+    rng = np.random.default_rng(0)
+    n, mass, key = rng.integers(0, 300, 200), rng.random(200) * 5 + 0.01, rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    got = L.seated(n, mass, 0.6, key, 9)
+    assert got.tolist() == [brute_tables(int(c), float(m), 0.6, int(k), 9) for c, m, k in zip(n, mass, key, strict=True)]
+    customers, strength = 50_000, 5.0
+    many = L.seated(np.full(600, customers), np.full(600, strength), 0.0, rng.integers(0, 1 << 63, 600).astype(np.uint64), 3)
+    p = strength / (strength + np.arange(customers))
+    assert abs(many.mean() - p.sum()) < 4 * math.sqrt((p * (1 - p)).sum() / 600)
+    assert L.seated(np.zeros(0, np.int64), np.zeros(0), 0.5, np.zeros(0, np.uint64), 1).tolist() == []
+
+
+def test_packing_and_buckets():
     rng = np.random.default_rng(1)
-    word, room = rng.integers(0, 6, 200), np.sort(rng.integers(0, 4, 200))
-    level = L.Level(room, word, 7)
-    comes = rng.random(200) < 0.8
-    p = rng.random(200) / 6
-    opens = level.opened(comes, p, 0.4, 2.0, rng.random(200), comes & (level.before(comes, level.table) == 0))
-    assert not (opens & ~comes).any()
-    first = comes & (level.before(comes, level.table) == 0)
-    assert opens[first].all()
-    assert np.allclose(level.predicted(comes, opens, p, 0.4, 2.0), brute_predicted(word, room, comes, opens, p, 0.4, 2.0))
-
-
-def test_predictions_sum_to_one():
-    """After any history, the probabilities of all words add up to that of the parent."""
-    rng = np.random.default_rng(3)
-    history = rng.integers(0, 5, 60)
-    total = 0.0
-    for nxt in range(5):
-        word = np.append(history, nxt)
-        level = L.Level(np.zeros(61, np.int64), word, 6)
-        comes = np.ones(61, bool)
-        opens = level.opened(comes, np.full(61, 0.2), 0.5, 1.5, np.append(np.random.default_rng(9).random(60), 1.0), level.rank == 0)
-        total += level.predicted(comes, opens, np.full(61, 0.2), 0.5, 1.5)[-1]
-    assert total == pytest.approx(1.0)
-
-
-def test_seating_has_the_expected_number_of_tables():
-    """One dish, parent probability 1: tables of a plain restaurant, whose mean is known for discount 0."""
-    n, strength = 400, 5.0
-    tables = L.seated(np.full(4000, float(n)), np.full(4000, strength), 0.0, np.random.default_rng(0))
-    want = sum(strength / (strength + i) for i in range(n))
-    assert abs(tables.mean() - want) < 0.03 * want
+    for x in (np.zeros(0, np.uint64), np.array([0, 0, 7], np.uint64), rng.integers(0, 1 << 63, 999).astype(np.uint64) * np.uint64(2)):
+        assert L.unpacked(L.packed(x), len(x)).tolist() == x.tolist()
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    wire = L.Wire(40, (64, 7))
+    rows = list(wire.send(3, 4, L.PAIRS, keys, [np.arange(len(keys))]))
+    assert [r[3] for r in rows] == list(range(7)) and sum(r[4] for r in rows) == len(keys)
+    assert np.concatenate([np.cumsum(L.unpacked(r[5], r[4]), dtype=np.uint64) for r in rows]).tolist() == (keys >> np.uint64(24)).tolist()
 
 
 def test_languages_on_held_out_rows(spark):
