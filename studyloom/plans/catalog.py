@@ -334,8 +334,8 @@ def sections_flatten(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", chunking.flattened(F.col("source"), lines(F.col("text"))).alias("flat"))
 
 
-@query(f"""SELECT doc_id FROM (SELECT doc_id, text, list_distinct(list_filter({lines_sql('text')}, x -> length(x) >= 120)) AS parts FROM documents)
-WHERE coalesce(list_sum(list_transform(parts, x -> length(x))), 0) + greatest(len(parts) - 1, 0) < 0.75 * length(text)""")
+@query(f"""SELECT doc_id FROM (SELECT doc_id, text, list_distinct(list_filter({lines_sql('text')}, lambda x: length(x) >= 120)) AS parts FROM documents)
+WHERE coalesce(list_sum(list_transform(parts, lambda x: length(x))), 0) + greatest(len(parts) - 1, 0) < 0.75 * length(text)""")
 def structured_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Each source's long lines as the one structured chunk, as bullets and as evidence."""
     s = raw_sources(spark, d)
