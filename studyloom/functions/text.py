@@ -7,6 +7,8 @@ because lower() alone leaves them as they are.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ CATEGORY_WORDS = (
 )
 OTHER_CATEGORY = "PHYSICAL ASSESSMENT & CUE MAPPING"
 CATEGORIES = (*(name for name, _ in CATEGORY_WORDS), OTHER_CATEGORY)
+#: What ends a concept in its evidence, in the order of the tests.
+CONCEPT_ENDS = ("|", ":", " — ", " - ")
 #: Words that a title leaves in lower case.
 CONNECTORS = ("and", "of", "for", "with", "in", "on", "to")
 #: File suffixes that can be read.
@@ -117,11 +121,23 @@ def bullet_text(c: Column) -> Column:
 def concept(c: Column) -> Column:
     """A concept from evidence: what stands before the first separator that has anything before it, else twelve words."""
     t = trimmed(c)
-    tries = [F.when(F.contains(t, F.lit(s)), blank_to_null(F.substring_index(t, s, 1))) for s in ("|", ":", " — ", " - ")]
+    tries = [F.when(F.contains(t, F.lit(s)), blank_to_null(F.substring_index(t, s, 1))) for s in CONCEPT_ENDS]
     words = F.array_join(F.slice(F.split(collapsed(t), " "), 1, 12), " ")
     return F.left(F.coalesce(*tries, F.nullif(words, F.lit("")), F.lit("Lecture concept")), F.lit(120))
 
 
+def stem_key_of(text: str) -> str:
+    """stem_key of a Python string."""
+    return re.sub("[^a-z0-9]+", " ", text.casefold()).strip()
+
+
+def concept_of(text: str) -> str:
+    """concept of a Python string."""
+    whole = text.strip()
+    heads = (whole.partition(s)[0].strip() for s in CONCEPT_ENDS if s in whole)
+    return (next(filter(None, heads), "") or " ".join(whole.split()[:12]) or "Lecture concept")[:120]
+
+
 def category(c: Column) -> Column:
     text, out = casefold(c), None
     for name, words in CATEGORY_WORDS:

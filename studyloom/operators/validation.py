@@ -76,6 +76,6 @@ def rejections(judgement: DataFrame, questions: DataFrame) -> DataFrame:
     return judgement.where("NOT kept").join(own, ["batch", "ordinal"]).select("batch", "ordinal", F.left("reason", F.lit(500)).alias("reason"), F.left("stem", F.lit(240)).alias("stem"), F.left("concept", F.lit(160)).alias("concept"), "section")
 
 
-def hint(rejected: DataFrame, batch: int, sections: list[str], n: int = 12) -> DataFrame:
-    """The last n rejections of a batch or of its sections."""
-    return rejected.where((F.col("batch") == batch) | F.col("section").isin(sections)).orderBy(F.col("ordinal").desc(), "batch").limit(n)
+def hint(rejected: DataFrame, batch: int, sections: list[str], n: int = 12, replacement: bool = False) -> DataFrame:
+    """The last n rejections of a batch or of its sections; in a replacement round the last of all."""
+    return rejected.where(F.lit(replacement) | (F.col("batch") == batch) | F.col("section").isin(sections)).orderBy(F.col("ordinal").desc(), "batch").limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -10,7 +10,8 @@ from ..functions import quotes
 from ..functions import text as T
 from ..functions.keyterms import key_terms_of
 from ..functions.similarity import ratio
-from ..operators import analytics, chunking, dedup, facts, grounding, planning, provider, structure, tables, validation
+from ..operators import analytics, chunking, dedup, facts, generation, grounding, planning, provider, structure, tables, validation
+from ..sources import requests
 from ..sources.files import supported
 from .registry import query, table
 from .views import ATTEMPTS, CALLS, FOLD, MODULES, QUESTIONS, attempts, calls, lines, lines_sql, modules, questions, raw_sources, stem_key_sql
@@ -536,6 +537,81 @@ def token_usage_alias(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", given.alias("input_tokens"), made.alias("output_tokens"), total.alias("total_tokens"))
 
 
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN event_type || '-' || event_id ELSE '' END AS text FROM events""")
+def response_text(spark: SparkSession, d: str) -> DataFrame:
+    """Responses that hold their text whole, in parts beside a refusal, and not at all."""
+    e = table(spark, d, "events")
+
+    def part(kind: str, text) -> Column:
+        return F.struct(F.lit(kind).alias("type"), text.alias("text"))
+
+    parts = F.array(part("output_text", F.concat("event_type", F.lit("-"))), part("refusal", F.lit("no")), part("text", F.col("event_id").cast("string")))
+    whole = F.to_json(F.struct(F.col("event_type").alias("output_text")))
+    pieces = F.to_json(F.struct(F.lit(" ").alias("output_text"), F.array(F.struct(parts.alias("content"))).alias("output")))
+    kind = F.pmod("event_id", F.lit(3))
+    return e.select("event_id", provider.response_text_of(F.when(kind == 0, whole).when(kind == 1, pieces).otherwise(F.lit("{}"))).alias("text"))
+
+
+@query("""SELECT doc_id, status, CASE WHEN status = 200 THEN octet_length(encode(text)) END AS n_bytes FROM (SELECT *, CASE WHEN doc_id % 5 = 0 OR text IS NULL OR text = '' THEN 400 WHEN doc_id % 3 = 0 THEN 415 WHEN doc_id % 5 = 1 THEN 422 ELSE 200 END AS status FROM documents)""")
+def upload_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads that are empty, of a type that is not read, no base64, and whole."""
+    docs, kind = table(spark, d, "documents"), F.pmod("doc_id", F.lit(5))
+    encoded = F.base64(F.encode("text", "UTF-8"))
+    content = F.when(kind == 0, "").when((kind == 1) & (F.col("text") != ""), F.concat(encoded, F.lit("!"))).otherwise(encoded)
+    names = F.when(F.pmod("doc_id", F.lit(3)) == 0, "notes.xls").otherwise("notes.TXT")
+    found = requests.uploads(docs.select("doc_id", names.alias("filename"), F.regexp_replace(content, r"[\r\n]", "").alias("content_base64")))
+    return found.select("doc_id", "status", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query("""SELECT doc_id, 0 AS ordinal, CASE WHEN doc_id % 2 = 0 THEN 'source' ELSE doc_id::VARCHAR END AS "sourceId", source AS "sourceName", length(trim(text, chr(9) || chr(10) || chr(13) || ' ')) AS n_chars, CASE WHEN doc_id % 3 = 0 THEN '[{"header":"a"}]' WHEN doc_id % 3 = 1 THEN '[{"header":"b"}]' ELSE '[]' END AS sections
+FROM documents WHERE trim(text, chr(9) || chr(10) || chr(13) || ' ') <> ''""")
+def request_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of two sources, one of them blank, under either name for their sections."""
+    docs, kind = table(spark, d, "documents"), F.pmod("doc_id", F.lit(3))
+    one, two = (F.when(kind == i, F.array(F.struct(F.lit(h).alias("header")))) for i, h in enumerate("ab"))
+    name = F.when(F.pmod("doc_id", F.lit(2)) == 0, "").otherwise(F.col("doc_id").cast("string"))
+    full = F.struct(name.alias("id"), F.col("source").alias("name"), F.col("text"), one.alias("structuredSections"), two.alias("structured_sections"))
+    blank = F.struct(F.lit("b").alias("id"), F.lit("b").alias("name"), F.lit(" ").alias("text"), F.lit(None).cast("array<struct<header:string>>").alias("structuredSections"), F.lit(None).cast("array<struct<header:string>>").alias("structured_sections"))
+    found = requests.sources_of(docs.select("doc_id", F.to_json(F.struct(F.array(full, blank).alias("sources"))).alias("body")))
+    return found.select("doc_id", "ordinal", "sourceId", "sourceName", F.length("rawText").alias("n_chars"), "sections")
+
+
+# --- generation ----------------------------------------------------------------------------------------------------
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each document: after a reply that is no JSON, after a question without evidence, or never answered."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("request"), "text")
+    first = F.concat(F.lit("These are the study notes of document "), "request", F.lit(" as they were uploaded."))
+    texts = docs.select("request", F.lit(1).alias("ordinal"), F.lit("s-1").alias("sectionId"), F.lit("s").alias("sourceId"), F.concat_ws("\n", first, "text").alias("text"))
+
+    def response(evidence) -> Column:
+        stem = F.concat(F.lit("Which sentence opens the notes of document "), "request", F.lit("?"))
+        question = F.struct(stem.alias("stem"), F.lit(T.CATEGORIES[0]).alias("category"), F.array(*map(F.lit, ["One", "Two", "Three", "Four"])).alias("options"), F.lit(2).alias("correctIndex"), F.lit("The notes say so in their first line.").alias("correctRationale"), F.array(evidence).alias("evidenceQuotes"))
+        text = F.to_json(F.struct(F.array(question).alias("questions")))
+        return F.to_json(F.struct(text.alias("output_text"), F.struct(F.lit(7).alias("input_tokens"), F.lit(5).alias("output_tokens"), F.lit(12).alias("total_tokens")).alias("usage")))
+
+    kind = F.pmod("request", F.lit(3))
+    bad = F.when(kind == 0, F.lit("{")).otherwise(response(F.lit("No line of any notes has ever said this.")))
+    replies = docs.where(kind < 2).select("request", F.lit("quiz batch 1").alias("name"), F.posexplode(F.array(bad, response(first))).alias("ordinal", "payload"))
+    return generation.generated(docs.select("request", F.lit(1).alias("count")), texts, texts.select("request", "sourceId", "text"), replies)
+
+
+@query("""SELECT doc_id AS request, 's-1' AS section, 'These are the study notes of document ' || doc_id || ' as they were uploaded.' AS quote, 2 AS "correctIndex" FROM documents WHERE doc_id % 3 < 2""")
+def generation_run(spark: SparkSession, d: str) -> DataFrame:
+    """The questions that a run keeps, with their section and first quote."""
+    return _runs(spark, d).select("request", F.explode("questions").alias("q")).select("request", "q.section", F.col("q.evidence")[0]["quote"].alias("quote"), "q.correctIndex")
+
+
+@query("""SELECT doc_id AS request, 2 AS generator_request_count, (k < 2)::INTEGER AS generated_count, (k = 2)::INTEGER AS replacement_rounds, (k = 0)::INTEGER AS schema_retry_requests, (k = 0)::INTEGER AS incomplete_json_count,
+(k = 1)::INTEGER AS batch_retry_attempts, (k = 1)::INTEGER AS rejected_question_count, CASE k WHEN 0 THEN 7 WHEN 1 THEN 14 END AS input_tokens, CASE k WHEN 0 THEN 12 WHEN 1 THEN 24 END AS total_tokens,
+CASE WHEN k = 2 THEN 'batch 1: no reply to quiz batch 1; batch 2: no reply to quiz batch 2' ELSE '' END AS failures, CASE WHEN k = 2 THEN 2 ELSE 0 END AS warnings FROM (SELECT doc_id, doc_id % 3 AS k FROM documents)""")
+def generation_record(spark: SparkSession, d: str) -> DataFrame:
+    """What the record of each run says of its requests, retries, rejections and tokens."""
+    counts = ("generator_request_count", "generated_count", "replacement_rounds", "schema_retry_requests", "incomplete_json_count", "batch_retry_attempts", "rejected_question_count", "input_tokens", "total_tokens")
+    return generation.telemetry(_runs(spark, d)).select("request", *counts, F.array_join("failure_details", "; ").alias("failures"), F.size("warnings").alias("warnings"))
+
+
 # --- analytics -----------------------------------------------------------------------------------------------------
 
 
