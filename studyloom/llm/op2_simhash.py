@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import components, fresh_names, written
+from .shared import cleaned, components, fresh_names, removed, written
 
 BITS = 64
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -240,15 +240,22 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     band is left with several components, all its pairs across them.  Each
     pair is verified on the whole sets, so a link is never a guess, and pairs
     within a component, such as those of a large group of copies, are spared.
+    The sets are as large as the texts: they and the shuffles that moved them
+    are let go once no later step reads them.
     """
+    spark = docs.sparkSession
     marked = written(set_marks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle), "shingle-sets")
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    texts = written(marked.select("id", "fp"), "similar-texts")
+    nodes = texts.groupBy("fp").agg(F.min("id").alias("least"))
     keyed = marked.select("fp", F.posexplode("bands").alias("band", "key")).where("fp <> 0").distinct()
     shared = written(keyed.groupBy("band", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1).select("fps").distinct(), "bands")
     wanted = shared.select(F.explode("fps").alias("fp")).distinct()
     sets = written(marked.select("fp", "grams").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "candidate-sets")
+    removed(marked)
+    cleaned(spark)
     stars = shared.select(F.explode(F.expr("slice(fps, 2, size(fps) - 1)")).alias("a"), F.col("fps")[0].alias("b")).distinct()
     links = written(verified(stars, sets, similarity), "similar")
+    cleaned(spark)
     named = written(wanted.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "similar-roots")
     bands = shared.withColumn("of", F.xxhash64("fps"))
     member = bands.select("of", F.explode("fps").alias("fp")).join(named, "fp")
@@ -257,9 +264,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left, right = member.select("of", F.col("fp").alias("a"), F.col("root").alias("p")), member.select("of", F.col("fp").alias("b"), F.col("root").alias("q"))
     across = left.join(right, "of").where("a > b AND p <> q").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     found = components(links.unionByName(verified(across, sets, similarity)))
+    for done in (shared, sets, links, named, member):
+        removed(done)
+    cleaned(spark)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("id", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("id", "component_id")
+    return texts.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("id", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,8 +285,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, key, kept = fresh_names(docs, "text_hash", "row_key", "kept_key")
     place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     marks = similar_texts(docs.select(place.alias(key), F.col(text_col).alias(text)), key, text).where("id <=> component_id").select(F.col("id").alias(kept)).distinct()
-    rows = docs.withColumn(key, place)
-    return rows.join(marks, F.col(key).eqNullSafe(F.col(kept))).dropDuplicates([key]).drop(key, kept)
+    # a struct is never null, and equal where its parts are, nulls included; of the very type of the marks, so that one
+    # shuffle of the texts serves the join and the repeats
+    rows = docs.withColumn(key, place.cast(marks.schema[kept].dataType))
+    return rows.join(marks, F.col(key) == F.col(kept)).dropDuplicates([key]).drop(key, kept)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
