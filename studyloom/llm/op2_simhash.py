@@ -193,40 +193,63 @@ def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
     return h, np.searchsorted(owner, np.arange(len(n_words) + 1))
 
 
+def set_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each set of shingle_sets, whatever their order; zero for an empty one."""
+    fp, full = np.zeros(len(first) - 1, np.uint64), np.flatnonzero(np.diff(first))
+    with np.errstate(over="ignore"):
+        if len(full):
+            fp[full] = np.add.reduceat(textkit.mix(h ^ np.uint64(42)), first[full])
+    return fp
+
+
 def set_marks(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp, bands, grams) of docs (id, text): a hash of the shingle set, its bands' MinHash keys, and the set itself."""
+    """(id, fp, n, bands) of docs (id, text): a hash of the shingle set, its size and its bands' MinHash keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.sliced(batches, "text"):
             h, first = shingle_sets(batch.column(1), shingle)
             n, full = batch.num_rows, np.flatnonzero(np.diff(first))
-            fp, keys = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64)
+            fp, keys = set_hashes(h, first), np.zeros((n, BANDS), np.uint64)
             with np.errstate(over="ignore"):
                 if len(full):
-                    fp[full] = np.add.reduceat(textkit.mix(h ^ np.uint64(42)), first[full])
                     for k in range(BANDS * ROWS):
                         least = np.minimum.reduceat((h ^ _MINHASH[0, k]) * _MINHASH[1, k], first[full])
                         keys[full, k // ROWS] = textkit.mix(keys[full, k // ROWS] + least)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], names=["id", "fp", "n", "bands"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long, n int, bands array<long>")
+
+
+def text_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(fp, grams) of docs (text): the shingle set itself beside its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.sliced(batches, "text"):
+            h, first = shingle_sets(batch.column(0), shingle)
             grams = pa.array([h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), lists, grams], names=["id", "fp", "bands", "grams"])
+            yield pa.record_batch([pa.array(set_hashes(h, first).view(np.int64)), grams], names=["fp", "grams"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long, bands array<long>, grams binary")
+    return docs.select("text").mapInArrow(run, "fp long, grams binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of pairs whose sets in sets (fp, grams) have that Jaccard similarity or more."""
+def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of pairs whose sets in sets (fp, grams) have that Jaccard similarity or more.
+
+    sizes (fp, n) come first: sets whose sizes differ too much cannot have it and are not moved.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if min(len(one), len(two)) >= similarity * max(len(one), len(two)):
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    good[i] = both >= similarity * (len(one) + len(two) - both) - 1e-9
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good[i] = both >= similarity * (len(one) + len(two) - both) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
+    sized = pairs.join(sizes.withColumnsRenamed({"fp": "a", "n": "m"}), "a").join(sizes.withColumnRenamed("fp", "b"), "b")
+    pairs = sized.where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9).select("a", "b")
     one = pairs.join(sets.withColumnsRenamed({"fp": "a", "grams": "x"}), "a")
     both = one.join(sets.withColumnsRenamed({"fp": "b", "grams": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -240,21 +263,22 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     band is left with several components, all its pairs across them.  Each
     pair is verified on the whole sets, so a link is never a guess, and pairs
     within a component, such as those of a large group of copies, are spared.
-    The sets are as large as the texts: they and the shuffles that moved them
-    are let go once no later step reads them.
+    The sets are as large as the texts: docs are read a second time for those
+    of candidates alone, one of equal ones is kept, and they and the shuffles
+    that moved them are let go once no later step reads them.
     """
-    spark = docs.sparkSession
-    marked = written(set_marks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle), "shingle-sets")
-    texts = written(marked.select("id", "fp"), "similar-texts")
-    nodes = texts.groupBy("fp").agg(F.min("id").alias("least"))
+    spark, own = docs.sparkSession, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = written(set_marks(own, shingle), "set-marks")
+    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
     keyed = marked.select("fp", F.posexplode("bands").alias("band", "key")).where("fp <> 0").distinct()
     shared = written(keyed.groupBy("band", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1).select("fps").distinct(), "bands")
     wanted = shared.select(F.explode("fps").alias("fp")).distinct()
-    sets = written(marked.select("fp", "grams").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "candidate-sets")
-    removed(marked)
+    sizes = written(marked.select("fp", "n").join(wanted, "fp", "left_semi").distinct(), "set-sizes")
+    cleaned(spark)
+    sets = written(text_sets(own, shingle).join(sizes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "candidate-sets")
     cleaned(spark)
     stars = shared.select(F.explode(F.expr("slice(fps, 2, size(fps) - 1)")).alias("a"), F.col("fps")[0].alias("b")).distinct()
-    links = written(verified(stars, sets, similarity), "similar")
+    links = written(verified(stars, sets, sizes, similarity), "similar")
     cleaned(spark)
     named = written(wanted.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "similar-roots")
     bands = shared.withColumn("of", F.xxhash64("fps"))
@@ -263,13 +287,13 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = written(member.join(split, "of", "left_semi"), "split-bands")
     left, right = member.select("of", F.col("fp").alias("a"), F.col("root").alias("p")), member.select("of", F.col("fp").alias("b"), F.col("root").alias("q"))
     across = left.join(right, "of").where("a > b AND p <> q").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    found = components(links.unionByName(verified(across, sets, similarity)))
-    for done in (shared, sets, links, named, member):
+    found = components(links.unionByName(verified(across, sets, sizes, similarity)))
+    for done in (shared, sizes, sets, links, named, member):
         removed(done)
     cleaned(spark)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return texts.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("id", "component_id")
+    return marked.select("id", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("id", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
