@@ -14,7 +14,10 @@ tables of the dish opens a table with probability m / (m + n - d t), m being
 (strength + d * tables of the restaurant) * the parent's probability.  Then
 the corpus' restaurant is seated by the same rule from the tables that the
 contexts opened.  `chains` such chains run side by side, and predictions are
-averaged over them.  Seating is exact at every count: see `seated`.  Random
+averaged over them.  With `settle` sweeps go on until the tables of every chain
+change by no more than that share or chance would; the next sweep is the sample.
+The tables grow for some four or five sweeps from their start, so one sweep
+alone would not sample the model.  Seating is exact at every count: see `seated`.  Random
 numbers are hashes of the words, the rank, the sweep and the chain, so a
 result does not depend on how the rows are laid out.  Discounts are estimated
 from counts of counts.
@@ -50,13 +53,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import cleaned, dropped, fresh_path, written
+from .shared import cleaned, dropped, fresh_path, removed, written
 
 #: The context of a text's first token, and the end token.
 START = np.uint64(0x9D4E5C6FB2A1E387)
 END = np.uint64(textkit.hash_of(b""))
 #: Customers of a dish whose numbers are drawn one by one from hashes; later ones by thinning.
 SINGLY = 4096
+#: The query's burn-in ends when a sweep changes the tables by this share or less.
+SETTLE = 0.005
 #: So many tokens or customers are worked on at a time.
 SLICE = 1 << 18
 
@@ -191,7 +196,7 @@ class Chunk:
         del keys
         some = np.empty(len(self.keys), np.int32)
         some[self.pair] = np.arange(len(token), dtype=np.int32)
-        self.context, self.word = context[some], token[some]
+        self.place, self.context, self.word = some, context[some], token[some]
         use = np.repeat(train, sizes)
         self.n_pair = np.bincount(self.pair[use], minlength=len(self.keys))
         self.n_word = np.bincount(token[use], minlength=len(words))
@@ -204,12 +209,33 @@ class Chunk:
         return cls(words, unpacked(row["token"], int(sizes.sum())).astype(np.int32), sizes, trained(row["ids"], held_out))
 
 
+def marked(places: np.ndarray, n: int) -> bytes:
+    """Places among n tokens, as compressed bits."""
+    bits = np.zeros(n, bool)
+    bits[places] = True
+    return zstandard.compress(np.packbits(bits).tobytes(), 3)
+
+
+def owned(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's words, and context, word, customers and key of the pairs with several customers that it owns, in the order of its tokens."""
+    words = np.cumsum(unpacked(row["words"], row["n_words"]), dtype=np.uint64)
+    sizes = np.array(row["sizes"], np.int64)
+    token = unpacked(row["token"], int(sizes.sum())).astype(np.int32)
+    bits = zstandard.decompress(row["places"], len(token) // 8 + 1)
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(token)))
+    begins = np.zeros(len(token), bool)
+    begins[np.cumsum(sizes) - sizes] = True
+    context = np.where(begins[at], np.searchsorted(words, START), token[at - 1])
+    word = token[at]
+    return words, context, word, unpacked(row["own_counts"], len(at)).astype(np.int64), pair_key(words[context], words[word])
+
+
 def trained(ids: list, held_out: Callable[[str], bool]) -> np.ndarray:
     return np.array([i is None or not held_out(str(i)) for i in ids], bool)
 
 
 _CHUNK = "part int, chunk int, ids array<{id}>, sizes array<int>, n_words int, words binary, token binary"
-_COUNTED = _CHUNK + ", counts binary, pair_counts binary, own binary, sums binary, stats array<long>"
+_COUNTED = _CHUNK + ", counts binary, pair_counts binary, places binary, own_counts binary, sums binary, stats array<long>"
 #: A block of keys and their numbers, on its way to a bucket and back.
 _BLOCK = "part int, chunk int, kind int, bucket int, n int, keys binary, values binary"
 WORDS, PAIRS = 0, 1
@@ -366,16 +392,21 @@ def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
 @dataclass
 class Law:
-    """What holds for all restaurants, and the totals of the corpus' restaurant in the chains of two states."""
+    """What holds for all restaurants, and the totals of the corpus' restaurant in the chains of each state."""
 
     discount: float
     strength: float
     root_discount: float
     root_strength: float
     base: float
-    #: For each state the totals (customers, tables) of each chain.
+    #: For each state, from the start on, the totals (customers, tables) of each chain.
     root: list[list[tuple[int, int]]]
 
+    def settled(self, share: float) -> bool:
+        """Whether the last sweep changed the tables of each chain by that share or less, or by what chance explains."""
+        pairs = [(a, b) for old, new in zip(*self.root[-2:], strict=True) for a, b in zip(old, new, strict=True)]
+        return all(abs(a - b) <= share * b + 4 * b**0.5 for a, b in pairs)
+
     def parent(self, state: int, chain: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The corpus' probability of each word."""
         n, t = self.root[state][chain]
@@ -401,12 +432,14 @@ def scored(
     root_strength: float = 10.0,
     chains: int = 2,
     sweeps: int = 1,
+    settle: float | None = None,
     hot: int = 32,
     bucket_keys: int = 1 << 19,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     held_out says of an id, as text, whether its document is left out of training.
+    sweeps is their number, or with settle the least one.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -434,11 +467,12 @@ def scored(
             pairs, own = received(right, row["chunk"], PAIRS, len(c.keys), 2)
             word = (mine > 0) & (c.words != START)
             first = own > 0
+            at = np.sort(c.place[first & (pairs > 1)])  # one customer has one table, always
             tables = np.bincount(c.context[first], minlength=len(c.words))
             customers = np.bincount(c.word[first], minlength=len(c.words))
             stats = [int(c.n_word[c.words != START].sum()), int(word.sum()), int((n[word] == 1).sum()), int((n[word] == 2).sum()), int(first.sum()), int((pairs[first] == 1).sum()), int((pairs[first] == 2).sum())]
-            out.append(row | {"counts": packed(n), "pair_counts": packed(pairs), "own": packed(own), "sums": packed(np.concatenate([tables, customers])), "stats": stats})
-        return pa.Table.from_pylist(out, pa.schema([*left.schema, *[(x, pa.binary()) for x in ("counts", "pair_counts", "own", "sums")], ("stats", pa.list_(pa.int64()))]))
+            out.append(row | {"counts": packed(n), "pair_counts": packed(pairs), "places": marked(at, len(c.token)), "own_counts": packed(pairs[c.pair[at]]), "sums": packed(np.concatenate([tables, customers])), "stats": stats})
+        return pa.Table.from_pylist(out, pa.schema([*left.schema, *[(x, pa.binary()) for x in ("counts", "pair_counts", "places", "own_counts", "sums")], ("stats", pa.list_(pa.int64()))]))
 
     counted, forget_counted = bucketed(chunks.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(count, _COUNTED.format(id=kind)), "counted", parts)
     forget()
@@ -453,31 +487,45 @@ def scored(
                 values = list(unpacked(row["sums"], 2 * len(words)).reshape(2, -1))
                 yield from blocks(list(wire.send(row["part"], row["chunk"], WORDS, words, values))).to_batches()
 
+    def seats(context: np.ndarray, word: np.ndarray, n: np.ndarray, keys: np.ndarray, state: list[tuple], sweep: int) -> Iterator[np.ndarray]:
+        """For each chain the tables of pairs after a sweep."""
+        for k, (tables, customers, top) in enumerate(state):
+            mass = (law.strength + law.discount * tables[context]) * law.parent(sweep - 1, k, customers, top)[word]
+            yield seated(n, mass, law.discount, keys, 2 * (sweep * chains + k))
+
     def table_counts(c: Chunk, row: dict, state: list[tuple], sweep: int, only: np.ndarray) -> list[np.ndarray]:
         """For each chain the tables of the pairs of `only` after a sweep, 0 for the others."""
         n = unpacked(row["pair_counts"], len(c.keys)).astype(np.int64)
         at = np.flatnonzero(only)
         out = []
-        for k, (tables, customers, top) in enumerate(state):
-            mass = (law.strength + law.discount * tables[c.context[at]]) * law.parent(sweep - 1, k, customers, top)[c.word[at]]
+        for t in seats(c.context[at], c.word[at], n[at], c.keys[at], state, sweep):
             found = np.zeros(len(n), np.int64)
-            found[at] = seated(n[at], mass, law.discount, c.keys[at], 2 * (sweep * chains + k))
+            found[at] = t
             out.append(found)
         return out
 
     states = [written(exchanged(counted.select("part", "chunk", "n_words", "words", "sums").mapInArrow(least, _BLOCK), {WORDS: 2}), "lm-state")]
-    for sweep in range(1, sweeps + 1):
+    sweep, last = 0, False
+    while not last:
+        sweep += 1
+        last = sweep >= sweeps and (settle is None or sweep > 1 and law.settled(settle))
 
-        def sit(left: pa.Table, right: pa.Table, *, sweep: int = sweep) -> pa.Table:
+        def sit(left: pa.Table, right: pa.Table, *, sweep: int = sweep, last: bool = last) -> pa.Table:
+            """Sums of tables by context and by word; of the last sweep the hot pairs' tables as well, for all who have them."""
             out: list[tuple] = []
             for row in each(left):
-                c = Chunk.read(row, held_out)
-                first = unpacked(row["own"], len(c.keys)) > 0
-                tables = table_counts(c, row, state_of(right, row["chunk"], len(c.words), sweep - 1, chains), sweep, first)
-                sums = [np.bincount(where, t, len(c.words)).astype(np.int64) for t in tables for where in (c.context, c.word)]
-                out += wire.send(row["part"], row["chunk"], WORDS, c.words, sums)
-                many = unpacked(row["pair_counts"], len(c.keys)) > hot
-                out += wire.send(row["part"], row["chunk"], PAIRS, c.keys[many], [t[many] for t in tables])
+                words, context, word, n, keys = owned(row)
+                tables = list(seats(context, word, n, keys, state_of(right, row["chunk"], len(words), sweep - 1, chains), sweep))
+                least = unpacked(row["sums"], 2 * len(words)).astype(np.int64).reshape(2, -1)
+                sums = [one + np.bincount(where, t - 1, len(words)).astype(np.int64) for t in tables for one, where in zip(least, (context, word), strict=True)]
+                out += wire.send(row["part"], row["chunk"], WORDS, words, sums)
+                if last:
+                    c = Chunk.read(row, held_out)
+                    many = unpacked(row["pair_counts"], len(c.keys)) > hot
+                    own = np.searchsorted(c.keys, keys)
+                    found = np.zeros((chains, len(c.keys)), np.int64)
+                    found[:, own] = tables
+                    out += wire.send(row["part"], row["chunk"], PAIRS, c.keys[many], list(found[:, many]))
             return blocks(out)
 
         def root(which: int, keys: np.ndarray, sums: list[np.ndarray], sweep: int = sweep) -> list[np.ndarray]:
@@ -488,27 +536,30 @@ def scored(
             return [seated(sums[2 * k + 1], np.full(len(keys), mass[k]), law.root_discount, full, 2 * (sweep * chains + k) + 1) for k in range(chains)]
 
         back = states[-1].where("part >= 0")
-        sent = counted.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(sit, _BLOCK)
+        seating = counted.select("part", "chunk", "ids", "sizes", "n_words", "words", "token", "places", "own_counts", "sums", *(["pair_counts"] if last else []))
+        sent = seating.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(sit, _BLOCK)
         states.append(written(exchanged(sent, {WORDS: 2 * chains, PAIRS: chains}, root), "lm-state"))
+        if len(states) > 2:
+            removed(states.pop(0))
         cleaned(spark)
         found = totals(states[-1], WORDS) or [0] * (3 * chains)
         law.root.append([(found[2 * k + 1], found[2 * chains + k]) for k in range(chains)])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        last = right.filter(pc.equal(right["state"], 1))
+        after = right.filter(pc.equal(right["state"], 1))
         before = right.filter(pc.equal(right["state"], 0))
         for row in each(left):
             c = Chunk.read(row, held_out)
             n = unpacked(row["counts"], len(c.words)).astype(np.int64)
             pairs = unpacked(row["pair_counts"], len(c.keys)).astype(np.int64)
             many = pairs > hot
-            tables = table_counts(c, row, state_of(before, row["chunk"], len(c.words), sweeps - 1, chains), sweeps, ~many)
-            own = received(last, row["chunk"], PAIRS, int(many.sum()), chains)
+            tables = table_counts(c, row, state_of(before, row["chunk"], len(c.words), sweep - 1, chains), sweep, ~many)
+            own = received(after, row["chunk"], PAIRS, int(many.sum()), chains)
             mean = np.zeros(len(pairs))
-            for k, (context, customers, top) in enumerate(state_of(last, row["chunk"], len(c.words), sweeps, chains)):
+            for k, (context, customers, top) in enumerate(state_of(after, row["chunk"], len(c.words), sweep, chains)):
                 tables[k][many] = own[k]
-                p = law.parent(sweeps, k, customers, top)[c.word]
+                p = law.parent(sweep, k, customers, top)[c.word]
                 mean += (np.maximum(pairs - law.discount * tables[k], 0) + (law.strength + law.discount * context[c.context]) * p) / (law.strength + n[c.context])
             begin = c.first[:-1]
             known = np.add.reduceat((n > 0)[c.token], begin)
@@ -540,5 +591,5 @@ def op7_pitmanyor(spark: SparkSession, sf_dir: str) -> DataFrame:
     def held_out(key: str) -> bool:
         return zlib.crc32(key.encode()) % 7 == 2
 
-    found = scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), held_out)
+    found = scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), held_out, settle=SETTLE)
     return found.withColumnRenamed("id", "doc_id").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
