@@ -14,9 +14,9 @@ large keys a lookup of all neighbours), and only a spanning set of links is
 kept: one link less than members for each cluster, never all pairs.
 Connected components then run over fingerprints that have a link.
 
-The pipeline asks for more than close fingerprints: `similar_texts` takes
-MinHash bands as candidates and verifies the Jaccard similarity of whole
-shingle sets.
+The pipeline asks for more than close fingerprints: `similar_texts` links
+those by the blocks above, and beside them takes MinHash bands as candidates
+and verifies the Jaccard similarity of whole shingle sets.
 
 Null texts count as empty.  Empty texts have fingerprint zero and are linked
 like any other.  A row without an id gets its component's least id, null if
@@ -170,6 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: The pipeline's parameters: words in a shingle, least Jaccard similarity of the shingle sets, and for the candidates
 #: bands of MinHash values.  A pair at 0.8 shares no band in 0.01 per cent of cases, a pair at 0.9 never in practice.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+#: Words in a shingle of the SimHash, as in `near_duplicates`.
+SIM_SHINGLE = 3
 _MINHASH = np.random.default_rng(20240517).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -203,22 +205,23 @@ def set_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def set_marks(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp, n, bands) of docs (id, text): a hash of the shingle set, its size and its bands' MinHash keys."""
+    """(id, fp, sim, n, bands) of docs (id, text): a hash of the shingle set, the SimHash, the set's size and its bands' MinHash keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.sliced(batches, "text"):
             h, first = shingle_sets(batch.column(1), shingle)
             n, full = batch.num_rows, np.flatnonzero(np.diff(first))
             fp, keys = set_hashes(h, first), np.zeros((n, BANDS), np.uint64)
+            sim = np.fromiter((simhash((t.as_py() or b"").translate(_TO_LOWER), SIM_SHINGLE) for t in batch.column(1).cast(pa.binary())), np.uint64, n)
             with np.errstate(over="ignore"):
                 if len(full):
                     for k in range(BANDS * ROWS):
                         least = np.minimum.reduceat((h ^ _MINHASH[0, k]) * _MINHASH[1, k], first[full])
                         keys[full, k // ROWS] = textkit.mix(keys[full, k // ROWS] + least)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], names=["id", "fp", "n", "bands"])
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], names=["id", "fp", "sim", "n", "bands"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long, n int, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long, sim long, n int, bands array<long>")
 
 
 def text_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -255,13 +258,27 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: fl
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_nodes(marked: DataFrame) -> DataFrame:
+    """(a, b): links that span the nodes fp of marked (fp, sim) whose SimHashes are equal or close.
+
+    A SimHash stands on its least node; links are those of `fingerprint_links`.
+    """
+    leads = written(marked.groupBy("sim").agg(F.min("fp").alias("lead")), "simhash-nodes")
+    same = marked.select("fp", "sim").distinct().join(leads, "sim").where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+    close = fingerprint_links(leads.select(F.col("sim").alias("fp")))
+    one = close.join(leads.select(F.col("sim").alias("a"), F.col("lead").alias("p")), "a")
+    both = one.join(leads.select(F.col("sim").alias("b"), F.col("lead").alias("q")), "b")
+    return same.unionByName(both.select(F.col("p").alias("a"), F.col("q").alias("b")))
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component_id): component_id is the least id that links of texts with `similarity` of shingle sets reach.
+    """(id, component_id): component_id is the least id that links reach, of texts with close SimHashes or `similarity` of shingle sets.
 
-    Texts with equal sets are one node.  Nodes that share a band are
+    Texts with equal sets are one node.  Nodes whose SimHashes differ in 2
+    bits or less are linked, as in `near_duplicates`.  Nodes that share a band are
     candidates: first each with the least node of its band, then, where a
     band is left with several components, all its pairs across them.  Each
-    pair is verified on the whole sets, so a link is never a guess, and pairs
+    such pair is verified on the whole sets, so a link is never a guess, and pairs
     within a component, such as those of a large group of copies, are spared.
     The sets are as large as the texts: docs are read a second time for those
     of candidates alone, one of equal ones is kept, and they and the shuffles
@@ -278,7 +295,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = written(text_sets(own, shingle).join(sizes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "candidate-sets")
     cleaned(spark)
     stars = shared.select(F.explode(F.expr("slice(fps, 2, size(fps) - 1)")).alias("a"), F.col("fps")[0].alias("b")).distinct()
-    links = written(verified(stars, sets, sizes, similarity), "similar")
+    links = written(verified(stars, sets, sizes, similarity).unionByName(fingerprint_nodes(marked)).distinct(), "similar")
     cleaned(spark)
     named = written(wanted.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "similar-roots")
     bands = shared.withColumn("of", F.xxhash64("fps"))
@@ -299,9 +316,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stand for their component of similar texts: one row of each, that with the least id.
 
-    Near copies are those of `similar_texts`: 5-word shingle sets with a
-    Jaccard similarity of 0.8 or more.  At 0.8 SimHashes differ by some 10 of
-    64 bits, which no number of blocks makes selective.  Rows without an id
+    Near copies are those of `similar_texts`: SimHashes that differ in 2 bits
+    or less, and 5-word shingle sets with a Jaccard similarity of 0.8 or more,
+    as at 0.8 SimHashes differ by some 10 of 64 bits, which no number of
+    blocks makes selective.  Rows without an id
     come after all others, and texts with one id by a hash; so a group of
     such rows has one that stays as well.  Of repeated rows one stays.  All
     columns stay as they are.

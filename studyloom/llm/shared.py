@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -70,7 +72,9 @@ def cleaned(spark: SparkSession) -> None:
     Spark deletes the files of a shuffle once the driver's JVM has collected
     what refers to it.  A driver that holds little seldom collects, while the
     files of steps whose results are written stay on the executors' disks.
+    The driver's Python gives freed memory back as well.
     """
+    textkit.lean()
     spark._jvm.System.gc()
 
 

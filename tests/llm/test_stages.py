@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from studyloom.llm import op2_simhash as S
 from studyloom.llm import op5_repetition as Q
 from studyloom.llm import op6_kdtree as K
 from studyloom.llm import op8_latent as B
@@ -116,3 +117,15 @@ def test_items_without_an_id_and_ids_of_text(spark, folder):
         bench = spark.createDataFrame(list(zip(ids, items, strict=False)), f"item_id {kind}, text string")
         got = B.matches(docs, bench).collect()
         assert sorted((r["id"] or 0, str(r["item_id"])) for r in got) == [(0, str(ids[0])), (1, str(ids[0])), (2, "None")]
+
+
+def test_near_dedup_drops_what_simhash_links(spark, folder):
+    """Texts that say the same again and again between other words: SimHashes agree, 5-word shingle sets do not."""
+    path, _, _ = folder
+    rng = np.random.default_rng(9)
+    said = " ".join(prose(rng, 11)) + " "
+    texts = [said * 80 + " ".join(prose(rng, 50)) for _ in range(3)] + [" ".join(prose(rng, 120)) for _ in range(5)]
+    docs = spark.createDataFrame([(10 + i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    groups = {r["id"]: r["component_id"] for r in S.near_duplicates(docs).collect()}
+    assert len(set(groups.values())) == 6 and len(least_of_groups(dict(enumerate(texts)))) == 8
+    assert sorted(r["doc_id"] for r in P.near_dedup(spark, docs, path).collect()) == sorted(set(groups.values()))
