@@ -279,12 +279,22 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 
 def judged(item: np.ndarray, answer: np.ndarray | None, text: np.ndarray, s: Settings) -> tuple[float, bool]:
-    """The best share of the item in windows of the text about its length, and whether that is contamination."""
+    """The best share of the item in windows of the text about its length, and whether that is contamination.
+
+    A window with too few of the item's words to be contamination is not
+    compared, so a share below that is not exact.  Words that the item does
+    not have are no part of a common subsequence.
+    """
     own, size = item.tolist(), ceil(1.25 * len(item)) + 2
     best, hit = 0.0, False
-    for at in range(0, max(1, len(text) - size + max(1, len(own) // 4)), max(1, len(own) // 4)):
+    least = s.same if answer is None else min(s.same, s.paraphrase)
+    inside = np.fromiter(map(set(own).__contains__, text.tolist()), bool, len(text))
+    sums = np.concatenate([[0], np.cumsum(inside)])
+    starts = np.arange(0, max(1, len(text) - size + max(1, len(own) // 4)), max(1, len(own) // 4))
+    most = sums[np.minimum(starts + size, len(text))] - sums[np.minimum(starts, len(text))]
+    for at in starts[most / len(own) >= least].tolist():
         window = text[at : at + size].tolist()
-        share = lcs(own, window) / len(own)
+        share = lcs(own, text[at : at + size][inside[at : at + size]].tolist()) / len(own)
         if share > best:
             best = share
         if not hit and s.paraphrase <= share < s.same and answer is not None:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -132,3 +133,35 @@ def test_an_item_of_common_words_is_found_in_a_large_corpus(spark):
     items = [(1, " ".join(item))] + [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(20))) for k in range(2, 30)]
     found = D.matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["id"], r["item_id"]) for r in found.collect()} == {(1000, 1)}
+
+
+def test_windows_without_the_words_of_an_item_are_not_compared(monkeypatch):
+    """Contamination and its share are those of all windows, and few windows are compared."""
+    from studyloom.llm import op8_latent as T
+
+    rng, s, calls, plain = np.random.default_rng(11), T.Settings(), [], T.lcs
+
+    def all_windows(item, answer, text):
+        own, size, shares, hit = item.tolist(), math.ceil(1.25 * len(item)) + 2, [], False
+        step = max(1, len(own) // 4)
+        for at in range(0, max(1, len(text) - size + step), step):
+            window = text[at : at + size].tolist()
+            shares.append(plain(own, window) / len(own))
+            ends = answer.tolist() if answer is not None else None
+            hit |= ends is not None and s.paraphrase <= shares[-1] < s.same and any(window[i : i + len(ends)] == ends for i in range(len(window) - len(ends) + 1))
+        return max(shares), hit or max(shares) >= s.same
+
+    monkeypatch.setattr(T, "lcs", lambda a, b: calls.append(1) or plain(a, b))
+    found, windows = 0, 0
+    for i in range(300):
+        item, text = rng.integers(0, 60, rng.integers(1, 40)), rng.integers(0, 200, rng.integers(0, 150))
+        answer = item[-2:] if i % 2 else None
+        if i % 3 == 0 and len(text) > len(item):
+            part = item.copy()
+            part[rng.random(len(part)) < 0.25] = 999
+            text[: len(part)] = part
+        want, got = all_windows(item, answer, text), T.judged(item, answer, text, s)
+        assert got[1] == want[1] and (got == want or not want[1])
+        found += want[1]
+        windows += len(range(0, max(1, len(text) - math.ceil(1.25 * len(item)) - 2 + max(1, len(item) // 4)), max(1, len(item) // 4)))
+    assert found > 20 and len(calls) < windows / 2
