@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -172,6 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Words in a shingle of the SimHash, as in `near_duplicates`.
 SIM_SHINGLE = 3
+#: Sizes of sets in one class differ by less than this factor.
+STEP = 1.06
 _MINHASH = np.random.default_rng(20240517).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -258,6 +260,63 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: fl
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def node_grams(sets: DataFrame) -> DataFrame:
+    """(fp, n, gram): a row for each shingle of sets (fp, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.int64)
+                for at in range(0, len(h), 1 << 16):
+                    own = h[at : at + (1 << 16)]
+                    yield pa.record_batch([pa.array(np.full(len(own), fp)), pa.array(np.full(len(own), len(h), np.int32)), pa.array(own)], names=["fp", "n", "gram"])
+
+    return sets.select("fp", "grams").mapInArrow(run, "fp long, n int, gram long")
+
+
+def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(gram, own, other, fp, n, left, share): the keys under which the sets of nodes (fp) meet all others of them that can be similar.
+
+    Two sets of m and n shingles are similar if they have similarity / (1 +
+    similarity) of m + n or more in common.  Shingles are put in one order,
+    those of the fewest nodes first.  The first one that two sets share, and
+    all others that they share, are then among the last of each: so many
+    at least must be left in both from it on.  So a set is met under the
+    shingles before that point alone, and a passage that many
+    texts have, however many, comes last and brings none of them together
+    unless it is nearly all they have.  The point depends on the other set's
+    size: sizes are in classes, a STEP wide, and a shingle is a key for
+    each class of partners for which enough is left.  share is the part of a
+    set that other nodes have as well.
+    """
+    grams = node_grams(sets.join(nodes, "fp", "left_semi"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    # shingles of one node alone come first and are no keys, so the others' places can be counted from the end
+    by_node = Window.partitionBy("fp").orderBy(F.desc("nodes"), F.desc("gram"))
+    ordered = grams.join(common, "gram").withColumn("left", F.row_number().over(by_node)).withColumn("share", F.max("left").over(Window.partitionBy("fp")) / F.col("n"))
+    step, reach = float(np.log(STEP)), int(np.ceil(-np.log(similarity) / np.log(STEP))) + 1
+    own = ordered.where(F.col("left") >= similarity * F.col("n") - 1e-6).withColumn("own", F.floor(F.log("n") / step).cast("int"))
+    sized = own.withColumn("other", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+    least = F.col("n") + F.pow(F.lit(STEP), F.col("other"))
+    return sized.where(F.col("left") >= similarity / (1 + similarity) * least - 1e-6).select("gram", "own", "other", "fp", "n", "left", "share")
+
+
+def prefix_pairs(keys: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of nodes that meet under keys, have enough left there and differ in their roots in named (fp, root).
+
+    Under a key all but the nodes of its most frequent root look for partners.
+    """
+    rooted = keys.drop("share").join(named.select("fp", "root"), "fp").withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    counted = rooted.groupBy("gram", "lo", "hi", "root").agg(F.count("*").alias("nodes"))
+    main = counted.groupBy("gram", "lo", "hi").agg(F.max_by("root", F.struct("nodes", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    split = written(rooted.join(main, ["gram", "lo", "hi"]).drop("lo", "hi"), "prefixes-split")
+    one = split.where("root <> main").select("gram", F.col("own").alias("c"), F.col("other").alias("d"), F.col("fp").alias("a"), F.col("root").alias("p"), F.col("n").alias("m"), F.col("left").alias("x"))
+    two = split.select("gram", F.col("other").alias("c"), F.col("own").alias("d"), F.col("fp").alias("b"), F.col("root").alias("q"), "main", "n", F.col("left").alias("y"))
+    enough = F.least("x", "y") >= similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6
+    met = one.join(two, ["gram", "c", "d"]).where(F.expr("p <> q AND (q = main OR a > b)") & enough)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def fingerprint_nodes(marked: DataFrame) -> DataFrame:
     """(a, b): links that span the nodes fp of marked (fp, sim) whose SimHashes are equal or close.
 
@@ -276,8 +335,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts with equal sets are one node.  Nodes whose SimHashes differ in 2
     bits or less are linked, as in `near_duplicates`.  Nodes that share a band are
-    candidates: first each with the least node of its band, then, where a
-    band is left with several components, all its pairs across them.  Each
+    candidates: first each with the least node of its band, then, where a band is
+    left with several components, each with the one that has the largest part of
+    its set in common with others, then all pairs across components, among the
+    nodes of such bands, whose sets can be similar by `prefixes`.  A band's
+    own pairs would be as many as the square of the texts that share a passage.  Each
     such pair is verified on the whole sets, so a link is never a guess, and pairs
     within a component, such as those of a large group of copies, are spared.
     The sets are as large as the texts: docs are read a second time for those
@@ -297,15 +359,24 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = shared.select(F.explode(F.expr("slice(fps, 2, size(fps) - 1)")).alias("a"), F.col("fps")[0].alias("b")).distinct()
     links = written(verified(stars, sets, sizes, similarity).unionByName(fingerprint_nodes(marked)).distinct(), "similar")
     cleaned(spark)
-    named = written(wanted.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "similar-roots")
+    def roots(of: DataFrame, links: DataFrame) -> DataFrame:
+        return of.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    named = written(roots(wanted, links), "similar-roots")
     bands = shared.withColumn("of", F.xxhash64("fps"))
     member = bands.select("of", F.explode("fps").alias("fp")).join(named, "fp")
     split = member.groupBy("of").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("of")
-    member = written(member.join(split, "of", "left_semi"), "split-bands")
-    left, right = member.select("of", F.col("fp").alias("a"), F.col("root").alias("p")), member.select("of", F.col("fp").alias("b"), F.col("root").alias("q"))
-    across = left.join(right, "of").where("a > b AND p <> q").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    found = components(links.unionByName(verified(across, sets, sizes, similarity)))
-    for done in (shared, sizes, sets, links, named, member):
+    torn = written(member.join(split, "of", "left_semi"), "split-bands")
+    keys = written(prefixes(torn.select("fp").distinct(), sets, similarity), "prefixes")
+    cleaned(spark)
+    met = torn.join(keys.select("fp", "share").distinct(), "fp")
+    middle = met.groupBy("of").agg(F.max_by(F.struct("fp", "root"), F.struct("share", "fp")).alias("top"))
+    toward = met.join(middle, "of").where("root <> top.root").select(F.greatest("fp", "top.fp").alias("a"), F.least("fp", "top.fp").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    toward = written(toward, "middle-stars")
+    more = written(links.unionByName(verified(toward, sets, sizes, similarity)), "similar")
+    across = prefix_pairs(keys, roots(torn.select("fp").distinct(), more), similarity).join(stars.unionByName(toward), ["a", "b"], "left_anti")
+    found = components(more.unionByName(verified(across, sets, sizes, similarity)))
+    for done in (shared, sizes, sets, links, named, torn, keys, toward, more):
         removed(done)
     cleaned(spark)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
