@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import cleaned, dropped, fresh_path, removed, written
+from .shared import cleaned, dropped, executors_cleaned, fresh_path, removed, written
 
 #: The context of a text's first token, and the end token.
 START = np.uint64(0x9D4E5C6FB2A1E387)
@@ -542,6 +542,7 @@ def scored(
         if len(states) > 2:
             removed(states.pop(0))
         cleaned(spark)
+        executors_cleaned(spark)
         found = totals(states[-1], WORDS) or [0] * (3 * chains)
         law.root.append([(found[2 * k + 1], found[2 * chains + k]) for k in range(chains)])
 

@@ -78,6 +78,17 @@ def cleaned(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def executors_cleaned(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect garbage and give what they no longer fill back to the system.
+
+    A heap grows over a loop of jobs to its limit, however little of it lives,
+    and counts against the executor beside the Python workers.  As many
+    tasks as cores reach every executor, unless one is slow to take any.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node reachable.
 

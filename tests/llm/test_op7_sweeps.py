@@ -88,3 +88,21 @@ def test_the_query_sweeps_until_its_tables_settle(spark, tmp_path, monkeypatch):
     for k in (1, 3):  # the tables of the contexts in each chain
         assert abs(seen[-2][k] - seen[-3][k]) <= L.SETTLE * seen[-2][k] + 4 * seen[-2][k] ** 0.5
     assert not L.Law(0.5, 1.0, 0.5, 1.0, 0.1, [[(10_000, 500)], [(12_000, 500)]]).settled(L.SETTLE)
+
+
+def test_executors_give_memory_back_after_each_sweep(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i} and some words") for i in range(30)], "doc_id long, text string")
+
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+
+    made, plain = [], L.executors_cleaned
+
+    def counted(session):
+        before = collections()
+        plain(session)
+        made.append(collections() - before)
+
+    monkeypatch.setattr(L, "executors_cleaned", counted)
+    assert L.scored(docs, held, sweeps=3).count() == 30
+    assert len(made) == 3 and min(made) >= 1
