@@ -27,9 +27,11 @@ stay where they are, in tables bucketed by the part of the input.  Words and
 word pairs are known by hashes and travel as sorted, packed blocks: a chunk
 sends each of its different pairs once, to the bucket that its hash names,
 and gets the count over the corpus back.  A frequent pair so sends one key a
-chunk, and no task holds a context.  Sweeps exchange words only, and pairs
-with more than `hot` customers, which their owner alone seats: the seats of
-all others follow from numbers that every chunk knows.  The driver sees
+chunk, and no task holds a context.  Sweeps exchange words only, each once for
+a part however many of its chunks have it, and pairs with more than `hot`
+customers, which their owner alone seats: the seats of all others follow from
+numbers that every chunk knows.  What came back is written before it is dealt
+to the parts, so the keys sent need not stay beside it.  The driver sees
 totals.  Hashes have 24 bits more than the number of tokens, at most 64.
 
 A null or empty text has the end token only.  Without training rows every
@@ -39,6 +41,7 @@ Repeated rows get equal scores, and each trains; extra columns are ignored.
 
 from __future__ import annotations
 
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -216,8 +219,8 @@ def marked(places: np.ndarray, n: int) -> bytes:
     return zstandard.compress(np.packbits(bits).tobytes(), 3)
 
 
-def owned(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's words, and context, word, customers and key of the pairs with several customers that it owns, in the order of its tokens."""
+def owned(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word, customers and key of the pairs with several customers that a chunk owns, in the order of its tokens."""
     words = np.cumsum(unpacked(row["words"], row["n_words"]), dtype=np.uint64)
     sizes = np.array(row["sizes"], np.int64)
     token = unpacked(row["token"], int(sizes.sum())).astype(np.int32)
@@ -227,7 +230,7 @@ def owned(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     begins[np.cumsum(sizes) - sizes] = True
     context = np.where(begins[at], np.searchsorted(words, START), token[at - 1])
     word = token[at]
-    return words, context, word, unpacked(row["own_counts"], len(at)).astype(np.int64), pair_key(words[context], words[word])
+    return context, word, unpacked(row["own_counts"], len(at)).astype(np.int64), pair_key(words[context], words[word])
 
 
 def trained(ids: list, held_out: Callable[[str], bool]) -> np.ndarray:
@@ -236,9 +239,10 @@ def trained(ids: list, held_out: Callable[[str], bool]) -> np.ndarray:
 
 _CHUNK = "part int, chunk int, ids array<{id}>, sizes array<int>, n_words int, words binary, token binary"
 _COUNTED = _CHUNK + ", counts binary, pair_counts binary, places binary, own_counts binary, sums binary, stats array<long>"
-#: A block of keys and their numbers, on its way to a bucket and back.
+#: A block of keys and their numbers, on its way to a bucket and back; chunk is WHOLE where all of a part share it.
 _BLOCK = "part int, chunk int, kind int, bucket int, n int, keys binary, values binary"
 WORDS, PAIRS = 0, 1
+WHOLE = -1
 
 
 @dataclass
@@ -279,6 +283,13 @@ def received(rows: pa.Table, chunk: int, kind: int, n: int, width: int) -> np.nd
     return out
 
 
+def words_of(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different words of a part's chunks, ascending, and where among them each chunk has its own."""
+    own = [np.cumsum(unpacked(w.as_py(), n.as_py()), dtype=np.uint64) for w, n in zip(rows["words"], rows["n_words"], strict=True)]
+    words = np.unique(np.concatenate(own))
+    return words, [np.searchsorted(words, w).astype(np.int32) for w in own]
+
+
 def each(rows: pa.Table | pa.RecordBatch) -> Iterator[dict]:
     for i in range(rows.num_rows):
         textkit.lean()
@@ -352,6 +363,24 @@ def bucketed(df: DataFrame, name: str, parts: int) -> tuple[DataFrame, Callable[
     return spark.read.table(table), remove
 
 
+def shuffles(spark: SparkSession) -> set[str]:
+    """The shuffles that executors have files of."""
+    return set(spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().mkString(" ").split())
+
+
+def let_go(spark: SparkSession, finished: set[str], rounds: int = 10) -> None:
+    """Have the files of finished shuffles deleted before more is written.
+
+    One cleaned() does not do: Py4J tells the JVM what Python has dropped once a
+    second, and a collection may free no more than what holds a shuffle.
+    """
+    for _ in range(rounds):
+        cleaned(spark)
+        time.sleep(1)
+        if not finished & shuffles(spark):
+            break
+
+
 def encoded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """Chunks of docs (id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -413,15 +442,20 @@ class Law:
         return (np.maximum(customers - self.root_discount * tables, 0) + (self.root_strength + self.root_discount * t) * self.base) / (self.root_strength + n)
 
 
-def state_of(back: pa.Table, chunk: int, n: int, state: int, chains: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chain, by the chunk's words: tables of the context, customers and tables in the corpus' restaurant."""
+def state_of(back: pa.Table, n: int, state: int, chains: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each chain, by the part's words: tables of the context, customers and tables in the corpus' restaurant."""
     if state == 0:  # one table for each dish, in every chain
-        context, customers = received(back, chunk, WORDS, n, 2)
+        context, customers = received(back, WHOLE, WORDS, n, 2)
         return [(context, customers, np.minimum(customers, 1))] * chains
-    x = received(back, chunk, WORDS, n, 3 * chains)
+    x = received(back, WHOLE, WORDS, n, 3 * chains)
     return [(x[2 * k], x[2 * k + 1], x[2 * chains + k]) for k in range(chains)]
 
 
+def at_places(state: list[tuple[np.ndarray, np.ndarray, np.ndarray]], place: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """A part's state for the words of one of its chunks."""
+    return [tuple(x[place] for x in chain) for chain in state]
+
+
 def scored(
     docs: DataFrame,
     held_out: Callable[[str], bool],
@@ -457,7 +491,10 @@ def scored(
                 for which, keys, n in ((WORDS, c.words, c.n_word), (PAIRS, c.keys, c.n_pair)):
                     yield from blocks(list(wire.send(row["part"], row["chunk"], which, keys, [n]))).to_batches()
 
-    counts = exchanged(chunks.mapInArrow(ask, _BLOCK), {WORDS: 1, PAIRS: 1}, owners=True).where("part >= 0")
+    others = shuffles(spark)
+    # written, so that what was sent is gone before the counts are dealt to the parts and lie beside the chunks
+    counts = written(exchanged(chunks.mapInArrow(ask, _BLOCK), {WORDS: 1, PAIRS: 1}, owners=True).where("part >= 0"), "lm-counts")
+    let_go(spark, shuffles(spark) - others)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -476,16 +513,17 @@ def scored(
 
     counted, forget_counted = bucketed(chunks.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(count, _COUNTED.format(id=kind)), "counted", parts)
     forget()
+    removed(counts)
     cleaned(spark)
     n_all, types, ones, twos, dishes, pair_ones, pair_twos = (x or 0 for x in counted.agg(*[F.sum(F.col("stats")[i]) for i in range(7)]).first())
     law = Law(discount_of(pair_ones, pair_twos), strength, discount_of(ones, twos), root_strength, 1.0 / (types + 1), [[(dishes, types)] * chains])
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in each(batch):
-                words = np.cumsum(unpacked(row["words"], row["n_words"]), dtype=np.uint64)
-                values = list(unpacked(row["sums"], 2 * len(words)).reshape(2, -1))
-                yield from blocks(list(wire.send(row["part"], row["chunk"], WORDS, words, values))).to_batches()
+    def least(rows: pa.Table) -> pa.Table:
+        words, places = words_of(rows)
+        sums = np.zeros((2, len(words)), np.int64)
+        for row, place in zip(each(rows), places, strict=True):
+            sums[:, place] += unpacked(row["sums"], 2 * len(place)).astype(np.int64).reshape(2, -1)
+        return blocks(list(wire.send(rows["part"][0].as_py(), WHOLE, WORDS, words, list(sums))))
 
     def seats(context: np.ndarray, word: np.ndarray, n: np.ndarray, keys: np.ndarray, state: list[tuple], sweep: int) -> Iterator[np.ndarray]:
         """For each chain the tables of pairs after a sweep."""
@@ -504,7 +542,7 @@ def scored(
             out.append(found)
         return out
 
-    states = [written(exchanged(counted.select("part", "chunk", "n_words", "words", "sums").mapInArrow(least, _BLOCK), {WORDS: 2}), "lm-state")]
+    states = [written(exchanged(counted.select("part", "chunk", "n_words", "words", "sums").groupBy("part").applyInArrow(least, _BLOCK), {WORDS: 2}), "lm-state")]
     sweep, last = 0, False
     while not last:
         sweep += 1
@@ -513,12 +551,16 @@ def scored(
         def sit(left: pa.Table, right: pa.Table, *, sweep: int = sweep, last: bool = last) -> pa.Table:
             """Sums of tables by context and by word; of the last sweep the hot pairs' tables as well, for all who have them."""
             out: list[tuple] = []
-            for row in each(left):
-                words, context, word, n, keys = owned(row)
-                tables = list(seats(context, word, n, keys, state_of(right, row["chunk"], len(words), sweep - 1, chains), sweep))
-                least = unpacked(row["sums"], 2 * len(words)).astype(np.int64).reshape(2, -1)
-                sums = [one + np.bincount(where, t - 1, len(words)).astype(np.int64) for t in tables for one, where in zip(least, (context, word), strict=True)]
-                out += wire.send(row["part"], row["chunk"], WORDS, words, sums)
+            words, places = words_of(left)
+            state = state_of(right, len(words), sweep - 1, chains)
+            sums = np.zeros((2 * chains, len(words)), np.int64)
+            for row, place in zip(each(left), places, strict=True):
+                context, word, n, keys = owned(row)
+                tables = list(seats(context, word, n, keys, at_places(state, place), sweep))
+                least = unpacked(row["sums"], 2 * len(place)).astype(np.int64).reshape(2, -1)
+                for k, t in enumerate(tables):
+                    for i, where in enumerate((context, word)):
+                        sums[2 * k + i, place] += least[i] + np.bincount(where, t - 1, len(place)).astype(np.int64)
                 if last:
                     c = Chunk.read(row, held_out)
                     many = unpacked(row["pair_counts"], len(c.keys)) > hot
@@ -526,7 +568,7 @@ def scored(
                     found = np.zeros((chains, len(c.keys)), np.int64)
                     found[:, own] = tables
                     out += wire.send(row["part"], row["chunk"], PAIRS, c.keys[many], list(found[:, many]))
-            return blocks(out)
+            return blocks([*out, *wire.send(left["part"][0].as_py(), WHOLE, WORDS, words, list(sums))])
 
         def root(which: int, keys: np.ndarray, sums: list[np.ndarray], sweep: int = sweep) -> list[np.ndarray]:
             if which != WORDS:
@@ -549,16 +591,18 @@ def scored(
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         after = right.filter(pc.equal(right["state"], 1))
-        before = right.filter(pc.equal(right["state"], 0))
-        for row in each(left):
+        words, places = words_of(left)
+        old = state_of(right.filter(pc.equal(right["state"], 0)), len(words), sweep - 1, chains)
+        new = state_of(after, len(words), sweep, chains)
+        for row, place in zip(each(left), places, strict=True):
             c = Chunk.read(row, held_out)
             n = unpacked(row["counts"], len(c.words)).astype(np.int64)
             pairs = unpacked(row["pair_counts"], len(c.keys)).astype(np.int64)
             many = pairs > hot
-            tables = table_counts(c, row, state_of(before, row["chunk"], len(c.words), sweep - 1, chains), sweep, ~many)
+            tables = table_counts(c, row, at_places(old, place), sweep, ~many)
             own = received(after, row["chunk"], PAIRS, int(many.sum()), chains)
             mean = np.zeros(len(pairs))
-            for k, (context, customers, top) in enumerate(state_of(after, row["chunk"], len(c.words), sweep, chains)):
+            for k, (context, customers, top) in enumerate(at_places(new, place)):
                 tables[k][many] = own[k]
                 p = law.parent(sweep, k, customers, top)[c.word]
                 mean += (np.maximum(pairs - law.discount * tables[k], 0) + (law.strength + law.discount * context[c.context]) * p) / (law.strength + n[c.context])

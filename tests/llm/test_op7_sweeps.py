@@ -2,6 +2,7 @@
 
 import math
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -106,3 +107,59 @@ def test_executors_give_memory_back_after_each_sweep(spark, monkeypatch):
     monkeypatch.setattr(L, "executors_cleaned", counted)
     assert L.scored(docs, held, sweeps=3).count() == 30
     assert len(made) == 3 and min(made) >= 1
+
+
+def test_a_part_sends_each_word_once_a_sweep(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(60))) for i in range(40)]
+    chunks, sent, table, plain = [], [], L.bucketed, L.written
+
+    def kept(df, name, parts):
+        out = table(df, name, parts)
+        if name == "chunks":
+            chunks.append(out[0].count())
+        return out
+
+    def seen(df, name):
+        out = plain(df, name)
+        if name == "lm-state":
+            sent.append(sum(r["n"] for r in out.where(f"part >= 0 and kind = {L.WORDS}").collect()))
+        return out
+
+    monkeypatch.setattr(L, "bucketed", kept)
+    monkeypatch.setattr(L, "written", seen)
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert L.scored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), held, chunk_bytes=1, sweeps=2).count() == 40
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert chunks == [8]
+    assert sent == [len({w for _, t in rows for w in t.split()}) + 2] * 3  # the start and two sweeps; with the start and the end of a text
+
+
+def test_the_keys_sent_are_gone_before_counts_lie_beside_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i} and some words") for i in range(30)], "doc_id long, text string")
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if "/shuffle_" in f}
+
+    before, left, plain, exchange = [], [], L.bucketed, L.exchanged
+
+    def begun(*args, **more):
+        before.append(shuffled())
+        return exchange(*args, **more)
+
+    def looked(df, name, parts):
+        if name == "counted":
+            assert "hashpartitioning(kind" not in df._jdf.queryExecution().executedPlan().toString()
+            until = time.time() + 10
+            while (found := shuffled() - before[0]) and time.time() < until:
+                time.sleep(0.2)
+            left.append(found)
+        return plain(df, name, parts)
+
+    monkeypatch.setattr(L, "exchanged", begun)
+    monkeypatch.setattr(L, "bucketed", looked)
+    assert L.scored(docs, held).count() == 30
+    assert left == [set()]
