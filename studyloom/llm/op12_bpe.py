@@ -7,7 +7,8 @@ lowest merge rank first and leftmost among equals, and their ids are put
 together again.  With word-end tokens the last byte of a word is another
 symbol than the same byte inside it, and pairs are told apart accordingly.
 Fragments are short and few, so their ids are kept for the next time they come
-up; one that is longer than `KEPT` is encoded by a heap in n log n.
+up; one that is longer than `KEPT` is encoded by a heap in n log n.  Ids are
+kept as bytes of 32-bit integers, which are joined like text.
 
 The vocabulary is a BPE file of the tokenizers library (JSON), read by the
 driver, at most `MOST_BYTES` bytes, and broadcast.  Supported are the
@@ -19,8 +20,8 @@ Python's Unicode tables are normalised and split by the tokenizers library,
 whose tables are newer; their words are encoded here like all others.
 
 Work is a map over rows: no shuffle, and a hot source or a group of copies is
-no hot spot.  A worker holds one slice of text and at most 2 ** 17 words of
-up to KEPT characters.  Texts beyond `PIECE` characters are encoded in pieces
+no hot spot.  A worker holds one slice of text and at most 2 ** 19 words of
+up to KEPT characters (some 100 MB), and 2 ** 16 fragments.  Texts beyond `PIECE` characters are encoded in pieces
 cut in front of white space, where no word, normalisation or match can cross.
 
 A null or empty text has no ids and decodes to the empty text.  Repeated rows
@@ -33,9 +34,9 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 
+NONE = 1 << 48
 MOST_BYTES, KEPT, PIECE = 64 << 20, 40, 1 << 20
 #: Fixed value: the pattern of byte-level splitting where a file asks for the default.
 DEFAULT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,13 +79,24 @@ def lowered(text: str) -> str:
     return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100, all of which Python's tables have."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Words(dict):
-    """word -> its ids, filled as words come up and emptied when full."""
+    """word -> the bytes of its ids, filled as words come up and emptied when full."""
 
-    def __init__(self, encode: Callable[[str], tuple[int, ...]], most: int = 1 << 17):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 1 << 19):
         self.encode, self.most = encode, most
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
         if len(word) <= KEPT:
             if len(self) >= self.most:
@@ -113,9 +126,11 @@ class Bpe:
             raise ValueError("added tokens are supported only where they stand for themselves")
         # Symbols 0-255 are bytes within a word, 256-511 last bytes.
         self.first = [vocab[s] for s in symbols] + [vocab[s + suffix] for s in symbols]
+        if len(vocab) > NONE >> 24:
+            raise ValueError("a vocabulary of more than 2 ** 24 tokens is not supported")
         self.merges = {}
         for rank, (a, b) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]):
-            self.merges[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a] << 24 | vocab[b]] = rank << 24 | vocab[a + b]
         self.inside = bytearray(1 << 17)  # pairs of neighbours within some token: byte, then byte or last byte
         for token in vocab:
             ends = bool(suffix) and token.endswith(suffix) and token != suffix
@@ -123,7 +138,7 @@ class Bpe:
             for i, (x, y) in enumerate(zip(data, data[1:])):
                 self.inside[x << 9 | y | (256 if ends and i == len(data) - 2 else 0)] = 1
         self.last = 256 if suffix else 0
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.fragments: dict[bytes, bytes] = {}
         self.words = Words(self.word)
         self.library = None
         named = {i: t for t, i in [*vocab.items(), *self.special.items()]}
@@ -166,50 +181,66 @@ class Bpe:
             found.append(n)
         return found
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         """The ids of one word: those of its fragments in order."""
         data = word.encode()
+        cuts = self.cuts(data)
+        if not cuts:
+            return self.merged(data, True)
+        cuts.append(len(data))
         at, out = 0, []
-        for to in [*self.cuts(data), len(data)]:
-            ends = to == len(data)
-            key = data[at:to] + (b"\xff" if ends else b"")  # 0xff is no byte of UTF-8
+        for to in cuts:
+            key = data[at:to] + b"\xff" if to == len(data) else data[at:to]  # 0xff is no byte of UTF-8
             ids = self.fragments.get(key)
             if ids is None:
-                ids = self.merged(data[at:to], ends)
+                ids = self.merged(data[at:to], to == len(data))
                 if len(key) <= KEPT:
-                    if len(self.fragments) >= 1 << 17:
+                    if len(self.fragments) >= 1 << 16:
                         self.fragments.clear()
                     self.fragments[key] = ids
-            out.extend(ids)
+            out.append(ids)
             at = to
-        return tuple(out)
+        return b"".join(out)
 
-    def merged(self, data: bytes, ends: bool) -> tuple[int, ...]:
+    def merged(self, data: bytes, ends: bool) -> bytes:
         """The ids of one fragment: the merge of lowest rank, leftmost first, until none is left."""
         ids = [self.first[b] for b in data]
-        n = len(ids)
         if ends:
             ids[-1] = self.first[data[-1] + self.last]
+        if len(ids) > KEPT:
+            return array("i", self._heaped(ids)).tobytes()
+        get = self.merges.get
+        ranks = [get(a << 24 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < NONE:
+            i = ranks.index(least)
+            ids[i] = new = least & 0xFFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 24 | new, NONE)
+            if i < len(ranks):
+                ranks[i] = get(new << 24 | ids[i + 1], NONE)
+        return array("i", ids).tobytes()
+
+    def _heaped(self, ids: list[int]) -> list[int]:
+        """The same merges of a long fragment, by a heap over a linked list."""
+        n, get = len(ids), self.merges.get
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if hit := self.merges.get(ids[i] << 32 | ids[i + 1]):
-                heap.append((hit[0], i, hit[1]))
+        heap = [(hit, i) for i in range(n - 1) if (hit := get(ids[i] << 24 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            hit, i = heapq.heappop(heap)
             j = right[i]
-            if ids[i] < 0 or j >= n or self.merges.get(ids[i] << 32 | ids[j]) != (rank, new):
+            if ids[i] < 0 or j >= n or get(ids[i] << 24 | ids[j]) != hit:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = hit & 0xFFFFFF, -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if hit := self.merges.get(new << 32 | ids[k]):
-                    heapq.heappush(heap, (hit[0], i, hit[1]))
-            if (h := left[i]) >= 0 and (hit := self.merges.get(ids[h] << 32 | new)):
-                heapq.heappush(heap, (hit[0], h, hit[1]))
-        return tuple(x for x in ids if x >= 0)
+                if (then := get(ids[i] << 24 | ids[k])) is not None:
+                    heapq.heappush(heap, (then, i))
+            if (h := left[i]) >= 0 and (then := get(ids[h] << 24 | ids[i])) is not None:
+                heapq.heappush(heap, (then, h))
+        return [x for x in ids if x >= 0]
 
     def pieces(self, text: str) -> Iterator[str]:
         """Pieces of about PIECE characters that begin with white space after a word, the first apart."""
@@ -226,13 +257,13 @@ class Bpe:
         """The ids of a text without special tokens."""
         out = []
         for piece in self.pieces(text):
-            if not piece.isascii() and newer().search(piece):
+            if not latin(piece) and newer().search(piece):
                 found = self.split_by_library(piece)
             else:
                 for step in self.normal:
                     piece = step(piece)
                 found = self.pattern.findall(piece)
-            out.append(np.fromiter(chain.from_iterable(map(self.words.__getitem__, found)), np.int32))
+            out.append(np.frombuffer(b"".join(map(self.words.__getitem__, found)), np.int32))
         return out[0] if len(out) == 1 else np.concatenate(out)
 
     def split_by_library(self, piece: str) -> list[str]:
