@@ -36,7 +36,7 @@ def _audit(docs, labels):
     fails = _fails(docs)
     out = {}
     for part in {p or "" for _, _, p in docs}:
-        own = [(f, any(j == i and q == 1 for j, q, _ in labels), any(j == i and t == 1 for j, _, t in labels)) for (i, _, p), f in zip(docs, fails) if (p or "") == part]
+        own = [(f, any(i is not None and j == i and q == 1 for j, q, _ in labels), any(i is not None and j == i and t == 1 for j, _, t in labels)) for (i, _, p), f in zip(docs, fails) if (p or "") == part]
         for order in itertools.permutations("ABCDE"):
             for step, f in enumerate(order, 1):
                 before = set(order[: step - 1])
