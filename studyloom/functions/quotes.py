@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 _PIECE = re.compile(r"\S+")
 _WORD = re.compile(r"\w+")
@@ -65,3 +68,26 @@ def canonical_quotes(source: Column, quotes: Column) -> Column:
         return pd.Series(out)
 
     return F.pandas_udf(run, "array<string>")(source, quotes)
+
+
+def with_evidence(rows: DataFrame, source: str, points: str, headings: str, to: str) -> DataFrame:
+    """The rows with column `to`: for each list of points the distinct spans that the source has, or that of the heading.
+
+    A source is read and collapsed once, however many lists there are.
+    """
+    at = [rows.columns.index(c) for c in (source, points, headings)]
+    names = [*rows.columns, to]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, lists, heads in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                own = Source(text or "")
+                found = []
+                for qs, head in zip(lists or (), heads or (), strict=True):
+                    spans = [q for q in map(own.canonical, qs) if q is not None] or [q for q in [own.canonical(head)] if q is not None]
+                    found.append(list(dict.fromkeys(spans)))
+                out.append(found)
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.list_(pa.list_(pa.string())))], names=names)
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(to, ArrayType(ArrayType(StringType())))]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.quotes import canonical_quote, canonical_quotes
+from ..functions.quotes import with_evidence
 
 RAW_CHARS = 1800
 
@@ -76,23 +76,137 @@ def flattened(header: Column, bullets: Column, indent: str = "") -> Column:
     return F.array_join(F.concat(F.array(F.concat(F.lit(indent), header)), F.transform(bullets, lambda b: F.concat(F.lit(f"{indent}- "), b))), "\n")
 
 
+def levels(sections: Column) -> Column:
+    """How many levels of sections a JSON text can hold at most: half of how deep its brackets go.
+
+    Escapes go first, then strings, then all but brackets; what is left is folded.
+    """
+    brackets = F.regexp_replace(F.regexp_replace(F.regexp_replace(sections, r"\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]+", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, sign: Column) -> Column:
+        now = acc["now"] + F.when(sign.isin("[", "{"), 1).when(sign.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.ceil(F.aggregate(F.split(brackets, ""), zero, step, lambda acc: acc["most"]) / 2).cast("int")
+
+
+def _string(node: Column, *names: str) -> Column:
+    """The first field that is there and not empty, as text without white space at its ends; else empty."""
+    found = [F.nullif(F.try_variant_get(node, f"$.{n}", "string"), F.lit("")) for n in names]
+    return T.trimmed(F.coalesce(*found, F.lit("")))
+
+
+def _strings(node: Column, *names: str) -> Column:
+    """The first field that is a list, its items as text without blanks; else an empty list."""
+    found = [F.try_variant_get(node, f"$.{n}", "array<variant>") for n in names]
+    items = F.transform(F.coalesce(*found, F.array().cast("array<variant>")), lambda v: T.trimmed(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))))
+    return F.filter(items, lambda x: x != "")
+
+
+_NODE = "array<struct<path:array<int>,parent:string,node:variant>>"
+_CHUNK = "struct<sectionId:string,pageNumber:int,heading:string,paragraphs:array<string>,bulletPoints:array<string>,keyTerms:array<string>,evidence:array<string>>"
+
+
+def _children(nodes: Column, path: Column, parent: Column) -> Column:
+    """A list of sections as nodes below a path, numbered from 1."""
+    listed = F.coalesce(nodes, F.array().cast("array<variant>"))
+    return F.transform(listed, lambda n, i: F.struct(F.concat(path, F.array((i + 1).cast("int"))).alias("path"), parent.alias("parent"), n.alias("node")))
+
+
+def _section_id(source: Column, f: Column) -> Column:
+    """A section's own id, else one made of its source, its parent and its number below that."""
+    own = F.nullif(F.try_variant_get(f["node"], "$.sectionId", "string"), F.lit(""))
+    return F.coalesce(own, F.concat_ws("-", source, f["parent"], F.element_at(f["path"], -1).cast("string")))
+
+
+def sections_walked(sources: DataFrame) -> DataFrame:
+    """(sourceId, sections JSON, ...) with `walked`: the sections of every level as one array, parents before children.
+
+    The tree stays in its row.  One expression for each level takes the nodes
+    of the level above and lists theirs, so there is no shuffle and no join
+    back to the text; how many levels the table needs is one aggregate over
+    its sections (a driver action, as the plan depends on it).  A malformed
+    text, or one that is no list, has no sections; list members that are no
+    objects come out without any field and count in the numbering.
+    """
+    depth = sources.agg(F.max(levels(F.col("sections"))).alias("n")).first()["n"] or 0
+    top = F.try_variant_get(F.try_parse_json("sections"), "$", "array<variant>")
+    out = sources.withColumn("_0", _children(top, F.array().cast("array<int>"), F.lit("section")).cast(_NODE))
+    for k in range(1, depth):
+        below = F.transform(f"_{k - 1}", lambda f: _children(F.try_variant_get(f["node"], "$.subsections", "array<variant>"), f["path"], _section_id(F.col("sourceId"), f)))
+        out = out.withColumn(f"_{k}", F.flatten(below).cast(_NODE))
+
+    def section(f: Column) -> Column:
+        n = f["node"]
+        page = F.coalesce(F.try_variant_get(n, "$.page_number", "int"), F.try_variant_get(n, "$.pageNumber", "int"))
+        return F.struct(
+            f["path"].alias("path"),
+            _section_id(F.col("sourceId"), f).alias("sectionId"),
+            page.alias("pageNumber"),
+            _string(n, "header", "heading").alias("heading"),
+            _strings(n, "paragraphs").alias("paragraphs"),
+            _strings(n, "bullet_points", "bulletPoints").alias("bulletPoints"),
+            _strings(n, "key_terms", "keyTerms").alias("keyTerms"),
+            _string(n, "summary_notes", "summaryNotes").alias("summary"),
+        )
+
+    names = [f"_{k}" for k in range(max(1, depth))]
+    return out.withColumn("walked", F.array_sort(F.concat(*(F.transform(c, section) for c in names)))).drop(*names)
+
+
 def structured_chunks(sources: DataFrame) -> DataFrame:
-    """Chunks of the sections and subsections of (sourceId, sourceName, rawText, sections), parents before children.
+    """(sourceId, rawText, sections) with `chunks`, an array of what can be asked about.
+
+    Evidence are the paragraphs, bullets and the summary that the raw text
+    has, else the heading; a section without evidence gives no chunk.
+    """
+    walked = sections_walked(sources).drop("sections")
+    points = F.transform("walked", lambda s: F.concat(s["paragraphs"], s["bulletPoints"], F.filter(F.array(s["summary"]), lambda x: x != "")))
+    found = with_evidence(walked.withColumns({"points": points, "heads": F.transform("walked", lambda s: s["heading"])}), "rawText", "points", "heads", "found")
+
+    def chunk(s: Column, evidence: Column) -> Column:
+        heading = F.coalesce(F.nullif(s["heading"], F.lit("")), F.lit("Study material"))
+        fields = [s["sectionId"], s["pageNumber"], heading, s["paragraphs"], s["bulletPoints"], s["keyTerms"], evidence]
+        return F.struct(*fields).cast(_CHUNK)
+
+    return found.withColumn("chunks", F.filter(F.zip_with("walked", "found", chunk), lambda c: F.size(c["evidence"]) > 0)).drop("walked", "points", "heads", "found")
+
+
+def source_chunks(sources: DataFrame, most: int = RAW_CHARS, least: float = 0.75) -> DataFrame:
+    """All chunks of (id, name, text, sections): structured ones at any depth, then raw ones where those hold too little.
 
-    Evidence are the bullets and the summary that the raw text has, else the
-    heading; a section without evidence gives no chunk.
+    sections is a JSON text of nested sections under either spelling of their
+    fields.  Sources without text give no chunks.  Where the distinct
+    paragraphs, bullets and evidence of the structured chunks come to less
+    than `least` of the text's length, raw chunks follow.  ordinal numbers a
+    source's chunks from 0, and chars is the length of the whole chunk text,
+    as `usable` and `coverage_plan` take it.  Everything about a source
+    happens in its row.
     """
-    top = sources.select("sourceId", "sourceName", "rawText", F.posexplode("sections").alias("i", "s"))
-    top = top.withColumn("sectionId", F.concat_ws("-", "sourceId", F.lit("section"), F.col("i") + 1))
-    below = top.select("sourceId", "sourceName", "rawText", "i", "sectionId", F.posexplode("s.subsections").alias("j", "sub"))
-    fields = ("header", "bullet_points", "key_terms", "summary_notes", "page_number")
-    one = top.select("sourceId", "sourceName", "rawText", "i", F.lit(-1).alias("j"), "sectionId", *[F.col(f"s.{f}") for f in fields])
-    two = below.select("sourceId", "sourceName", "rawText", "i", "j", F.concat_ws("-", "sourceId", "sectionId", F.col("j") + 1).alias("sectionId"), *[F.col(f"sub.{f}") for f in fields])
-    points = _joined(F.coalesce("bullet_points", F.array().cast("array<string>")), F.array(F.coalesce("summary_notes", F.lit(""))))
-    both = one.unionByName(two).withColumn("points", points)
-    both = both.withColumn("quotes", canonical_quotes(F.col("rawText"), F.col("points"))).withColumn("own", canonical_quote(F.col("rawText"), F.col("header")))
-    out = both.withColumn("evidence", F.when(F.size("quotes") > 0, F.col("quotes")).when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array().cast("array<string>")))
-    return out.where(F.size("evidence") > 0).select("sourceId", "sourceName", "sectionId", F.coalesce(T.blank_to_null(F.col("header")), F.lit("Study material")).alias("heading"), "page_number", "bullet_points", "key_terms", "evidence", "i", "j")
+    given = sources.select(
+        F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), F.lit("source")).alias("sourceId"),
+        F.coalesce(F.nullif("name", F.lit("")), F.lit("Study material")).alias("sourceName"),
+        T.trimmed(F.coalesce("text", F.lit(""))).alias("rawText"),
+        "sections",
+    ).where("rawText <> ''")
+
+    def size(c: Column) -> Column:
+        return F.length(F.array_join(F.array_distinct(F.concat(c["paragraphs"], c["bulletPoints"], c["evidence"])), "\n"))
+
+    have = F.aggregate("chunks", F.lit(0), lambda acc, c: acc + size(c))
+    lines = F.filter(F.transform(F.split("rawText", r"\n"), T.trimmed), lambda x: x != "")
+    none = F.array().cast("array<string>")
+
+    def raw(part: Column, i: Column) -> Column:
+        number = (i + 1).cast("string")
+        fields = [F.concat("sourceId", F.lit("-raw-"), number), F.lit(None).cast("int"), F.concat(F.lit("Original lecture text · part "), number), part, none, none, part]
+        return F.struct(*fields).cast(_CHUNK)
+
+    made = structured_chunks(given)
+    made = made.withColumn("packed", F.when(have < least * F.length("rawText"), packed(lines, most)).otherwise(F.array().cast("array<array<string>>")))
+    every = made.select("sourceId", "sourceName", F.posexplode(F.concat("chunks", F.transform("packed", raw))).alias("ordinal", "c")).select("sourceId", "sourceName", "ordinal", "c.*")
+    return every.withColumn("chars", F.length(chunk_text(F.col("heading"), F.col("paragraphs"), F.col("bulletPoints"), F.col("keyTerms"), F.col("evidence"))))
 
 
 def lacking(structured: DataFrame, sources: DataFrame, least: float = 0.75) -> DataFrame:

@@ -349,8 +349,91 @@ def page_structure(spark: SparkSession, d: str) -> DataFrame:
     """Every document as one page, through the line parser; then the sections' chunks with grounded evidence."""
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page_number"), "text", "source")
     found = structure.structured(pages)
-    out = chunking.structured_chunks(found.select(F.col("doc").cast("string").alias("sourceId"), F.col("source").alias("sourceName"), F.col("text").alias("rawText"), "sections"))
-    return out.select("sourceId", "sectionId", "heading", F.size("evidence").alias("n_evidence"), F.array_join("key_terms", ", ").alias("key_terms"))
+    out = chunking.source_chunks(found.select(F.col("doc").alias("id"), F.col("source").alias("name"), "text", F.to_json("sections").alias("sections")))
+    return out.select("sourceId", "sectionId", "ordinal", "heading", F.size("evidence").alias("n_evidence"), F.array_join("keyTerms", ", ").alias("key_terms"), "chars")
+
+
+#: Nested sections of a document as JSON, four levels deep, in either spelling, with members that are no sections: text
+#: between names of expressions.  parts are the lines whose number leaves 0 to 3 by 4, heads the first three lines.
+_NESTED = (
+    '[{"header":|head0|,"paragraphs":|part0|,"summary_notes":"No text says this anywhere.","page_number":1,"subsections":[7,'
+    '{"sectionId":|own|,"heading":|source|,"bulletPoints":|part1|,"keyTerms":[|lang|," ",3],"pageNumber":2,"subsections":['
+    '{"header":|head1|,"bullet_points":|part2|,"key_terms":[|source|,|lang|],"subsections":["no section",{"heading":|head2|,"paragraphs":|part3|,"summaryNotes":|head0|}]}]},'
+    '{"header":"","bullet_points":"no list","subsections":null}]},{"header":|head0|,"bulletPoints":null}]'
+)
+
+
+def _nested_sources(spark: SparkSession, d: str) -> DataFrame:
+    ls = lines(F.col("text"))
+
+    def quoted(c: Column) -> Column:
+        return F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), F.lit("null"))
+
+    def part(k: int) -> Column:
+        return F.to_json(F.filter(ls, lambda x, i: (i % 4 == k) & ((k < 3) | (F.col("doc_id") % 3 > 0))))
+
+    of = {"own": quoted(F.concat(F.lit("own-"), F.col("doc_id"))), "source": quoted(F.col("source")), "lang": quoted(F.col("lang"))}
+    of |= {f"head{k}": quoted(F.get(ls, k)) for k in range(3)} | {f"part{k}": part(k) for k in range(4)}
+    pieces = [of[p] if i % 2 else F.lit(p) for i, p in enumerate(_NESTED.split("|"))]
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), "text", F.concat(*pieces).alias("sections"))
+
+
+def _nested_sql() -> str:
+    of = {"own": "to_json('own-' || doc_id)", "source": "coalesce(to_json(source)::VARCHAR, 'null')", "lang": "coalesce(to_json(lang)::VARCHAR, 'null')"}
+    of |= {f"head{k}": f"coalesce(to_json(ls[{k + 1}])::VARCHAR, 'null')" for k in range(3)}
+    of |= {f"part{k}": f"to_json(list_filter(ls, lambda x, i: i % 4 = {(k + 1) % 4} AND ({k} < 3 OR doc_id % 3 > 0)))::VARCHAR" for k in range(4)}
+    nested = " || ".join(of[p] if i % 2 else f"'{p}'" for i, p in enumerate(_NESTED.split("|")))
+    strip = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+    def field(*names: str) -> str:
+        return strip.format(f"coalesce({', '.join(f'nullif(json_extract_string(node, {chr(39)}$.{n}{chr(39)}), {chr(39)}{chr(39)})' for n in names)}, '')")
+
+    def listed(*names: str) -> str:
+        tries = " ".join(f"WHEN json_type(node, '$.{n}') = 'ARRAY' THEN json_extract_string(node, '$.{n}[*]')" for n in names)
+        return f"list_filter(list_transform(CASE {tries} ELSE [] END, lambda x: {strip.format('x')}), lambda x: x <> '')"
+
+    def has(q: str) -> str:
+        return rf"(contains(raw, {q}) AND length(regexp_replace({q}, '\s+', ' ', 'g')) >= 12 AND len(regexp_extract_all({q}, '[\p{{L}}\p{{N}}_]+')) >= 2)"
+
+    return rf"""WITH RECURSIVE s AS (SELECT doc_id::VARCHAR AS "sourceId", {strip.format("text")} AS raw, ({nested})::JSON AS sections
+  FROM (SELECT *, {lines_sql('text')} AS ls FROM documents) WHERE {strip.format("text")} <> ''),
+t AS (SELECT "sourceId", [i] AS path, 'section' AS parent, sections[i - 1] AS node FROM (SELECT *, unnest(range(1, json_array_length(sections)::BIGINT + 1)) AS i FROM s)
+  UNION ALL SELECT "sourceId", list_append(path, i), own, subs[i - 1] FROM (SELECT *, unnest(range(1, json_array_length(subs)::BIGINT + 1)) AS i FROM (
+    SELECT *, node->'$.subsections' AS subs, coalesce(nullif(node->>'$.sectionId', ''), "sourceId" || '-' || parent || '-' || path[-1]) AS own FROM t
+    WHERE json_type(node, '$.subsections') = 'ARRAY'))),
+f AS (SELECT "sourceId", path, raw, coalesce(nullif(node->>'$.sectionId', ''), "sourceId" || '-' || parent || '-' || path[-1]) AS "sectionId",
+    coalesce(node->>'$.page_number', node->>'$.pageNumber')::INT AS "pageNumber", {field("header", "heading")} AS head, {listed("paragraphs")} AS paras,
+    {listed("bullet_points", "bulletPoints")} AS bullets, {listed("key_terms", "keyTerms")} AS terms, {field("summary_notes", "summaryNotes")} AS summary
+  FROM t JOIN s USING ("sourceId") WHERE json_type(node) = 'OBJECT'),
+e AS (SELECT *, list_filter(paras || bullets || [summary], lambda q: q <> '' AND {has("q")}) AS quotes FROM f),
+v AS (SELECT *, CASE WHEN len(quotes) > 0 THEN quotes WHEN {has("head")} THEN [head] ELSE [] END AS said FROM e),
+distinct_said AS (SELECT *, list_filter(said, lambda x, i: list_position(said, x) = i) AS evidence, list_distinct(paras || bullets || said) AS parts FROM v WHERE len(said) > 0),
+have AS (SELECT "sourceId", sum(list_sum(list_transform(parts, lambda x: length(x))) + len(parts) - 1) AS n FROM distinct_said GROUP BY 1),
+l AS (SELECT "sourceId", raw, {lines_sql('raw')} AS ls FROM s LEFT JOIN have USING ("sourceId") WHERE coalesce(n, 0) < 0.75 * length(raw)),
+p AS (SELECT "sourceId", ls, 1 AS i, 1 AS k, length(ls[1]) AS size FROM l WHERE len(ls) > 0
+  UNION ALL SELECT "sourceId", ls, i + 1, CASE WHEN size + length(ls[i + 1]) > 1800 THEN k + 1 ELSE k END, CASE WHEN size + length(ls[i + 1]) > 1800 THEN length(ls[i + 1]) ELSE size + length(ls[i + 1]) END FROM p WHERE i < len(ls)),
+r AS (SELECT "sourceId", k, list(ls[i] ORDER BY i) AS part FROM p GROUP BY 1, 2),
+every AS (SELECT "sourceId", 0 AS kind, path, "sectionId", "pageNumber", CASE WHEN head = '' THEN 'Study material' ELSE head END AS heading, paras, bullets, terms, evidence FROM distinct_said
+  UNION ALL SELECT "sourceId", 1, [k], "sourceId" || '-raw-' || k, NULL, 'Original lecture text · part ' || k, part, [], [], part FROM r)
+SELECT "sourceId", (row_number() OVER (PARTITION BY "sourceId" ORDER BY kind, path) - 1)::INT AS ordinal, "sectionId", "pageNumber", heading, array_to_string(bullets, '|') AS bullets,
+  array_to_string(terms, '|') AS terms, array_to_string(evidence, '|') AS evidence, length(array_to_string(list_filter([heading] || paras || bullets || terms || evidence, lambda x: x <> ''), chr(10)))::INT AS chars FROM every"""
+
+
+def _nested_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.source_chunks(_nested_sources(spark, d))
+
+
+@query(_nested_sql())
+def source_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Nested sections to chunks at any depth, raw chunks where they hold too little of the text."""
+    listed = [F.array_join(c, "|").alias(to) for c, to in [("bulletPoints", "bullets"), ("keyTerms", "terms"), ("evidence", "evidence")]]
+    return _nested_chunks(spark, d).select("sourceId", "ordinal", "sectionId", "pageNumber", "heading", *listed, "chars")
+
+
+@query()
+def source_chunk_plan(spark: SparkSession, d: str) -> DataFrame:
+    """A plan of 25 questions for each document's chunks, structured and raw."""
+    return planning.coverage_plan(_nested_chunks(spark, d).withColumnRenamed("sourceId", "request"), 25)
 
 
 @query()
