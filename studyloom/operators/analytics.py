@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..session import written
 
 WEEKLY_GOAL = 30
 
@@ -79,13 +80,31 @@ def token_sums(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.groupBy(*keys).agg(*[F.when(told, F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")])
 
 
+def prefix_sums(points: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, order, value) with `total`, the sum of value up to and with each point of its group, in order.
+
+    Points of one group and place are added up first.  The rest is dealt out
+    by ranges of (keys, order); each range is summed by itself, the sums of
+    whole ranges (one row for each range and each group in it) give what comes
+    before a range, and the two are added.  No task holds more than a range,
+    with or without keys.
+    """
+    own = points.groupBy(*keys, order).agg(F.sum(value).alias(value))
+    ranged = written(own.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "prefix-ranges")
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    mine = ranged.withColumn("_own", F.sum(value).over(within)).alias("r")
+    met = mine.join(before.alias("b"), [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "_range"]])
+    return met.select(*[F.col(f"r.{c}") for c in [*keys, order, value]], (F.col("_own") + F.col("_before")).alias("total"))
+
+
 def concurrency(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """The most calls open at once, by a sweep over starts and ends; at equal times ends come first.
+    """The most calls open at once, over each group or over all calls; at equal times ends come before starts.
 
-    A group's sweep is one sorted partition.  Over all calls at once that is
-    one task, so longer periods are cut: with a key such as the hour, and the
-    calls still open at its start counted from the ends before it.
+    A start adds one and an end takes one away, and the most is that of the
+    running sums.  A call without a start does not count, one without an end
+    stays open; no calls give no rows, or a null without keys.
     """
-    ends = calls.select(*keys, F.explode(F.array(F.struct(F.col("started_seconds").alias("t"), F.lit(1).alias("d")), F.struct(F.col("finished_seconds").alias("t"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.t", "e.d")
-    w = Window.partitionBy(*keys).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return ends.withColumn("open", F.sum("d").over(w)).groupBy(*keys).agg(F.max("open").alias("max_concurrency"))
+    ends = calls.where("started_seconds IS NOT NULL").select(*keys, F.explode(F.array(F.struct(F.col("started_seconds").alias("t"), F.lit(1).alias("d")), F.struct(F.col("finished_seconds").alias("t"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.t", "e.d")
+    return prefix_sums(ends.where("t IS NOT NULL"), keys, "t", "d").groupBy(*keys).agg(F.max("total").alias("max_concurrency"))

@@ -790,6 +790,19 @@ def max_concurrency(spark: SparkSession, d: str) -> DataFrame:
     return analytics.concurrency(calls(spark, d), ["batch_index"])
 
 
+@query(f"""SELECT max(o)::BIGINT AS max_concurrency FROM (SELECT sum(x) OVER (ORDER BY t, x ROWS UNBOUNDED PRECEDING) AS o FROM
+(SELECT started_seconds AS t, 1 AS x FROM {CALLS} c UNION ALL SELECT finished_seconds, -1 FROM {CALLS} c))""")
+def max_concurrency_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Over all calls at once, by ranges of time."""
+    return analytics.concurrency(calls(spark, d), [])
+
+
+@query(f"""SELECT event_type, ts, n, (sum(n) OVER (PARTITION BY event_type ORDER BY ts))::BIGINT AS total FROM (SELECT event_type, ts, sum(answers)::BIGINT AS n FROM {ATTEMPTS} a GROUP BY ALL)""")
+def running_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers given so far, by kind of event."""
+    return analytics.prefix_sums(attempts(spark, d).select("event_type", "ts", F.col("answers").alias("n")), ["event_type"], "ts", "n")
+
+
 @query(f"SELECT batch_index, request_number FROM (SELECT *, row_number() OVER (PARTITION BY batch_index ORDER BY request_number DESC) AS n FROM {CALLS} c) WHERE n <= 12")
 def last_n_calls(spark: SparkSession, d: str) -> DataFrame:
     return grounding.last_rows(calls(spark, d), ["batch_index"], "request_number", 12).select("batch_index", "request_number")
