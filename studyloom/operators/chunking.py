@@ -56,6 +56,20 @@ def raw_chunks(sources: DataFrame, most: int = RAW_CHARS) -> DataFrame:
     )
 
 
+def raw_spans(sources: DataFrame, most: int = RAW_CHARS) -> DataFrame:
+    """(sourceId, sectionId, place, first, last) of raw chunks in the collapsed text of (sourceId, text)."""
+    lines = F.filter(F.transform(F.split("text", r"\n"), T.trimmed), lambda x: x != "")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
+
+    def add(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(T.collapsed(F.array_join(part, " ")))
+        return F.struct((end + 1).alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("first"), end.alias("last")))).alias("spans"))
+
+    spans = F.aggregate(packed(lines, most), zero, add, lambda acc: acc["spans"])
+    out = sources.select("sourceId", F.posexplode(spans).alias("place", "s"))
+    return out.select("sourceId", F.concat("sourceId", F.lit("-raw-"), (F.col("place") + 1).cast("string")).alias("sectionId"), "place", "s.first", "s.last")
+
+
 def compact(paragraphs: Column, bullets: Column, evidence: Column) -> Column:
     """Distinct non-blank contents in order of first appearance."""
     return F.array_distinct(_joined(paragraphs, bullets, evidence))

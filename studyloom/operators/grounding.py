@@ -9,65 +9,143 @@ at most that size, one pass each.  Texts are never shuffled.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 
-_SPACE = re.compile(r"\s+")
 
+class Finder:
+    """Where the quotes of a set begin and end in a text, by one automaton; its members are numbers in that set."""
 
-def _finder(quotes: list[tuple[int, str]]):
-    """text -> ids of the quotes it holds."""
-    by_text: dict[str, list[int]] = {}
-    for key, q in quotes:
-        by_text.setdefault(q, []).append(key)
-    if not by_text:
-        return lambda text: []
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: sorted(k for q, keys in by_text.items() if q in text for k in keys)
-    automaton = ahocorasick.Automaton()
-    for q, keys in by_text.items():
-        automaton.add_word(q, keys)
-    automaton.make_automaton()
-    return lambda text: sorted({k for _, keys in automaton.iter(text) for k in keys})
+    def __init__(self, quotes: list[str]) -> None:
+        by_text: dict[str, list[int]] = {}
+        for i, q in enumerate(quotes):
+            if q:
+                by_text.setdefault(q, []).append(i)
+        self.automaton = None
+        if by_text:
+            self.automaton = ahocorasick.Automaton()
+            for q, members in by_text.items():
+                self.automaton.add_word(q, (len(q), members))
+            self.automaton.make_automaton()
+
+    def members(self, text: str) -> list[int]:
+        return sorted({i for _, (_, members) in self.automaton.iter(text) for i in members}) if self.automaton else []
+
+    def places(self, text: str) -> list[tuple[int, int, int]]:
+        """(member, begin, end) for every occurrence."""
+        return [(i, at + 1 - n, at + 1) for at, (n, members) in self.automaton.iter(text) for i in members] if self.automaton else []
+
+
+def _flat(text: str | None) -> str:
+    return " ".join((text or "").split())
 
 
 def grounded(sources: DataFrame, quotes: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """(source_id, quote_id) for each source text that holds a quote, white space collapsed on both sides.
 
-    sources has (id, text), quotes (id, quote); quotes too short to be evidence are left out.
+    sources has (id, text), quotes (id, quote) with ids of any type; quotes too short to be evidence are left out.
     """
-    flat = quotes.where(T.quotable(F.col("quote"))).select(F.col("id").cast("long").alias("id"), T.collapsed(F.col("quote")).alias("quote"))
+    flat = quotes.where(T.quotable(F.col("quote"))).select("id", T.collapsed(F.col("quote")).alias("quote"))
     total = flat.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
     parts = max(1, -(-total // most_bytes))
-    kind = sources.schema["id"].dataType.simpleString()
+    schema = StructType([StructField("source_id", sources.schema["id"].dataType), StructField("quote_id", quotes.schema["id"].dataType)])
     out = None
     for k in range(parts):
         some = flat.where(F.pmod(F.xxhash64("id", "quote"), F.lit(parts)) == k) if parts > 1 else flat
-        given = sources.sparkSession.sparkContext.broadcast(sorted((r["id"], r["quote"]) for r in some.collect()))
+        given = sources.sparkSession.sparkContext.broadcast(some.select("id", "quote").toArrow())
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            find = _finder(given.value)
+            ids = given.value.column("id").combine_chunks()
+            finder = Finder(given.value.column("quote").to_pylist())
             for batch in batches:
-                ids, found = [], []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    hits = find(_SPACE.sub(" ", text).strip()) if text else []
-                    ids += [key] * len(hits)
+                at, found = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    hits = finder.members(_flat(text))
+                    at += [i] * len(hits)
                     found += hits
-                yield pa.record_batch([pa.array(ids, batch.schema.types[0]), pa.array(found, pa.int64())], names=["source_id", "quote_id"])
+                yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), ids.take(pa.array(found, pa.int64()))], names=["source_id", "quote_id"])
 
-        one = sources.select("id", "text").mapInArrow(run, f"source_id {kind}, quote_id long")
+        one = sources.select("id", "text").mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def located(sources: DataFrame, quotes: DataFrame, most: int = 1000) -> DataFrame:
+    """(source_id, quote_id, begin, end) for every place of quotes (id, source_id, quote) in their own source's collapsed text.
+
+    The quotes of a source come to its text in lots of about `most`, so a
+    source that very many quotes name is no hot group; its text goes along
+    with each lot.  Quotes too short to be evidence have no place.
+    """
+    flat = quotes.where(T.quotable(F.col("quote"))).select(F.col("id").alias("quote_id"), "source_id", T.collapsed(F.col("quote")).alias("quote"))
+    lots = flat.groupBy("source_id").agg(F.ceil(F.count("*") / most).alias("lots"))
+    dealt = flat.join(lots, "source_id").groupBy("source_id", F.pmod(F.xxhash64("quote_id", "quote"), F.col("lots")).alias("lot")).agg(F.collect_list("quote_id").alias("ids"), F.collect_list("quote").alias("quotes"))
+    met = dealt.join(sources.select(F.col("id").alias("source_id"), "text"), "source_id").select("source_id", "ids", "quotes", "text")
+    schema = StructType([*met.schema.fields[:1], StructField("quote_id", quotes.schema["id"].dataType), StructField("begin", IntegerType()), StructField("end", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                found = Finder(row.column(2)[0].as_py()).places(_flat(row.column(3)[0].as_py()))
+                member, begin, end = zip(*found, strict=True) if found else ((), (), ())
+                ids = row.column(1).flatten().take(pa.array(member, pa.int64()))
+                yield pa.record_batch([row.column(0).take(pa.array([0] * len(member), pa.int64())), ids, pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["source_id", "quote_id", "begin", "end"])
+
+    return met.mapInArrow(run, schema)
+
+
+def contained(places: DataFrame, spans: DataFrame, keys: list[str], width: int = 2048) -> DataFrame:
+    """Each place (keys, begin, end) with each span (keys, first, last) that holds it whole.
+
+    An interval join by buckets of positions: a span goes to every bucket that
+    it touches, a place to that where it begins, so a place meets the spans
+    around it alone.
+    """
+    wide = spans.where("last > first").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("last") - 1) / width))))
+    return places.withColumn("_bucket", F.floor(F.col("begin") / width)).join(wide, [*keys, "_bucket"]).where("first <= begin AND end <= last").drop("_bucket")
+
+
+def section_scores(evidence: DataFrame, held: DataFrame) -> DataFrame:
+    """(plan, question, section, score): how many of a question's quotes, (plan, question, quote_id), a section holds, (quote_id, section)."""
+    return evidence.join(held.select("quote_id", "section").distinct(), "quote_id").groupBy("plan", "question", "section").agg(F.count("*").alias("score"))
+
+
+def assigned(questions: DataFrame, scores: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(plan, question, section, sections) for questions (plan, question, ordinal), taken in order.
+
+    Each goes to the section with the highest score, then most quota left,
+    then first in the plan, among those with a score and quota left, and uses
+    one of its quota; without any, section is null.  sections are all with a
+    score, in the plan's order.  quotas has (plan, section, quota, place).  A
+    plan is a batch, so bounded; its questions are one array, folded in the JVM.
+    """
+    options = scores.join(quotas, ["plan", "section"]).groupBy("plan", "question").agg(F.array_sort(F.collect_list(F.struct("place", "section", "score"))).alias("options"))
+    none = F.array().cast(options.schema["options"].dataType)
+    listed = questions.join(options, ["plan", "question"], "left").groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("ordinal", "question", F.coalesce("options", none).alias("options")))).alias("asked"))
+    left = quotas.groupBy("plan").agg(F.map_from_entries(F.collect_list(F.struct("section", F.col("quota").cast("long")))).alias("quota"))
+    rows = listed.join(left, "plan", "left").withColumn("quota", F.coalesce("quota", F.create_map().cast(left.schema["quota"].dataType)))
+    section, question = quotas.schema["section"].dataType.simpleString(), questions.schema["question"].dataType.simpleString()
+    out = f"array<struct<question:{question},section:{section},sections:array<{section}>>>"
+
+    def step(acc: Column, q: Column) -> Column:
+        left = F.filter(q["options"], lambda o: F.coalesce(acc["left"][o["section"]], F.lit(0)) > 0)
+        best = F.array_max(F.transform(left, lambda o: F.struct(o["score"].alias("score"), acc["left"][o["section"]].alias("left"), (-o["place"]).alias("place"), o["section"].alias("section"))))["section"]
+        done = F.array(F.struct(q["question"], best, F.transform(q["options"], lambda o: o["section"]))).cast(out)
+        after = F.transform_values(acc["left"], lambda k, v: F.when(k == best, v - 1).otherwise(v))
+        return F.struct(after.alias("left"), F.concat(acc["out"], done).alias("out"))
+
+    folded = F.aggregate("asked", F.struct(F.col("quota").alias("left"), F.array().cast(out).alias("out")), step, lambda acc: acc["out"])
+    return rows.select("plan", F.inline(folded))
+
+
 def unique_source(matches: DataFrame) -> DataFrame:
     """Quotes that exactly one source holds, with that source."""
     return matches.groupBy("quote_id").agg(F.count("*").alias("n"), F.min("source_id").alias("source_id")).where("n = 1").drop("n")

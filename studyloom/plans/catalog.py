@@ -470,6 +470,52 @@ def evidence_module_name(spark: SparkSession, d: str) -> DataFrame:
     return _grounded(spark, d).join(names, "source_id", "left").select(F.col("quote_id").alias("item_id"), F.coalesce("source", F.lit("Study material")).alias("source"))
 
 
+def _line_questions(spark: SparkSession, d: str) -> DataFrame:
+    """(plan, question, quote_id, quote): every line of a document asks with itself, the next and the ninth after it as evidence."""
+    ls = lines(F.col("text"))
+    each = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("plan"), ls.alias("ls"), F.explode(F.sequence(F.lit(0), F.greatest(F.size(ls) - 1, F.lit(0)))).alias("question"))
+    three = each.select("plan", "question", "ls", F.explode(F.array(F.lit(0), F.lit(1), F.lit(9))).alias("k"))
+    return three.select("plan", "question", F.concat_ws("-", "plan", "question", "k").alias("quote_id"), F.get("ls", F.col("question") + F.col("k")).alias("quote")).where("quote IS NOT NULL")
+
+
+def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked, sources = _line_questions(spark, d), raw_sources(spark, d)
+    places = grounding.located(sources.select(F.col("sourceId").alias("id"), "text"), asked.select(F.col("quote_id").alias("id"), F.col("plan").alias("source_id"), "quote"))
+    spans = chunking.raw_spans(sources)
+    held = grounding.contained(places, spans.select(F.col("sourceId").alias("source_id"), F.col("sectionId").alias("section"), "first", "last"), ["source_id"])
+    return asked, spans, grounding.section_scores(asked, held)
+
+
+_SCORES = f"""l AS (SELECT doc_id, {lines_sql('text')} AS ls FROM documents),
+p AS (SELECT doc_id, ls, 1 AS i, 1 AS k, length(ls[1]) AS size FROM l WHERE len(ls) > 0
+UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN size + length(ls[i + 1]) > 1800 THEN k + 1 ELSE k END, CASE WHEN size + length(ls[i + 1]) > 1800 THEN length(ls[i + 1]) ELSE size + length(ls[i + 1]) END FROM p WHERE i < len(ls)),
+chunk AS (SELECT doc_id, k, regexp_replace(string_agg(ls[i], ' ' ORDER BY i), '\s+', ' ', 'g') AS body FROM p GROUP BY 1, 2),
+asked AS (SELECT doc_id, question, regexp_replace(ls[question + e.k + 1], '\s+', ' ', 'g') AS quote FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS question FROM l), (VALUES (0), (1), (9)) e(k) WHERE question + e.k < len(ls)),
+scores AS (SELECT doc_id, question, k, count(*) AS score FROM asked JOIN chunk USING (doc_id)
+WHERE length(quote) >= 12 AND len(regexp_extract_all(quote, '[\p{{L}}\p{{N}}_]+')) >= 2 AND contains(body, quote) GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_SCORES} SELECT doc_id::VARCHAR AS plan, question::INT AS question, doc_id || '-raw-' || k AS section, score FROM scores""")
+def section_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each question's evidence each chunk of its source holds."""
+    return _placed(spark, d)[2]
+
+
+@query(f"""WITH RECURSIVE {_SCORES}, options AS (SELECT doc_id, question, list({{'score': score, 'k': k}}) AS o FROM scores GROUP BY ALL),
+steps AS (SELECT doc_id, question, row_number() OVER (PARTITION BY doc_id ORDER BY question) AS n, coalesce(o, []) AS o FROM (SELECT DISTINCT doc_id, question FROM asked) LEFT JOIN options USING (doc_id, question)),
+walk AS (SELECT DISTINCT doc_id, 0::BIGINT AS n, NULL::BIGINT AS question, NULL::INTEGER AS k, []::INTEGER[] AS used, [] ::STRUCT(score BIGINT, k INTEGER)[] AS o FROM asked
+UNION ALL SELECT doc_id, n, question, k, CASE WHEN k IS NULL THEN used ELSE list_append(used, k) END, o FROM (SELECT *, -best.place AS k FROM (
+  SELECT s.doc_id, s.n, s.question, s.o, w.used, list_max(list_transform(list_filter(s.o, lambda x: len(list_filter(w.used, lambda u: u = x.k)) < 3), lambda x: {{'score': x.score, 'left': 3 - len(list_filter(w.used, lambda u: u = x.k)), 'place': -x.k}})) AS best
+  FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.n = w.n + 1)))
+SELECT doc_id::VARCHAR AS plan, question::INT AS question, doc_id || '-raw-' || k AS section, coalesce(array_to_string(list_transform(list_sort(list_transform(o, lambda x: x.k)), lambda x: doc_id || '-raw-' || x), '|'), '') AS sections FROM walk WHERE n > 0""")
+def question_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Questions dealt to the chunks of their source by evidence, three to a chunk at most."""
+    asked, spans, scores = _placed(spark, d)
+    quotas = spans.select(F.col("sourceId").alias("plan"), F.col("sectionId").alias("section"), F.lit(3).alias("quota"), "place")
+    found = grounding.assigned(asked.select("plan", "question", F.col("question").alias("ordinal")).distinct(), scores, quotas)
+    return found.select("plan", "question", "section", F.array_join("sections", "|").alias("sections"))
+
+
 @query(f"SELECT source, coalesce(n, 0) AS n FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source, count(*) AS n FROM {_GROUNDED} g JOIN documents USING (doc_id) GROUP BY 1) USING (source)")
 def coverage_zero_fill(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "source")
