@@ -102,6 +102,33 @@ def located(sources: DataFrame, quotes: DataFrame, most: int = 1000) -> DataFram
     return met.mapInArrow(run, schema)
 
 
+def extraction_errors(expected: DataFrame, returned: DataFrame, chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(request, error, source_id, n): what an extractor's output has wrong against the sources that it was given.
+
+    expected has (request, source_id), returned (request, source_id) for each
+    source in the output, chunks (request, source_id, chunk_source_id, chunk_id,
+    quotes) for each chunk under its source, texts (id, text).  The bags of
+    sources are compared by a full outer join of their counts: `missing`,
+    `unknown`, `twice`.  Then chunks that name another source than the one
+    they stand under (`other source`), and quotes that the source does not
+    have (`not in source`), found by their places; those of chunks without a
+    known source are not looked for.  A null id is an unknown source.
+    """
+    keys = ["request", "source_id"]
+    both = expected.groupBy(*keys).agg(F.count("*").alias("given")).withColumnRenamed("source_id", "a").withColumnRenamed("request", "r").join(
+        returned.groupBy(*keys).agg(F.count("*").alias("got")), F.col("r").eqNullSafe(F.col("request")) & F.col("a").eqNullSafe(F.col("source_id")), "full_outer"
+    )
+    bag = both.select(F.coalesce("request", "r").alias("request"), F.coalesce("source_id", "a").alias("source_id"), F.coalesce("given", F.lit(0)).alias("given"), F.coalesce("got", F.lit(0)).alias("got"))
+    error = F.when(F.col("got") == 0, "missing").when((F.col("given") == 0) | F.col("source_id").isNull(), "unknown").when(F.col("got") > 1, "twice")
+    of_bag = bag.withColumn("error", error).where("error IS NOT NULL").select("request", "error", "source_id", F.greatest("got", F.lit(1)).alias("n"))
+    other = chunks.where(~F.col("source_id").eqNullSafe(F.col("chunk_source_id"))).groupBy(*keys).agg(F.count("*").alias("n")).select("request", F.lit("other source").alias("error"), "source_id", "n")
+    known = chunks.join(expected.distinct(), keys, "left_semi")
+    said = known.select("request", "source_id", F.posexplode("quotes").alias("place", "quote"), "chunk_id").withColumn("id", F.struct("request", "chunk_id", "place"))
+    found = located(texts, said.select("id", "source_id", "quote")).select(F.col("quote_id").alias("id")).distinct()
+    lost = said.join(found, "id", "left_anti").groupBy(*keys).agg(F.count("*").alias("n")).select("request", F.lit("not in source").alias("error"), "source_id", "n")
+    return of_bag.unionByName(other).unionByName(lost)
+
+
 def contained(places: DataFrame, spans: DataFrame, keys: list[str], width: int = 2048) -> DataFrame:
     """Each place (keys, begin, end) with each span (keys, first, last) that holds it whole.
 

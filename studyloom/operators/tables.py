@@ -73,8 +73,13 @@ def merge_counts(candidates: DataFrame, inserted: DataFrame, bank: DataFrame) ->
     return out.select("module_id", "generated", "inserted", (F.col("generated") - F.col("inserted")).alias("duplicates"), (F.col("before") + F.col("inserted")).alias("total"))
 
 
-def updated(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """The table with changed rows in place of those with the same key; changes for unknown keys are left out."""
+def updated(table: DataFrame, changes: DataFrame, key: str = "id", stamp: Column | None = None) -> DataFrame:
+    """The table with changed rows in place of those with the same key; changes for unknown keys are left out.
+
+    A stamp becomes the changed rows' updated_at.
+    """
+    if stamp is not None:
+        changes = changes.withColumn("updated_at", stamp)
     known = changes.join(table.select(key), key, "left_semi")
     return table.join(known.select(key), key, "left_anti").unionByName(known)
 
@@ -90,21 +95,6 @@ def if_empty(server: DataFrame, legacy: DataFrame) -> DataFrame:
     return server.unionByName(legacy.withColumn("_one", F.lit(1)).join(some, "_one", "left_anti").drop("_one"))
 
 
-def violations(modules: DataFrame, questions: DataFrame) -> DataFrame:
-    """(rule, key, n) for every broken key, reference or range."""
-    q = questions
-    found = [
-        modules.groupBy(F.col("id").alias("key")).count().where("count > 1").select(F.lit("module key").alias("rule"), "key", F.col("count").alias("n")),
-        q.join(modules.select(F.col("id").alias("module_id")), "module_id", "left_anti").groupBy(F.col("module_id").alias("key")).count().select(F.lit("module reference"), "key", "count"),
-        q.groupBy(F.concat_ws("/", "module_id", "normalized_stem").alias("key")).count().where("count > 1").select(F.lit("stem unique in module"), "key", "count"),
-        q.where(~F.col("correct_index").between(0, 7)).groupBy(F.col("module_id").alias("key")).count().select(F.lit("correct_index range"), "key", "count"),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
-
-
 def selection_guard(selected: DataFrame, most: int = 5, most_chars: int = 100_000) -> DataFrame:
     """(request) rows whose selection is allowed: at least one module, at most `most`, and the total length."""
     return selected.groupBy("request").agg(F.count("*").alias("modules"), F.sum(F.length("source_text")).alias("chars")).where((F.col("modules") <= most) & (F.col("chars") <= most_chars))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import quotes
 from ..functions import text as T
 from ..functions.keyterms import key_terms_of
 from ..functions.similarity import ratio
-from ..operators import analytics, chunking, dedup, facts, generation, grounding, planning, provider, structure, tables, validation
+from ..operators import analytics, chunking, dedup, facts, generation, grounding, payloads, planning, provider, structure, tables, validation
 from ..sources import requests
 from ..sources.files import supported
 from .registry import query, table
@@ -140,10 +142,99 @@ def migrate_if_empty(spark: SparkSession, d: str) -> DataFrame:
     return tables.if_empty(r.where("r_regionkey < 0"), r)
 
 
-@query(f"""SELECT 'stem unique in module' AS rule, module_id || '/' || normalized_stem AS key, count(*) AS n FROM {QUESTIONS} q GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT 'module reference', module_id, count(*) FROM {QUESTIONS} q WHERE module_id NOT IN (SELECT id FROM {MODULES} m) GROUP BY 2""")
+def _filled(template: str, of: dict[str, Column]) -> Column:
+    """A template whose every second piece between bars names an expression."""
+    return F.concat(*(of[p] if i % 2 else F.lit(p) for i, p in enumerate(template.split("|"))))
+
+
+def _filled_sql(template: str, of: dict[str, str]) -> str:
+    return " || ".join(of[p] if i % 2 else f"'{p}'" for i, p in enumerate(template.split("|")))
+
+
+def _either(k: str, cases: dict[int, str], other: str) -> tuple[Callable[[], Column], str]:
+    """A text by the value of k, in Spark (made when asked for) and in SQL."""
+    said = " ".join(f"WHEN {v} THEN '{t}'" for v, t in cases.items())
+    whole = f"CASE {k} {said} ELSE '{other}' END"
+    return lambda: F.expr(whole), whole
+
+
+def _json(c: str) -> tuple[Callable[[], Column], str]:
+    return lambda: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), f"to_json({c})::VARCHAR"
+
+
+_MODULE_BODY = '{"name":|name|,"|text_key|":|text|,"source":"an old text","|file_key|":"  notes.txt ","structured_sections":|first|,"structuredSections":["a"],"storagePath":"  ","formatted_text":null,"formattedSource":7|end|'
+_MODULE_PARTS = {
+    "name": _either("doc_id % 9", {1: "null", 2: '"  "', 3: "7", 4: '[1,"x"]'}, '" Lecture "'),
+    "text_key": _either("doc_id % 2", {0: "source_text"}, "text"),
+    "text": _json("text"),
+    "file_key": _either("doc_id % 3", {0: "original_filename"}, "originalFilename"),
+    "first": _either("doc_id % 4", {0: "[1,2,3]", 1: '"none"', 2: "null"}, "{}"),
+    "end": _either("doc_id % 10", {9: ""}, "}"),
+}
+
+
+@query(rf"""SELECT doc_id, j IS NULL AS malformed, coalesce(trim(CASE WHEN j->>'$.name' = '' THEN NULL ELSE j->>'$.name' END), '') AS name,
+length(regexp_replace(coalesce(j->>'$.source_text', j->>'$.source', ''), '^\s+|\s+$', '', 'g'))::INTEGER AS chars, CASE WHEN j IS NOT NULL THEN 'notes.txt' END AS original_filename, NULL::VARCHAR AS storage_path, j->>'$.formattedSource' AS formatted_text,
+CASE WHEN j IS NULL THEN 0 WHEN json_type(j, '$.structured_sections') = 'ARRAY' THEN 3 ELSE 1 END AS sections,
+CASE WHEN j IS NULL THEN 'body' WHEN coalesce(trim(j->>'$.name'), '') = '' THEN 'name' WHEN trim(coalesce(j->>'$.source_text', j->>'$.source', '')) = '' THEN 'source_text' END AS problem
+FROM (SELECT doc_id, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM (SELECT doc_id, {_filled_sql(_MODULE_BODY, {k: v[1] for k, v in _MODULE_PARTS.items()})} AS body FROM documents))""")
+def module_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as bodies of modules under either spelling, some with wrong types, some cut off."""
+    bodies = table(spark, d, "documents").select("doc_id", _filled(_MODULE_BODY, {k: v[0]() for k, v in _MODULE_PARTS.items()}).alias("body"))
+    rows = payloads.module_rows(bodies)
+    return rows.select("doc_id", F.coalesce(F.col("problem") == "body", F.lit(False)).alias("malformed"), "name", F.length("source_text").alias("chars"), "original_filename", "storage_path", "formatted_text", F.size(F.variant_get("structured_sections", "$", "array<variant>")).alias("sections"), "problem")
+
+
+_K = "(conv_id * 31 + turn) % 13"
+_QUESTION_BODY = '{"stem":|stem|,"options":|options|,"|index_key|":|index|,"correctRationale":" r ","stemEvidence":|evidence|,"optionRationales":|rationales|,"category":null,"concept":|concept|,"sectionIds":|sections||end|'
+_QUESTION_PARTS = {
+    "stem": _json("text"),
+    "options": _either(_K, {0: '"A"'}, '["A","B"," C"]'),
+    "index_key": _either(_K, {6: "other"}, "correctIndex"),
+    "index": _either(_K, {1: "9", 2: '" 2 "', 3: "2.7", 4: '"x"', 5: "null"}, "1"),
+    "evidence": _either(_K, {7: '{"quote":"q"}'}, '[{"quote":"q"},{"quote":"r"}]'),
+    "rationales": _either(_K, {8: '"none"'}, "[]"),
+    "concept": _json("role"),
+    "sections": _either(_K, {9: "3"}, '["s1"]'),
+    "end": _either(_K, {10: ""}, "}"),
+}
+_QUESTION_JSON = f"(SELECT conv_id, turn, {_K} AS k, text, role, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM (SELECT *, {_filled_sql(_QUESTION_BODY, {k: v[1] for k, v in _QUESTION_PARTS.items()})} AS body FROM conversations))"
+
+
+def _question_bodies(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.floor(F.col("conv_id") / 20).cast("string").alias("module_id"), _filled(_QUESTION_BODY, {k: v[0]() for k, v in _QUESTION_PARTS.items()}).alias("body"), F.sha2(F.col("conv_id").cast("string"), 256).alias("revision"))
+
+
+@query(rf"""SELECT conv_id, turn, (conv_id // 20)::VARCHAR AS module_id, CASE WHEN j IS NULL THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS stem, CASE k WHEN 1 THEN 9 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN 0 WHEN 10 THEN 0 ELSE 1 END AS correct_index,
+CASE WHEN k IN (0, 10) THEN 0 ELSE 3 END AS options, CASE WHEN k IN (7, 10) THEN 0 ELSE 2 END AS evidence, CASE WHEN k IN (9, 10) THEN 0 ELSE 1 END AS sections,
+CASE WHEN j IS NULL THEN '' ELSE 'r' END AS correct_rationale, '' AS category, CASE WHEN j IS NULL THEN '' ELSE role END AS concept, CASE WHEN j IS NULL THEN '' ELSE {stem_key_sql('text')} END AS normalized_stem,
+sha256(conv_id::VARCHAR) AS source_revision, CASE k WHEN 10 THEN 'body' WHEN 4 THEN 'correct_index' WHEN 5 THEN 'correct_index' END AS problem FROM {_QUESTION_JSON} q""")
+def question_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as bodies of questions, some with wrong types in every field, some cut off."""
+    rows = payloads.question_rows(_question_bodies(spark, d), "revision")
+    sizes = [F.size(F.variant_get(c, "$", "array<variant>")).alias(to) for c, to in [("options", "options"), ("stem_evidence", "evidence"), ("section_ids", "sections")]]
+    return rows.select("conv_id", "turn", "module_id", "stem", "correct_index", *sizes, "correct_rationale", "category", "concept", "normalized_stem", "source_revision", "problem")
+
+
+def _stored_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions as they stand in bodies, unguarded, with ids that repeat every 50 conversations and modules that are not there."""
+    v = F.try_parse_json("body")
+    kinds = {to: F.try_variant_get(v, f"$.{c}", "variant") for c, to in [("options", "options"), ("stemEvidence", "stem_evidence"), ("optionRationales", "option_rationales"), ("sectionIds", "section_ids")]}
+    c = _question_bodies(spark, d)
+    return c.select(F.concat_ws("-", F.when(F.col("conv_id") % 50 == 1, 0).otherwise(F.col("conv_id")).cast("string"), "turn").alias("id"), F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("gone-"), "module_id")).otherwise(F.col("module_id")).alias("module_id"), T.stem_key(F.left(F.try_variant_get(v, "$.stem", "string"), F.lit(3))).alias("normalized_stem"), payloads.whole(F.try_variant_get(v, "$.correctIndex", "variant")).alias("correct_index"), *(e.alias(n) for n, e in kinds.items()))
+
+
+@query(f"""WITH q AS (SELECT (CASE WHEN conv_id % 50 = 1 THEN 0 ELSE conv_id END) || '-' || turn AS id, (CASE WHEN conv_id % 7 = 0 THEN 'gone-' ELSE '' END) || (conv_id // 20) AS module_id,
+CASE WHEN k <> 10 THEN {stem_key_sql('left(text, 3)')} END AS stem, k FROM {_QUESTION_JSON} q),
+f AS (SELECT *, count(*) OVER (PARTITION BY id) AS ids, count(*) OVER (PARTITION BY module_id, stem) AS stems FROM q)
+SELECT * FROM (SELECT 'question key' AS rule, count(*) FILTER (ids > 1) AS n FROM f UNION ALL SELECT 'module reference', count(*) FILTER (module_id NOT IN (SELECT doc_id::VARCHAR FROM documents)) FROM f
+UNION ALL SELECT 'stem unique in module', count(*) FILTER (stems > 1 AND stem IS NOT NULL) FROM f UNION ALL SELECT 'correct_index range', count(*) FILTER (k = 1) FROM f UNION ALL SELECT 'options is a list', count(*) FILTER (k = 0) FROM f
+UNION ALL SELECT 'stem_evidence is a list', count(*) FILTER (k = 7) FROM f UNION ALL SELECT 'option_rationales is a list', count(*) FILTER (k = 8) FROM f UNION ALL SELECT 'section_ids is a list', count(*) FILTER (k = 9) FROM f
+UNION ALL SELECT 'nothing missing', count(*) FILTER (k IN (4, 5, 10)) FROM f) WHERE n > 0""")
 def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
-    return tables.violations(modules(spark, d), questions(spark, d)).select("rule", "key", "n")
+    """Breaches of all nine rules by questions that break each of them."""
+    return payloads.violations(_stored_questions(spark, d), modules(spark, d))
 
 
 # --- guards --------------------------------------------------------------------------------------------------------
@@ -470,6 +561,27 @@ def evidence_module_name(spark: SparkSession, d: str) -> DataFrame:
     return _grounded(spark, d).join(names, "source_id", "left").select(F.col("quote_id").alias("item_id"), F.coalesce("source", F.lit("Study material")).alias("source"))
 
 
+_FLAT_LINE = f"(SELECT doc_id, doc_id // 10 AS request, doc_id % 11 AS k, ({lines_sql('text')})[1] AS line FROM documents)"
+
+
+@query(rf"""WITH l AS {_FLAT_LINE},
+q AS (SELECT *, coalesce(length(regexp_replace(line, '\s+', ' ', 'g')) >= 12 AND len(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) >= 2, false) AS fit FROM l WHERE k NOT IN (0, 2) AND line IS NOT NULL)
+SELECT request, 'missing' AS error, doc_id::VARCHAR AS source_id, 1::BIGINT AS n FROM l WHERE k = 0 OR k = 2
+UNION ALL SELECT request, 'unknown', 'x' || doc_id, 1 FROM l WHERE k = 2 UNION ALL SELECT request, 'twice', doc_id::VARCHAR, 2 FROM l WHERE k = 1
+UNION ALL SELECT request, 'other source', doc_id::VARCHAR, 1 FROM l WHERE k = 3
+UNION ALL SELECT request, 'not in source', doc_id::VARCHAR, sum(CASE WHEN fit AND k <> 4 THEN 0 WHEN k = 4 OR NOT fit THEN 1 END * CASE k WHEN 1 THEN 2 ELSE 1 END)::BIGINT FROM q GROUP BY ALL HAVING bool_or(k = 4 OR NOT fit)""")
+def extraction_errors(spark: SparkSession, d: str) -> DataFrame:
+    """An extractor's output for every document, ten to a request: some are left out, given twice or under another id, some chunks name another source or quote what is not there."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.floor(F.col("doc_id") / 10).alias("request"), (F.col("doc_id") % 11).alias("k"), "text", F.element_at(F.concat(lines(F.col("text")), F.array(F.lit(None).cast("string"))), 1).alias("line"))
+    given = docs.select("request", F.col("id").alias("source_id"))
+    name = F.when(F.col("k") == 2, F.concat(F.lit("x"), "id")).otherwise(F.col("id"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("k") == 1, 2).otherwise(1)))
+    out = docs.where("k <> 0").select("*", name.alias("source_id"), times.alias("once"))
+    quote = F.when(F.col("k") == 4, F.concat(F.lit("no such words "), "line")).otherwise(F.replace("line", F.lit(" "), F.lit("  ")))
+    chunks = out.select("request", "source_id", F.when(F.col("k") == 3, "other").otherwise(F.col("source_id")).alias("chunk_source_id"), F.col("id").alias("chunk_id"), F.array_compact(F.array(quote)).alias("quotes"))
+    return grounding.extraction_errors(given, out.select("request", "source_id"), chunks, docs.select("id", "text")).select("request", "error", "source_id", "n")
+
+
 def _line_questions(spark: SparkSession, d: str) -> DataFrame:
     """(plan, question, quote_id, quote): every line of a document asks with itself, the next and the ninth after it as evidence."""
     ls = lines(F.col("text"))
