@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
@@ -43,9 +43,12 @@ from .shared import written
 
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br nobr".split())
-FURNITURE_TAGS = frozenset("head nav aside footer form button select input textarea object canvas audio video dialog menu datalist fieldset optgroup option script style noscript iframe template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br nobr "
+    "math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mfenced mpadded mtable mtr mtd semantics annotation annotation-xml".split()
+)
+FURNITURE_TAGS = frozenset("head nav aside footer form button select input textarea object canvas audio video dialog menu datalist fieldset optgroup option script style noscript iframe template svg annotation annotation-xml".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Words in class names and ids that announce furniture, and those that announce the article.
 FURNITURE_WORDS = frozenset(
@@ -65,6 +68,8 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"\d+")
 
 
+#: Elements below an article whose names may announce furniture.
+CONTAINERS = frozenset("div section ul ol dl table aside header center fieldset figure details article".split())
 #: Branches of less importance go.
 LEAST_IMPORTANCE = 0.15
 
@@ -97,7 +102,8 @@ def parse(source: str) -> Page:
     nodes = [Node("#root", "", -1, _key("#root"))]
     texts: list[tuple[int, int, str]] = []
     stack, segment, at = [0], 0, 0
-    unclosed: Counter[str] = Counter()  # spares stray end tags the search of the stack
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack each name is open, so that no tag has to search it
+    blocks = [0]  # where in the stack elements are that are not inline
 
     def text(raw: str) -> None:
         if raw:
@@ -105,11 +111,15 @@ def parse(source: str) -> Page:
 
     def pop_to(index: int) -> None:
         nonlocal segment
-        for i in stack[index:]:
-            unclosed[nodes[i].tag] -= 1
-            if nodes[i].tag not in INLINE:
+        while len(stack) > index:
+            tag = nodes[stack.pop()].tag
+            opened[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
                 segment += 1
-        del stack[index:]
+
+    def innermost(names: set[str]) -> int:
+        return max((opened[n][-1] for n in names if opened[n]), default=0)
 
     while at < len(source):
         m = _TAG.search(source, at)
@@ -124,13 +134,8 @@ def parse(source: str) -> Page:
         if m[1] or m[4]:
             if name == "br":
                 texts.append((segment, stack[-1], " "))
-            for i in range(len(stack) - 1, 0, -1) if unclosed[name] else ():
-                tag = nodes[stack[i]].tag
-                if tag == name:
-                    pop_to(i)
-                    break
-                if name in INLINE and tag not in INLINE:
-                    break
+            if opened[name] and not (name in INLINE and blocks[-1] > opened[name][-1]):
+                pop_to(opened[name][-1])
             continue
         if name == "br":
             texts.append((segment, stack[-1], " "))
@@ -143,23 +148,13 @@ def parse(source: str) -> Page:
             at = end.end() if end else len(source)
             segment += name not in INLINE and name not in {"script", "style", "noscript", "template"}
             continue
-        if name not in _P_STAYS:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[i]].tag
-                if tag == "p":
-                    pop_to(i)
-                    break
-                if tag not in INLINE:
-                    break
+        if name not in _P_STAYS and blocks[-1] and nodes[stack[blocks[-1]]].tag == "p":
+            pop_to(blocks[-1])
         if name in _CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[i]].tag
-                if tag in _SCOPE[name]:
+            while (i := innermost(_CLOSES[name])) > innermost(_SCOPE[name]):
+                pop_to(i)
+                if name not in {"tr", "tbody", "tfoot", "thead"}:
                     break
-                if tag in _CLOSES[name]:
-                    pop_to(i)
-                    if name not in {"tr", "tbody", "tfoot", "thead"}:
-                        break
         label, words, role, hidden, main = "", frozenset(), "", False, False
         given = m[3]
         if given and not given.isspace():
@@ -177,10 +172,11 @@ def parse(source: str) -> Page:
         if not own or own[-1] != style:
             own.append(style)
         nodes.append(Node(name, label, parent, _key(nodes[parent].path, style), words, role, hidden, main))
-        stack.append(len(nodes) - 1)
-        unclosed[name] += 1
+        opened[name].append(len(stack))
         if name not in INLINE:
+            blocks.append(len(stack))
             segment += 1
+        stack.append(len(nodes) - 1)
     return Page(nodes, texts)
 
 
@@ -206,6 +202,8 @@ def furniture(n: Node, inside: bool) -> bool:
         return False
     if not inside and (n.tag == "header" or n.words & HEADER_WORDS and not n.words & ARTICLE_WORDS):
         return True
+    if inside and n.tag not in CONTAINERS:
+        return False  # a heading's id is made of its words, and so are a paragraph's classes at times
     return bool(n.words & FURNITURE_WORDS)
 
 
@@ -240,11 +238,15 @@ def extract(page: Page, known: dict[int, tuple[int, float, float, int]], least_i
         named = x.tag in {"div", "section", "td"} and bool(x.words & ARTICLE_WORDS) and 3 * size[i] >= size[0]
         if holds[i] or ((x.tag in articles or x.tag == "main" or x.body or named) and not x.words & FURNITURE_WORDS):
             holds[x.parent] = True
+    article = [0] * n  # the outermost article element that a node lies in
     for i in range(1, n):
         x, p = nodes[i], nodes[i].parent
         inside[i] = inside[p] or x.tag in articles or x.body
+        article[i] = article[p] or (i if inside[i] else 0)
         # a wrapper of most of the page is no furniture, whatever its name, and neither is a form around all of it
         wraps = holds[i] and not inside[i] and 2 * size[i] >= size[0] and x.tag not in FURNITURE_TAGS - {"form"}
+        # nor is, in an article, what names itself its content and holds a third of it
+        wraps = wraps or bool(article[p] and x.words & ARTICLE_WORDS) and 3 * size[i] >= size[article[p]] and x.tag in CONTAINERS - {"aside"} and not x.hidden and x.role not in FURNITURE_ROLES
         announced = furniture(x, inside[i]) and not wraps
         gone[i] = gone[p] or announced
 
@@ -258,8 +260,7 @@ def extract(page: Page, known: dict[int, tuple[int, float, float, int]], least_i
                 if p <= 0:
                     found.append(i)
                     chosen.add(i)
-        most = max((size[i] for i in found), default=0)
-        return [i for i in found if 3 * size[i] >= most]
+        return found
 
     chosen: set[int] = set()
     top = roots(lambda x: x.tag == "article")

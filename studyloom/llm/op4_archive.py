@@ -7,8 +7,10 @@ their declared length alone, so a payload may hold anything, and makes WARC
 records of them: an identifier from the record's own bytes, a date with the
 separators that WARC wants, a type, and SHA-1 digests in base32.
 
-Of records with equal payloads of at least `least_bytes` bytes the one with
-the smallest key is the response and the others are revisits that refer to
+What has an HTTP header is a response; anything else (a dns: record, say) is a
+resource under its own content type, and is never revisited.  Of responses
+with equal payloads of at least `least_bytes` bytes the one with
+the smallest key stays one and the others are revisits that refer to
 it and keep the HTTP header but no payload.  Keys are ordered as their type
 orders them; of equal keys the record's identifier decides, which its place
 in the archive makes its own.  The least key by digest is a
@@ -34,7 +36,7 @@ import gzip
 import hashlib
 import re
 from collections.abc import Iterator
-from math import ceil
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,6 +118,22 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (block, b"") if end < 0 else (block[: end + 4], block[end + 4 :])
 
 
+def warc_date(stamp: str) -> str:
+    """An ARC date with the separators that WARC wants.
+
+    A short one is filled up to its first moment; of one that is no date the
+    year is kept, and without a year it is the year 1.
+    """
+    digits = re.match(r"[0-9]*", stamp)[0][:14]
+    for own in (digits, digits[:4]):
+        whole = own + "00010101000000"[len(own) :]
+        try:
+            return datetime.strptime(whole, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+        except ValueError:
+            continue
+    return "0001-01-01T00:00:00Z"
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -179,6 +197,14 @@ def _write(records: DataFrame, path: str, end: str, many: int) -> None:
     records.select("value").write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", many).text(path)
 
 
+def percent_encoded(url: Column) -> Column:
+    """A url with its blanks and control characters as %00 to %20 and %7F."""
+    out = url
+    for code in (*range(0x21), 0x7F):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20\x7f]"), out).otherwise(url)
+
+
 def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 2, file_bytes: int = 16 << 20) -> None:
     """Pages as ARC files: each a version block and the HTTP responses, with the page's key, after a sign and encoded, as a header field.
 
@@ -186,8 +212,7 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: st
     text writer makes whole archives.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    url = F.coalesce(F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "%20"), F.lit("-"))
-    url = F.when(url == "", "-").otherwise(url)
+    url = percent_encoded(F.coalesce(F.nullif(F.col(url_col), F.lit("")), F.lit("-")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Key: "), F.coalesce(F.url_encode(F.concat(F.lit("="), F.col(key_col).cast("string"))), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html), F.lit("\r\n\r\n"), html)
     tail = F.lit(" 200 - - 0 pages.arc" if version == 2 else "")
     head = F.concat(url, F.lit(" 0.0.0.0 20080101000000 text/html"), tail, F.lit(" "), F.octet_length(http).cast("string"), F.lit("\n"))
@@ -210,8 +235,7 @@ def converted(records: DataFrame, key_field: str = "X-Key") -> DataFrame:
             for r in batch.to_pylist():
                 http, payload = split_http(r["block"])
                 found = field.search(http)
-                s = (r["stamp"] + "00000000000000")[:14]
-                date = f"{s[:4]}-{s[4:6]}-{s[6:8]}T{s[8:10]}:{s[10:12]}:{s[12:]}Z"
+                date = warc_date(r["stamp"])
                 own = hashlib.sha256(b"\0".join([r["place"].encode(), r["url"].encode(), date.encode(), http, payload])).hexdigest()
                 name = f"urn:uuid:{own[:8]}-{own[8:12]}-5{own[13:16]}-{'89ab'[int(own[16], 16) % 4]}{own[17:20]}-{own[20:32]}"
                 rows.append((found[1].decode() if found else None, r["url"], r["ip"], date, r["mime"], http, payload, len(payload), digest(payload), name))
@@ -231,13 +255,14 @@ def write_warc(parts: DataFrame, path: str, least_bytes: int = 0, file_bytes: in
     """Parts (as from converted(), written) as WARC files, with revisits for payloads seen under a smaller key."""
     key = key_of(F.col("key"), key_kind)
     ranked = parts.withColumn("rank", F.struct(key.isNotNull().alias("some"), key.alias("key"), F.col("record_id")))
-    first = ranked.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min_by(F.struct("record_id", "url", "date"), "rank").alias("first"))
+    served, large = F.length("http") > 0, F.col("payload_bytes") >= least_bytes
+    first = ranked.where(served & large).groupBy("payload_digest").agg(F.min_by(F.struct("record_id", "url", "date"), "rank").alias("first"))
     met = ranked.join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= least_bytes) & (F.col("first.record_id") != F.col("record_id"))
+    again = F.coalesce(served & large & (F.col("first.record_id") != F.col("record_id")), F.lit(False))
     block = F.when(again, F.col("http").cast("string")).otherwise(F.concat(F.col("http").cast("string"), F.col("payload").cast("string")))
     lines = [
         F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
+        F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").when(served, "response").otherwise("resource")),
         F.concat(F.lit("WARC-Record-ID: <"), "record_id", F.lit(">")),
         F.concat(F.lit("WARC-Date: "), "date"),
         F.concat(F.lit("WARC-Target-URI: "), "url"),
@@ -247,7 +272,7 @@ def write_warc(parts: DataFrame, path: str, least_bytes: int = 0, file_bytes: in
         F.when(again, F.concat(F.lit("WARC-Refers-To-Target-URI: "), F.col("first.url"))),
         F.when(again, F.concat(F.lit("WARC-Refers-To-Date: "), F.col("first.date"))),
         F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.lit("Content-Type: application/http; msgtype=response"),
+        F.when(served, "Content-Type: application/http; msgtype=response").otherwise(F.concat(F.lit("Content-Type: "), F.coalesce("mime", F.lit("application/octet-stream")))),
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     ]
     rows = met.withColumn("block", block).select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("block")).alias("value"))

@@ -346,7 +346,7 @@ class Search:
 def searches(docs: DataFrame, benchmark: DataFrame, s: Settings, id_col: str = "item_id", text_col: str = "text", docs_text: str = "text") -> Iterator[Search]:
     """A Search for each block of the benchmark, fitted on all texts of docs."""
     items = benchmark.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size = F.greatest(F.lit(1), F.ceil(F.size(F.split(F.trim("text"), r"\W+")) / (2 * s.block)))
+    size = F.greatest(F.lit(1), F.ceil(F.regexp_count("text", F.lit(r"[A-Za-z0-9[^\x00-\x7F]]+")) / (2 * s.block)))  # words as `folded` makes them
     blocks = max(1, ceil((items.agg(F.sum(size)).first()[0] or 0) / s.most_items))
     texts = docs.select(F.col(docs_text).alias("text"))
     for k in range(blocks):

@@ -5,7 +5,7 @@ multiplies the cells' weights so that their sums match the target shares of
 one dimension after the other, until all three agree.  A document is then
 kept with a probability in proportion to its cell's weight for each token,
 calibrated so that the expected tokens are a given share of all; a hash of
-the id decides, so a rerun decides alike and a copy of a row like the row.
+id and text decides, so a rerun decides alike and a copy of a row like the row.
 
 Marginals are partial aggregations joined back to cells, so a hot source or
 language is no hot spot, and nothing but single numbers reaches the driver.
@@ -20,6 +20,8 @@ weight of 1.  With no topic column the topic is the form of the text, see
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,19 +63,20 @@ def _summed(cells: DataFrame, dim: str) -> DataFrame:
     return cells.groupBy(dim).agg(F.sum("w").alias("sum"), F.first(f"t_{dim}").alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, stalled: float = 0.9) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, stalled: float = 0.99) -> DataFrame:
     """cells (source, lang, topic, tokens) with weights w whose marginals match the targets.
 
     targets has for each dimension a table (dim, target) of shares; values without a target get weight 0.
-    Cells of zero tokens stay at 0.  Sweeps go on until every marginal is within the relative tolerance.  Where cells
-    are missing, no weights may meet all targets: once two sweeps leave more than the part `stalled` of the worst
-    deviation they end, the weights meet the last dimension, and column off, the worst deviation, tells so.
+    Cells of zero tokens stay at 0.  Sweeps go on until every marginal is within the relative tolerance, however slowly
+    they get there.  Where cells are missing, no weights may meet all targets, and then the deviation comes to stand
+    still: once four sweeps leave more than the part `stalled` of the worst deviation they end, and the weights meet
+    the last dimension.  Column off is the worst deviation; see `met`.
     """
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMS:
         now = now.join(targets[d].withColumnRenamed("target", f"t_{d}"), d, "left").fillna(0.0, [f"t_{d}"])
     now = written(now, "raking")
-    last = float("inf")
+    before, last = float("inf"), float("inf")
     while True:
         then = now
         for d in DIMS * 2:
@@ -87,9 +90,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         worst = off.agg(F.max("off")).first()[0]
         removed(now)
         now = then
-        if worst is None or worst <= tolerance or worst > stalled * last:
+        if worst is None or worst <= tolerance or worst > stalled * before:
             return now.withColumn("off", F.lit(float(worst or 0.0)))
-        last = worst
+        before, last = last, worst
+
+
+def met(cells: DataFrame, most_off: float = 0.01) -> bool:
+    """Whether the raked cells' marginals are within the share most_off of their targets; a warning where they are not."""
+    off = (cells.select("off").first() or [0.0])[0]
+    if off > most_off:
+        warnings.warn(f"no weights of these cells meet all targets: a marginal is off by {off:.3f} of its target", stacklevel=2)
+    return off <= most_off
 
 
 def calibrated(cells: DataFrame, share: float) -> DataFrame:
@@ -117,19 +128,24 @@ def mixing(docs: DataFrame, share: float = 0.8, power: float = 0.7, targets: dic
 
 
 def chosen(docs: DataFrame, cells: DataFrame, id_col: str = "doc_id", seed: str = "mix", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
-    """(row, source, lang, topic, tokens, ratio, p, selected) for each row of docs, which is the struct `row` with all its columns."""
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """(row, source, lang, topic, tokens, ratio, p, off, selected) for each row of docs, which is the struct `row` with all its columns.
+
+    Rows without an id are drawn by their text alone.
+    """
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     keyed = docs.select(whole.alias("row"), *featured(docs, source_col, lang_col, text_col, topic_col), draw.alias("draw"))
-    return keyed.join(cells.select(*DIMS, "ratio", "p"), list(DIMS)).withColumn("selected", F.col("draw") < F.col("p"))
+    return keyed.join(cells.select(*DIMS, "ratio", "p", "off"), list(DIMS)).withColumn("selected", F.col("draw") < F.col("p"))
 
 
 def sampled(docs: DataFrame, share: float = 0.8, power: float = 0.7) -> DataFrame:
-    """The rows of docs that the mix selects, with docs' own columns."""
-    return chosen(docs, mixing(docs, share, power)).where("selected").select("row.*")
+    """The rows of docs that the mix selects, with docs' own columns; where no weights meet the targets a warning says so."""
+    cells = mixing(docs, share, power)
+    met(cells)
+    return chosen(docs, cells).where("selected").select("row.*")
 
 
 def op9_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     found = chosen(docs, mixing(docs))
-    return found.select("row.doc_id", "row.source", "row.lang", "topic", F.col("tokens").alias("n_tokens"), F.col("ratio").alias("weight"), F.col("p").alias("probability"), "selected")
+    return found.select("row.doc_id", "row.source", "row.lang", "topic", F.col("tokens").alias("n_tokens"), F.col("ratio").alias("weight"), F.col("p").alias("probability"), "selected", "off")
