@@ -59,40 +59,42 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.select(dim, (F.col("part") / F.lit(whole)).alias("target"))
 
 
-def _summed(cells: DataFrame, dim: str) -> DataFrame:
-    return cells.groupBy(dim).agg(F.sum("w").alias("sum"), F.first(f"t_{dim}").alias("target"))
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, stalled: float = 0.99) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, stalled: float = 0.9) -> DataFrame:
     """cells (source, lang, topic, tokens) with weights w whose marginals match the targets.
 
+    A weight is a cell's tokens times a factor of each of its values.  A step takes one dimension: the cells' sums
+    under the other two factors say what its own must be, and that small table is written; so a step is two joins
+    and an aggregation, however many went before.
     targets has for each dimension a table (dim, target) of shares; values without a target get weight 0.
     Cells of zero tokens stay at 0.  Sweeps go on until every marginal is within the relative tolerance, however slowly
     they get there.  Where cells are missing, no weights may meet all targets, and then the deviation comes to stand
     still: once four sweeps leave more than the part `stalled` of the worst deviation they end, and the weights meet
     the last dimension.  Column off is the worst deviation; see `met`.
     """
-    now = cells.withColumn("w", F.col("tokens").cast("double"))
-    for d in DIMS:
-        now = now.join(targets[d].withColumnRenamed("target", f"t_{d}"), d, "left").fillna(0.0, [f"t_{d}"])
-    now = written(now, "raking")
+    factors = {d: written(targets[d].select(d, "target", F.lit(1.0).alias("f")), "raking") for d in DIMS}
+
+    def sums(dim: str) -> DataFrame:
+        some, w = cells, F.col("tokens").cast("double")
+        for d in DIMS:
+            if d != dim:
+                some, w = some.join(factors[d].select(d, F.col("f").alias(f"f_{d}")), d), w * F.col(f"f_{d}")
+        return some.groupBy(dim).agg(F.sum(w).alias("sum"))
+
     before, last = float("inf"), float("inf")
     while True:
-        then = now
         for d in DIMS * 2:
-            factor = _summed(then, d).select(d, F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("f"))
-            then = then.join(factor, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        then = written(then.select(*now.columns), "raking")
-        off = None
-        for d in DIMS[:-1]:
-            one = _summed(then, d).select(F.when(F.col("target") > 0, F.abs(F.col("sum") / F.col("target") - 1)).alias("off"))
-            off = one if off is None else off.unionByName(one)
-        worst = off.agg(F.max("off")).first()[0]
-        removed(now)
-        now = then
+            own = factors[d].join(sums(d), d, "left").select(d, "target", F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("f"))
+            old, factors[d] = factors[d], written(own, "raking")
+            removed(old)
+        off = [factors[d].join(sums(d), d).where("target > 0").select(F.abs(F.col("sum") * F.col("f") / F.col("target") - 1).alias("off")) for d in DIMS[:-1]]
+        worst = off[0].unionByName(off[1]).agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance or worst > stalled * before:
-            return now.withColumn("off", F.lit(float(worst or 0.0)))
+            break
         before, last = last, worst
+    w, out = F.col("tokens").cast("double"), cells
+    for d in DIMS:
+        out, w = out.join(factors[d].select(d, F.col("f").alias(f"f_{d}")), d, "left"), w * F.coalesce(f"f_{d}", F.lit(0.0))
+    return out.select(*cells.columns, w.alias("w"), F.lit(float(worst or 0.0)).alias("off"))
 
 
 def met(cells: DataFrame, most_off: float = 0.01) -> bool:
