@@ -66,10 +66,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
     under the other two factors say what its own must be, and that small table is written; so a step is two joins
     and an aggregation, however many went before.
     targets has for each dimension a table (dim, target) of shares; values without a target get weight 0.
-    Cells of zero tokens stay at 0.  Sweeps go on until every marginal is within the relative tolerance, however slowly
-    they get there.  Where cells are missing, no weights may meet all targets, and then the deviation comes to stand
-    still: once four sweeps leave more than the part `stalled` of the worst deviation they end, and the weights meet
-    the last dimension.  Column off is the worst deviation; see `met`.
+    Cells of zero tokens stay at 0.  Sweeps go on until every marginal is within the relative tolerance.  Where cells
+    are missing, no weights may meet all targets: once two sweeps leave more than the part `stalled` of the worst
+    deviation they end, and the weights meet the last dimension.  Column off is the worst deviation; see `met`.  Targets
+    that are met more slowly than that need a higher `stalled`.
     """
     factors = {d: written(targets[d].select(d, "target", F.lit(1.0).alias("f")), "raking") for d in DIMS}
 
@@ -80,7 +80,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
                 some, w = some.join(factors[d].select(d, F.col("f").alias(f"f_{d}")), d), w * F.col(f"f_{d}")
         return some.groupBy(dim).agg(F.sum(w).alias("sum"))
 
-    before, last = float("inf"), float("inf")
+    last = float("inf")
     while True:
         for d in DIMS * 2:
             own = factors[d].join(sums(d), d, "left").select(d, "target", F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("f"))
@@ -88,9 +88,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
             removed(old)
         off = [factors[d].join(sums(d), d).where("target > 0").select(F.abs(F.col("sum") * F.col("f") / F.col("target") - 1).alias("off")) for d in DIMS[:-1]]
         worst = off[0].unionByName(off[1]).agg(F.max("off")).first()[0]
-        if worst is None or worst <= tolerance or worst > stalled * before:
+        if worst is None or worst <= tolerance or worst > stalled * last:
             break
-        before, last = last, worst
+        last = worst
     w, out = F.col("tokens").cast("double"), cells
     for d in DIMS:
         out, w = out.join(factors[d].select(d, F.col("f").alias(f"f_{d}")), d, "left"), w * F.coalesce(f"f_{d}", F.lit(0.0))
