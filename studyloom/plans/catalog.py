@@ -12,11 +12,12 @@ from ..functions import quotes
 from ..functions import text as T
 from ..functions.keyterms import key_terms_of
 from ..functions.similarity import ratio
-from ..operators import analytics, chunking, dedup, facts, generation, grounding, payloads, planning, provider, structure, tables, validation
+from ..operators import analytics, chunking, dedup, facts, generation, grounding, pages, payloads, planning, provider, structure, tables, validation
+from ..session import written
 from ..sources import requests
-from ..sources.files import supported
+from ..sources.files import members, page_sizes, pictures, supported
 from .registry import query, table
-from .views import ATTEMPTS, CALLS, FOLD, MODULES, QUESTIONS, attempts, calls, lines, lines_sql, modules, questions, raw_sources, stem_key_sql
+from .views import ATTEMPTS, CALLS, FOLD, MODULES, QUESTIONS, SPACES, attempts, calls, lines, lines_sql, modules, questions, raw_sources, slide_files, stem_key_sql
 
 # --- scans and table changes ---------------------------------------------------------------------------------------
 
@@ -977,6 +978,51 @@ def page_batches(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor((F.col("l_linenumber") - 1) / 5).alias("page_batch"))
 
 
+_HOST_PAGE = "(SELECT split_part(url, '/', 3) AS doc, page_id, coalesce(strlen(html), 0) AS b FROM pages)"
+
+
+def _host_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Each host's pages as those of a document."""
+    return table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("doc"), F.col("page_id").alias("page_number"), F.octet_length("html").cast("long").alias("n_bytes"))
+
+
+@query(f"SELECT doc, count(*) AS n_pages, count(*) FILTER (b > 12000) AS n_over, CASE WHEN count(*) > 20 THEN 'too many pages' WHEN max(b) > 12000 THEN 'page too large' END AS refusal FROM {_HOST_PAGE} p GROUP BY 1")
+def page_refusals(spark: SparkSession, d: str) -> DataFrame:
+    return pages.guarded(_host_pages(spark, d), most_page_bytes=12000)
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT doc, page_id, b, row_number() OVER (PARTITION BY doc ORDER BY page_id, b) AS n, count(*) OVER (PARTITION BY doc) AS k, max(b) OVER (PARTITION BY doc) AS m FROM {_HOST_PAGE} p),
+r AS (SELECT doc, page_id, n, 0 AS batch, 1 AS held, b AS bytes FROM p WHERE n = 1 AND k <= 20 AND m <= 12000
+UNION ALL SELECT p.doc, p.page_id, p.n, CASE WHEN r.held >= 5 OR r.bytes + p.b > 12000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.held >= 5 OR r.bytes + p.b > 12000 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held >= 5 OR r.bytes + p.b > 12000 THEN p.b ELSE r.bytes + p.b END
+FROM r JOIN p ON p.doc = r.doc AND p.n = r.n + 1)
+SELECT doc, batch, string_agg(page_id::VARCHAR, ',' ORDER BY n) AS page_numbers FROM r GROUP BY 1, 2""")
+def page_call_batches(spark: SparkSession, d: str) -> DataFrame:
+    found = pages.batches(_host_pages(spark, d), most_page_bytes=12000, batch_bytes=12000)
+    return found.select("doc", "batch", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("page_numbers"))
+
+
+_SLIDE_LINE = rf"""(SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) // 6 AS slide, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) % 6 AS place, line
+FROM (SELECT doc_id, pos, trim(regexp_replace(ls[pos], '{SPACES}', ' ', 'g')) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE line <> '')"""
+
+
+def _slide_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with text as a file of slides, which `views.slide_files` writes."""
+    return slide_files(table(spark, d, "documents").select(F.concat("doc_id", F.lit(".pptx")).alias("path"), "text"))
+
+
+@query(f"""SELECT doc_id || '.pptx' AS path, (slide + 1)::INTEGER AS page_number, string_agg('[x=0, y=' || place * 100 || ', w=900, h=80] ' || line, chr(10) ORDER BY place) AS text_hint, 1 AS n_images,
+3 * ((strlen(arg_min(line, place)) + 2) // 3) AS n_bytes FROM {_SLIDE_LINE} l GROUP BY 1, slide""")
+def slide_pages(spark: SparkSession, d: str) -> DataFrame:
+    found = written(members(_slide_files(spark, d)), "members")
+    sizes = page_sizes(found).withColumnRenamed("doc", "path")
+    return found.where("kind = 'page'").select("path", "page_number", "text_hint", "n_images").join(sizes, ["path", "page_number"])
+
+
+@query(f"SELECT doc_id || '.pptx' AS path, (slide + 1)::INTEGER AS page_number, 'Embedded image in slide ' || slide + 1 AS label, 'image/png' AS mime_type, base64(encode(line)) AS image_base64 FROM {_SLIDE_LINE} l WHERE place = 0")
+def slide_pictures(spark: SparkSession, d: str) -> DataFrame:
+    return pictures(members(_slide_files(spark, d)))
+
+
 # --- more of the library's operations ------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in facts.CLOZE_STOP)

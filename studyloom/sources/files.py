@@ -1,121 +1,86 @@
-"""Study documents from files: one row for each page.
+"""Study documents from files: a row for each page, and one for each picture on it.
 
 binaryFile lists and reads whatever store Spark reaches; the suffix decides
-the reader.  Plain text and images stay column expressions.  Office formats
-are unzipped and walked with the standard library, a file at a time in its
-task.  PDF needs a renderer that is not part of this package: its files give
-a page whose `warning` says so, and `pdf_pages` may be passed in.
+the reader.  Plain text and images stay column expressions; Office formats go
+through the table function of `office`.  PDF needs a renderer that is not part
+of this package: its files give a page whose `warning` says so, unless
+`pdf_pages` is passed in, which gives each page's text and picture.
+
+A file beyond `most_bytes` gives one page with a warning, as a broken one
+does.  An empty text file is a page with empty text; a folder without
+supported files gives no rows.
 """
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import office
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 #: Mime types by suffix.
 MIME = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp", ".txt": "text/plain", ".md": "text/markdown"}
-PAGE = "path string, page_number int, mime_type string, text_hint string, n_images int, warning string"
+MEMBER = ["path", "page_number", "kind", "label", "mime_type", "text_hint", "content", "n_images", "warning"]
+PdfReader = Callable[[bytes], list[tuple[str, bytes | None]]]
 
 
 def supported(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("suffix", T.suffix(F.col(path))).where(F.col("suffix").isin(*T.SUFFIXES))
 
 
-def _row_text(cells: Iterator[str]) -> str:
-    return " | ".join(c for c in (x.strip() for x in cells) if c)
-
-
-def _word_paragraph(p: ElementTree.Element) -> str:
-    text = "".join(t.text or "" if t.tag == f"{_W}t" else "\t" if t.tag == f"{_W}tab" else "\n" for t in p.iter() if t.tag in {f"{_W}t", f"{_W}tab", f"{_W}br"}).strip()
-    if not text:
-        return ""
-    style = p.find(f"{_W}pPr/{_W}pStyle")
-    name = (style.get(f"{_W}val") or "") if style is not None else ""
-    if m := re.match(r"heading\s*(\d+)", name, re.I):
-        return f"[Heading {max(1, int(m[1]))}] {text}"
-    if name.lower() == "title":
-        return f"[Heading 1] {text}"
-    level = p.find(f"{_W}pPr/{_W}numPr")
-    if level is not None:
-        depth = level.find(f"{_W}ilvl")
-        return "  " * min(int(depth.get(f"{_W}val") or 0) if depth is not None else 0, 8) + f"• {text}"
-    return text
-
-
-def docx_pages(data: bytes) -> list[tuple[str, int]]:
-    """(text, images) of a Word file's single page: paragraphs and table rows in document order."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-        images = sum(n.startswith("word/media/") and "." + n.rpartition(".")[2].lower() in MIME for n in z.namelist())
-    lines: list[str] = []
-    for block in body if body is not None else ():
-        if block.tag == f"{_W}p":
-            lines.append(_word_paragraph(block))
-        elif block.tag == f"{_W}tbl":
-            for row in block.iter(f"{_W}tr"):
-                lines.append(_row_text(" ".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in cell.iter(f"{_W}p")) for cell in row.findall(f"{_W}tc")))
-    return [("\n".join(x for x in lines if x), images)]
-
-
-def pptx_pages(data: bytes) -> list[tuple[str, int]]:
-    """(text, images) of each slide: shapes from top to bottom and left to right, with their place."""
-    out = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-        for _, name in slides:
-            root = ElementTree.fromstring(z.read(name))
-            shapes = []
-            for shape in root.iter():
-                if shape.tag not in {f"{_P}sp", f"{_P}graphicFrame"}:
-                    continue
-                off, ext = shape.find(f".//{_A}off"), shape.find(f".//{_A}ext")
-                x, y = (int(off.get(k) or 0) for k in "xy") if off is not None else (0, 0)
-                w, h = (int(ext.get(k) or 0) for k in ("cx", "cy")) if ext is not None and ext.get("cx") else (0, 0)
-                rows = [_row_text("".join(t.text or "" for t in c.iter(f"{_A}t")) for c in r.findall(f"{_A}tc")) for r in shape.iter(f"{_A}tr")]
-                text = "\n".join(f"[Table row] {r}" for r in rows if r) if rows else "\n".join(x for x in ("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in shape.iter(f"{_A}p")) if x.strip())
-                if text.strip():
-                    shapes.append((y, x, f"[x={x},y={y},w={w},h={h}] {text}"))
-            out.append(("\n".join(s for *_, s in sorted(shapes, key=lambda s: s[:2])), sum(1 for _ in root.iter(f"{_P}pic"))))
-    return out
-
-
-def read_pages(spark: SparkSession, path: str, most_bytes: int = 32 << 20, pdf_pages: Callable[[bytes], list[tuple[str, int]]] | None = None) -> DataFrame:
-    """The pages of all supported files below a path; a file beyond most_bytes or broken gives one page with a warning."""
-    readers = {".docx": docx_pages, ".pptx": pptx_pages, ".pdf": pdf_pages}
-    files = supported(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
-
+def _pdf(files: DataFrame, pdf_pages: PdfReader) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for r in frame.itertuples():
-                found, warning = [("", 0)], None
-                if r.length > most_bytes:
-                    warning = "file is too large"
-                elif readers.get(r.suffix) is None:
-                    warning = "no reader for this format"
-                else:
-                    try:
-                        found = readers[r.suffix](r.content)
-                    except Exception as e:  # a broken file must not fail the others
-                        warning = f"unreadable: {type(e).__name__}"
-                out += [(r.path, i, "text/plain", text, images, warning) for i, (text, images) in enumerate(found, 1)]
-            yield pd.DataFrame(out, columns=["path", "page_number", "mime_type", "text_hint", "n_images", "warning"])
-
-    plain, image = F.col("suffix").isin(".txt", ".md"), F.col("suffix").isin(".png", ".jpg", ".jpeg", ".webp")
-    mime = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])[F.col("suffix")]
-    big = F.when(F.col("length") > most_bytes, "file is too large")
-    text = F.when(big.isNull() & plain, F.col("content").cast("string"))
-    simple = files.where(plain | image).select("path", F.lit(1).alias("page_number"), mime.alias("mime_type"), text.alias("text_hint"), image.cast("int").alias("n_images"), big.alias("warning"))
-    return simple.unionByName(files.where(~(plain | image)).select("path", "suffix", "length", "content").mapInPandas(run, PAGE))
+                try:
+                    out = [(r.path, i, "page", None, "image/png" if png else "text/plain", text, png, int(png is not None), None) for i, (text, png) in enumerate(pdf_pages(bytes(r.content)), 1)]
+                except Exception as e:  # a broken file must not fail the others
+                    out = [(r.path, 1, "page", None, "text/plain", None, None, 0, f"unreadable: {type(e).__name__}")]
+                yield pd.DataFrame(out, columns=MEMBER)
+
+    return files.select("path", "content").mapInPandas(run, f"path string, {office.MEMBER}")
+
+
+def members(files: DataFrame, most_bytes: int = 32 << 20, pdf_pages: PdfReader | None = None) -> DataFrame:
+    """(path, page_number, kind, label, mime_type, text_hint, content, n_images, warning) of files (path, content, length).
+
+    kind is page or picture; content is a picture's bytes, or a page's where the page is an image.
+    """
+    own = supported(files)
+    fits, image = F.col("length") <= most_bytes, F.col("suffix").isin(".png", ".jpg", ".jpeg", ".webp")
+    parsed = F.col("suffix").isin(*office.READERS, *([".pdf"] if pdf_pages else []))
+    mime = F.coalesce(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])[F.col("suffix")], F.lit("text/plain"))
+    warning = F.when(~fits, "file is too large").when(F.col("suffix") == ".pdf", "no reader for this format")
+    simple = own.where(~(parsed & fits)).select(
+        "path", F.lit(1).alias("page_number"), F.lit("page").alias("kind"), F.lit(None).cast("string").alias("label"), mime.alias("mime_type"),
+        F.when(fits & F.col("suffix").isin(".txt", ".md"), F.col("content").cast("string")).alias("text_hint"), F.when(fits & image, F.col("content")).alias("content"),
+        image.cast("int").alias("n_images"), warning.alias("warning"),
+    )
+    some = own.where(fits).select("path", "suffix", "content")
+    out = simple.unionByName(office.members(some.where(F.col("suffix").isin(*office.READERS))).select(*MEMBER))
+    return out.unionByName(_pdf(some.where("suffix = '.pdf'"), pdf_pages)) if pdf_pages else out
+
+
+def read_members(spark: SparkSession, path: str, most_bytes: int = 32 << 20, pdf_pages: PdfReader | None = None) -> DataFrame:
+    """The members of all supported files below a path."""
+    return members(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), most_bytes, pdf_pages)
+
+
+def read_pages(spark: SparkSession, path: str, most_bytes: int = 32 << 20, pdf_pages: PdfReader | None = None) -> DataFrame:
+    """The pages of all supported files below a path, those that are images in base64."""
+    pages = read_members(spark, path, most_bytes, pdf_pages).where("kind = 'page'")
+    return pages.select("path", "page_number", "mime_type", "text_hint", F.base64("content").alias("image_base64"), "n_images", "warning")
+
+
+def pictures(found: DataFrame) -> DataFrame:
+    """(path, page_number, label, mime_type, image_base64) for each picture inside a page of members()."""
+    return found.where("kind = 'picture'").select("path", "page_number", "label", "mime_type", F.base64("content").alias("image_base64"))
+
+
+def page_sizes(found: DataFrame) -> DataFrame:
+    """(doc, page_number, n_bytes): the payload of each page of members(), its pictures included, as `operators.pages` takes it."""
+    return found.groupBy(F.col("path").alias("doc"), "page_number").agg(F.sum(office.payload_bytes(F.col("content"))).alias("n_bytes"))
