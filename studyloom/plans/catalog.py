@@ -16,6 +16,7 @@ from ..operators import analytics, chunking, dedup, facts, generation, grounding
 from ..session import written
 from ..sources import requests
 from ..sources.files import members, page_sizes, pictures, supported
+from ..sources.office import encoded, payload_bytes
 from .registry import query, table
 from .views import ATTEMPTS, CALLS, FOLD, MODULES, QUESTIONS, SPACES, attempts, calls, lines, lines_sql, modules, questions, raw_sources, slide_files, stem_key_sql
 
@@ -58,8 +59,8 @@ def props_json_alias(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, base64(p_name::BLOB) AS b64, (length(base64(p_name::BLOB)) * 3 // 4)::BIGINT AS payload_bytes FROM part")
 def image_payload(spark: SparkSession, d: str) -> DataFrame:
-    b = F.base64(F.col("p_name").cast("binary"))
-    return table(spark, d, "part").select("p_partkey", b.alias("b64"), F.floor(F.length(b) * 3 / 4).alias("payload_bytes"))
+    b = F.col("p_name").cast("binary")
+    return table(spark, d, "part").select("p_partkey", encoded(b).alias("b64"), payload_bytes(b).alias("payload_bytes"))
 
 
 @query("SELECT * FROM (VALUES ('nclex', 10, 100), ('sample', 1, 1)) t(kind, batch_size, most)")
@@ -1052,9 +1053,14 @@ def date_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.date_format(ts, "E").alias("weekday"), F.date_format(ts, "MMM d").alias("label"), F.date_sub(F.to_date(ts), 6).alias("first_day"))
 
 
-@query()
+_LABEL = r"[A-Z][A-Za-z0-9 /&()''-]{2,55}:"
+_LABEL_START = r"(^|[^\p{L}\p{N}\p{M}\p{Pc}])"
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_transform(found, lambda x: regexp_extract(x, '{_LABEL_START}({_LABEL})', 2)), '|') AS labels, (len(found) + 1)::INTEGER AS parts
+FROM (SELECT doc_id, regexp_extract_all('Causes: ' || text || ' Risk factors: age', '{_LABEL_START}({_LABEL})') AS found FROM documents)""")
 def label_split(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("Causes: "), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" Risk factors: age"))
+    t = F.concat(F.lit("Causes: "), "text", F.lit(" Risk factors: age"))
     return table(spark, d, "documents").select("doc_id", F.array_join(T.labels(t), "|").alias("labels"), F.size(T.label_parts(t)).alias("parts"))
 
 

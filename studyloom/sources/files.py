@@ -73,12 +73,12 @@ def read_members(spark: SparkSession, path: str, most_bytes: int = 32 << 20, pdf
 def read_pages(spark: SparkSession, path: str, most_bytes: int = 32 << 20, pdf_pages: PdfReader | None = None) -> DataFrame:
     """The pages of all supported files below a path, those that are images in base64."""
     pages = read_members(spark, path, most_bytes, pdf_pages).where("kind = 'page'")
-    return pages.select("path", "page_number", "mime_type", "text_hint", F.base64("content").alias("image_base64"), "n_images", "warning")
+    return pages.select("path", "page_number", "mime_type", "text_hint", office.encoded(F.col("content")).alias("image_base64"), "n_images", "warning")
 
 
 def pictures(found: DataFrame) -> DataFrame:
     """(path, page_number, label, mime_type, image_base64) for each picture inside a page of members()."""
-    return found.where("kind = 'picture'").select("path", "page_number", "label", "mime_type", F.base64("content").alias("image_base64"))
+    return found.where("kind = 'picture'").select("path", "page_number", "label", "mime_type", office.encoded(F.col("content")).alias("image_base64"))
 
 
 def page_sizes(found: DataFrame) -> DataFrame:
