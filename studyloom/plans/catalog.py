@@ -600,7 +600,7 @@ def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return asked, spans, grounding.section_scores(asked, held)
 
 
-_SCORES = f"""l AS (SELECT doc_id, {lines_sql('text')} AS ls FROM documents),
+_SCORES = rf"""l AS (SELECT doc_id, {lines_sql('text')} AS ls FROM documents),
 p AS (SELECT doc_id, ls, 1 AS i, 1 AS k, length(ls[1]) AS size FROM l WHERE len(ls) > 0
 UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN size + length(ls[i + 1]) > 1800 THEN k + 1 ELSE k END, CASE WHEN size + length(ls[i + 1]) > 1800 THEN length(ls[i + 1]) ELSE size + length(ls[i + 1]) END FROM p WHERE i < len(ls)),
 chunk AS (SELECT doc_id, k, regexp_replace(string_agg(ls[i], ' ' ORDER BY i), '\s+', ' ', 'g') AS body FROM p GROUP BY 1, 2),
@@ -1024,6 +1024,11 @@ def slide_pictures(spark: SparkSession, d: str) -> DataFrame:
     return pictures(members(_slide_files(spark, d)))
 
 
+@query(f"SELECT doc_id, len(list_filter({lines_sql('text')}, lambda x: length(x) <= 100 AND NOT regexp_matches(x, '[.!?]$')))::INTEGER AS headings FROM documents")
+def plain_headings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(lines(F.col("text")), T.plain_heading)).alias("headings"))
+
+
 # --- more of the library's operations ------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in facts.CLOZE_STOP)

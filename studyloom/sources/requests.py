@@ -19,7 +19,7 @@ def uploads(bodies: DataFrame) -> DataFrame:
     else 200, and content has the bytes.  It is null in all other cases.
     """
     encoded, name = F.col("content_base64"), F.coalesce(F.nullif(F.col("filename"), F.lit("")), F.lit("document.bin"))
-    valid = (F.length(encoded) % 4 == 0) & encoded.rlike("^[A-Za-z0-9+/]*={0,2}$")
+    valid = (F.length(encoded) % 4 == 0) & encoded.rlike(r"\A[A-Za-z0-9+/]*={0,2}\z")
     status = F.when(F.coalesce(encoded, F.lit("")) == "", 400).when(~T.suffix(name).isin(*T.SUFFIXES), 415).when(~valid, 422).otherwise(200)
     return bodies.withColumn("status", status).withColumn("content", F.when(F.col("status") == 200, F.unbase64(encoded)))
 
