@@ -1,8 +1,9 @@
 """Office files to members: a row for each page and for each picture on it.
 
-A table function is called laterally on each file's bytes, so rows leave one
-at a time and a file's pictures are never held together.  Payloads stay bytes;
-base64, sizes and limits are column expressions over the members.
+A table function is called laterally on each file's bytes.  A task holds one
+file's members at a time; `files.members` leaves out files beyond a size.
+Payloads stay bytes; base64, sizes and limits are column expressions over the
+members.
 
 A slide's shapes are read from top to bottom and from left to right.  A
 placeholder without a place of its own has its layout's, else its master's,
