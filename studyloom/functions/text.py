@@ -25,13 +25,17 @@ CATEGORIES = (*(name for name, _ in CATEGORY_WORDS), OTHER_CATEGORY)
 CONCEPT_ENDS = ("|", ":", " — ", " - ")
 #: Words that a title leaves in lower case.
 CONNECTORS = ("and", "of", "for", "with", "in", "on", "to")
+#: Fixed value: the white space of Unicode, what (?U)\s matches.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Fixed value: the fewest characters of a quote that can be evidence.
+LEAST_QUOTE = 12
 #: File suffixes that can be read.
 SUFFIXES = (".pdf", ".docx", ".pptx", ".png", ".jpg", ".jpeg", ".webp", ".txt", ".md")
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space at either end, of any Unicode kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, of any Unicode kind; no pattern, as that would try every character between."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -40,7 +44,8 @@ def blank_to_null(c: Column) -> Column:
 
 def collapsed(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    # single spaces, most of all white space, are no matches and so not copied one by one
+    return F.trim(F.regexp_replace(c, r"(?U)\s(?:\s+|(?<! ))", " "))
 
 
 def casefold(c: Column) -> Column:
@@ -54,10 +59,14 @@ def stem_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(casefold(c), "[^a-z0-9]+", " "))
 
 
+def two_words(c: Column) -> Column:
+    """Whether there are two words, white space collapsed or not."""
+    return c.rlike(r"(?U)\w\W+\w")
+
+
 def quotable(quote: Column) -> Column:
     """A quote can be evidence if it has 12 characters, white space collapsed, and two words."""
-    flat = collapsed(quote)
-    return (F.length(flat) >= 12) & (F.regexp_count(flat, F.lit(r"(?U)\w+")) >= 2)
+    return (F.length(collapsed(quote)) >= LEAST_QUOTE) & two_words(quote)
 
 
 def word_tokens(c: Column) -> Column:

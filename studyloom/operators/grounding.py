@@ -9,16 +9,27 @@ at most that size, one pass each.  Texts are never shuffled.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 
+#: So many characters of a text are searched in the time that an automaton takes for one of its own.
+SEARCHED = 256
+_SEPARATORS, _WHITE = re.compile("[\x1c-\x1f]"), re.compile(f"[{T.WHITE}]+")
+#: So many places go to Spark at once.
+PLACES = 1 << 16
+
 
 class Finder:
     """Where the quotes of a set begin and end in a text, by one automaton; its members are numbers in that set."""
@@ -43,8 +54,34 @@ class Finder:
         return [(i, at + 1 - n, at + 1) for at, (n, members) in self.automaton.iter(text) for i in members] if self.automaton else []
 
 
+def places_in(quotes: list[str], text: str) -> list[tuple[int, int, int]]:
+    """(member, begin, end) for every occurrence of quotes in one text.
+
+    An automaton costs much for each character of the quotes, a search little
+    for each of the text: few quotes are searched for one by one.
+    """
+    by_text: dict[str, list[int]] = {}
+    for i, q in enumerate(quotes):
+        if q:
+            by_text.setdefault(q, []).append(i)
+    if len(by_text) * len(text) > SEARCHED * (len(text) + sum(map(len, by_text))):
+        return Finder(quotes).places(text)
+    out = []
+    for q, members in by_text.items():
+        at = text.find(q)
+        while at >= 0:
+            out += [(i, at, at + len(q)) for i in members]
+            at = text.find(q, at + 1)
+    return out
+
+
 def _flat(text: str | None) -> str:
-    return " ".join((text or "").split())
+    """White space collapsed as T.collapsed does, which does not count the separators U+001C to U+001F that str.split() does."""
+    if text is None:
+        return ""
+    if _SEPARATORS.search(text):
+        return _WHITE.sub(" ", text).strip(" ")
+    return " ".join(text.split())
 
 
 def grounded(sources: DataFrame, quotes: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
@@ -77,27 +114,82 @@ def grounded(sources: DataFrame, quotes: DataFrame, most_bytes: int = 64 << 20)
     return out
 
 
+def _dealt(sources: DataFrame, quotes: DataFrame, most: int) -> DataFrame:
+    """(source_id, ids, quotes, text): quotes (id, source_id, quote) in lots of about `most`, each with the text of its source.
+
+    A source that very many quotes name so is no hot group.  Quotes without
+    two words are left out; their white space is not collapsed yet.
+    """
+    fit = quotes.where(T.two_words(F.col("quote"))).select(F.col("id").alias("quote_id"), "source_id", "quote")
+    lots = quotes.groupBy("source_id").agg(F.ceil(F.count("*") / most).alias("lots"))
+    dealt = fit.join(lots, "source_id").groupBy("source_id", F.pmod(F.xxhash64("quote_id", "quote"), F.col("lots")).alias("lot")).agg(F.collect_list("quote_id").alias("ids"), F.collect_list("quote").alias("quotes"))
+    return dealt.join(sources.select(F.col("id").alias("source_id"), "text"), "source_id").select("source_id", "ids", "quotes", "text")
+
+
+def _found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """For each row (source_id, ids, quotes, text, ...): its number, where its ids begin in the batch's, and its quotes' places."""
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())]).tolist()
+    for i in range(batch.num_rows):
+        flat: dict[str, str] = {}
+        said = batch.column(2)[i].as_py()
+        for q in said:
+            if q not in flat:
+                flat[q] = f if len(f := _flat(q)) >= T.LEAST_QUOTE else ""
+        yield i, first[i], places_in([flat[q] for q in said], _flat(batch.column(3)[i].as_py()))
+
+
 def located(sources: DataFrame, quotes: DataFrame, most: int = 1000) -> DataFrame:
     """(source_id, quote_id, begin, end) for every place of quotes (id, source_id, quote) in their own source's collapsed text.
 
-    The quotes of a source come to its text in lots of about `most`, so a
-    source that very many quotes name is no hot group; its text goes along
-    with each lot.  Quotes too short to be evidence have no place.
+    Quotes too short to be evidence have no place.
     """
-    flat = quotes.where(T.quotable(F.col("quote"))).select(F.col("id").alias("quote_id"), "source_id", T.collapsed(F.col("quote")).alias("quote"))
-    lots = flat.groupBy("source_id").agg(F.ceil(F.count("*") / most).alias("lots"))
-    dealt = flat.join(lots, "source_id").groupBy("source_id", F.pmod(F.xxhash64("quote_id", "quote"), F.col("lots")).alias("lot")).agg(F.collect_list("quote_id").alias("ids"), F.collect_list("quote").alias("quotes"))
-    met = dealt.join(sources.select(F.col("id").alias("source_id"), "text"), "source_id").select("source_id", "ids", "quotes", "text")
+    met = _dealt(sources, quotes, most)
     schema = StructType([*met.schema.fields[:1], StructField("quote_id", quotes.schema["id"].dataType), StructField("begin", IntegerType()), StructField("end", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                found = Finder(row.column(2)[0].as_py()).places(_flat(row.column(3)[0].as_py()))
-                member, begin, end = zip(*found, strict=True) if found else ((), (), ())
-                ids = row.column(1).flatten().take(pa.array(member, pa.int64()))
-                yield pa.record_batch([row.column(0).take(pa.array([0] * len(member), pa.int64())), ids, pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["source_id", "quote_id", "begin", "end"])
+            rows = []
+            ids = batch.column(1).flatten()
+            for i, first, places in _found(batch):
+                rows += [(i, first + m, a, z) for m, a, z in places]
+                if len(rows) >= PLACES or rows and i == batch.num_rows - 1:
+                    at, member, begin, end = zip(*rows, strict=True)
+                    yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), ids.take(pa.array(member, pa.int64())), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["source_id", "quote_id", "begin", "end"])
+                    rows = []
+
+    return met.mapInArrow(run, schema)
+
+
+def held(sources: DataFrame, quotes: DataFrame, spans: DataFrame, most: int = 1000) -> DataFrame:
+    """(quote_id, section) for each section (source_id, section, first, last) of their own source that holds quotes (id, source_id, quote) whole.
+
+    What `contained` says of the places that `located` finds, told beside the
+    text: no place is shuffled, and a quote's sections come once for a lot.
+    """
+    listed = spans.where("last > first").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("first", "last", "section"))).alias("spans"))
+    met = _dealt(sources, quotes, most).join(listed, "source_id").select("source_id", "ids", "quotes", "text", *[F.col(f"spans.{c}").alias(c) for c in ("first", "last", "section")])
+    schema = StructType([StructField("quote_id", quotes.schema["id"].dataType), StructField("section", spans.schema["section"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            ids, sections = batch.column(1).flatten(), batch.column(6).flatten()
+            own = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(6)).to_numpy())]).tolist()
+            for i, first, places in _found(batch):
+                begins, ends = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
+                furthest = list(accumulate(ends, max))
+                hits = set()
+                for m, a, z in places:
+                    k = bisect_right(begins, a) - 1
+                    while k >= 0 and furthest[k] >= z:
+                        if ends[k] >= z:
+                            hits.add((first + m, own[i] + k))
+                        k -= 1
+                rows += sorted(hits)
+                if len(rows) >= PLACES or rows and i == batch.num_rows - 1:
+                    member, section = zip(*rows, strict=True)
+                    yield pa.record_batch([ids.take(pa.array(member, pa.int64())), sections.take(pa.array(section, pa.int64()))], names=["quote_id", "section"])
+                    rows = []
 
     return met.mapInArrow(run, schema)
 

@@ -586,17 +586,21 @@ def extraction_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def _line_questions(spark: SparkSession, d: str) -> DataFrame:
     """(plan, question, quote_id, quote): every line of a document asks with itself, the next and the ninth after it as evidence."""
-    ls = lines(F.col("text"))
-    each = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("plan"), ls.alias("ls"), F.explode(F.sequence(F.lit(0), F.greatest(F.size(ls) - 1, F.lit(0)))).alias("question"))
-    three = each.select("plan", "question", "ls", F.explode(F.array(F.lit(0), F.lit(1), F.lit(9))).alias("k"))
-    return three.select("plan", "question", F.concat_ws("-", "plan", "question", "k").alias("quote_id"), F.get("ls", F.col("question") + F.col("k")).alias("quote")).where("quote IS NOT NULL")
+    def of(ls: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ls) - 1, F.lit(0))), lambda i: F.transform(F.array(F.lit(0), F.lit(1), F.lit(9)), lambda k: F.struct(i.alias("question"), k.alias("k"), F.get(ls, i + k).alias("quote"))))
+        return F.filter(F.flatten(each), lambda q: q["quote"].isNotNull())
+
+    # the lines are bound once for a text: as a column below the generator they would be made again for every question
+    asked = F.flatten(F.transform(F.array(lines(F.col("text"))), of))
+    found = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("plan"), F.inline(asked))
+    return found.select("plan", "question", F.concat_ws("-", "plan", "question", "k").alias("quote_id"), "quote")
 
 
 def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked, sources = _line_questions(spark, d), raw_sources(spark, d)
-    places = grounding.located(sources.select(F.col("sourceId").alias("id"), "text"), asked.select(F.col("quote_id").alias("id"), F.col("plan").alias("source_id"), "quote"))
     spans = chunking.raw_spans(sources)
-    held = grounding.contained(places, spans.select(F.col("sourceId").alias("source_id"), F.col("sectionId").alias("section"), "first", "last"), ["source_id"])
+    of_sections = spans.select(F.col("sourceId").alias("source_id"), F.col("sectionId").alias("section"), "first", "last")
+    held = grounding.held(sources.select(F.col("sourceId").alias("id"), "text"), asked.select(F.col("quote_id").alias("id"), F.col("plan").alias("source_id"), "quote"), of_sections)
     return asked, spans, grounding.section_scores(asked, held)
 
 
