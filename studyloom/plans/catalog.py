@@ -598,7 +598,7 @@ def _line_questions(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked, sources = _line_questions(spark, d), raw_sources(spark, d)
-    spans = chunking.raw_spans(sources)
+    spans = written(chunking.raw_spans(sources), "spans")  # small beside the texts, and read more than once
     of_sections = spans.select(F.col("sourceId").alias("source_id"), F.col("sectionId").alias("section"), "first", "last")
     held = grounding.held(sources.select(F.col("sourceId").alias("id"), "text"), asked.select(F.col("quote_id").alias("id"), F.col("plan").alias("source_id"), "quote"), of_sections)
     return asked, spans, grounding.section_scores(asked, held)
