@@ -3,7 +3,9 @@
 Too similar is a sequence ratio of `same`, or of `same_concept` where the
 concept is the same.  A dropped item does not suppress later ones, so the
 answer is the greedy one over the order, and no transitive grouping gives it.
-No request is gathered in one task:
+Requests of `most` nodes and `most_chars` characters at most, as the bank's are,
+come as one row each to the greedy order itself, which moves their texts once.
+No larger request is gathered in one task:
 
 1. Items of one request, stem and concept are one node, its first; the others
    are duplicates of it or of what drops it.
@@ -43,17 +45,31 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from ..functions.similarity import at_least
 from ..session import written
 
-GRAM, BUCKETS, LEADER_ROUNDS = 3, 1 << 16, 4
+GRAM, BUCKETS, LEADER_ROUNDS, CHARS = 3, 1 << 16, 4, 256
 
 
 def survivors(stems: list[str], concepts: list[str], same: float = 0.94, same_concept: float = 0.75) -> list[bool]:
     """Which items of a short list stay: the greedy order itself, for a list in memory."""
-    kept: list[tuple[str, str]] = []
+    if len(stems) < 2:
+        return [True] * len(stems)
+    chars = sorted({c for s in stems for c in s})
+    place = {c: i for i, c in enumerate(chars)}
+    width = min(len(place), CHARS)  # of more characters some share a count, which bounds what is common from above
+    counts = np.array([np.bincount([place[c] % width for c in s], minlength=width) for s in stems], np.int32) if width else np.zeros((len(stems), 1), np.int32)
+    sizes = np.array([len(s) for s in stems], np.int64)
+    given = np.array(concepts, object)
+    kept: list[int] = []
     out: list[bool] = []
-    for stem, concept in zip(stems, concepts, strict=True):
-        out.append(not any(at_least(stem, s, same_concept if c == concept else same) for s, c in kept))
+    for i, stem in enumerate(stems):
+        at = np.array(kept, np.int64)
+        need = np.where(given[at] == concepts[i], min(same, same_concept), same)
+        likely = at[2 * np.minimum(sizes[at], sizes[i]) + 1e-9 >= need * (sizes[at] + sizes[i])]
+        common = np.minimum(counts[likely], counts[i]).sum(axis=1)
+        need = np.where(given[likely] == concepts[i], min(same, same_concept), same)
+        likely = likely[2 * common + 1e-9 >= need * (sizes[likely] + sizes[i])].tolist()
+        out.append(not any(at_least(stem, stems[k], same_concept if concepts[k] == concepts[i] else same) for k in likely))
         if out[-1]:
-            kept.append((stem, concept))
+            kept.append(i)
     return out
 
 
@@ -222,7 +238,21 @@ def independent(nodes: DataFrame, same: float = 0.94, same_concept: float = 0.75
         links = written(links, "dedup-links")
 
 
-def fuzzy_dedup(items: DataFrame, same: float = 0.94, same_concept: float = 0.75) -> DataFrame:
+def _small(nodes: DataFrame, same: float, same_concept: float) -> DataFrame:
+    """(node) that stays, of nodes whose requests are bounded."""
+    rows = nodes.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("at", "node", "stem", "concept"))).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                node, stem, concept = (batch.column(k)[i].as_py() for k in range(3))
+                stays = survivors(stem, concept, same, same_concept)
+                yield pa.record_batch([pa.array([n for n, s in zip(node, stays, strict=True) if s], pa.int64())], names=["node"])
+
+    return rows.select("items.node", "items.stem", "items.concept").mapInArrow(run, "node long")
+
+
+def fuzzy_dedup(items: DataFrame, same: float = 0.94, same_concept: float = 0.75, most: int = 512, most_chars: int = 1 << 20) -> DataFrame:
     """Items (request, ordinal, stem_key, concept_key) that stay, with all their columns.
 
     Requests are independent of each other.  A null key is empty, a null
@@ -236,4 +266,11 @@ def fuzzy_dedup(items: DataFrame, same: float = 0.94, same_concept: float = 0.75
     row = F.struct(*items.columns)
     first = items.groupBy(request.alias("request"), text("stem_key").alias("stem"), text("concept_key").alias("concept")).agg(F.min("ordinal").alias("ordinal"), F.min_by(row, "ordinal").alias("row"))
     nodes = written(first.select(F.monotonically_increasing_id().alias("node"), "request", "stem", "concept", F.struct("ordinal", F.xxhash64("stem", "concept").alias("hash")).alias("at"), "row"), "dedup-nodes")
-    return nodes.join(independent(nodes, same, same_concept), "node", "left_semi").select("row.*")
+    size = nodes.groupBy("request").agg(F.count("*").alias("n"), F.sum(F.length("stem") + F.length("concept")).alias("chars"))
+    large = written(size.where((F.col("n") > most) | (F.col("chars") > most_chars)).select("request"), "dedup-large")
+    if large.isEmpty():
+        kept = _small(nodes, same, same_concept)
+    else:
+        kept = _small(nodes.join(large, "request", "left_anti"), same, same_concept)
+        kept = kept.unionByName(independent(nodes.join(large, "request", "left_semi"), same, same_concept))
+    return nodes.join(kept, "node", "left_semi").select("row.*")

@@ -3,7 +3,7 @@
 import os
 import random
 
-from studyloom.operators import grounding
+from studyloom.operators import dedup, grounding
 from studyloom.plans import catalog
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -29,3 +29,20 @@ def test_sections_told_beside_the_text_are_those_of_places_and_spans(spark):
 def test_search_and_automaton_find_the_same_places():
     quotes, text = ["aa", "ab", "", "aab", "aa", "none"], "aaabaab ab"
     assert sorted(grounding.places_in(quotes, text)) == sorted(grounding.Finder(quotes).places(text))
+
+
+def test_small_requests_are_not_spread_over_grams(spark, monkeypatch):
+    rng = random.Random(3)
+    stem = "which finding of the patient with a new lesion does the nurse report first"
+    rows = [(f"m{i % 5}", i, "".join(c for c in stem if rng.random() > 0.04), f"c{i % 7}") for i in range(300)]
+    df = spark.createDataFrame(rows, "request string, ordinal long, stem_key string, concept_key string")
+    spread = {tuple(r) for r in dedup.fuzzy_dedup(df, most=0).collect()}
+    mixed = {tuple(r) for r in dedup.fuzzy_dedup(df.unionByName(df.selectExpr("concat(request, 'x') request", "ordinal + 300 * ordinal % 2 ordinal", "stem_key", "concept_key")), most=59).collect()}
+
+    def none(*_):
+        raise AssertionError("a small request goes over grams")
+
+    monkeypatch.setattr(dedup, "independent", none)
+    assert {tuple(r) for r in dedup.fuzzy_dedup(df).collect()} == spread
+    assert {r for r in mixed if "x" not in r[0]} == spread
+    assert 5 < len(spread) < 300
