@@ -40,6 +40,8 @@ SUBHEADINGS = frozenset(
         "treatment",
     ]
 )
+#: So many characters of pages are built and sent back at once.
+PIECE = 1 << 20
 #: Fixed value: the confidence of this parser, below the least that raises no warning.
 CONFIDENCE = 0.54
 #: The patterns of heading lines and of labels within a line, and the most characters of a header.
@@ -96,11 +98,25 @@ def sections(text: str | None, page: int) -> list[dict]:
     return out
 
 
+def in_pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """sections of (texts, pages) in pieces of PIECE characters: what is made of a batch takes many times the texts' memory."""
+    for texts, pages in batches:
+        out, size = [], 0
+        for t, p in zip(texts, pages, strict=True):
+            out.append(sections(t, int(p)))
+            size += len(t or "") + 64
+            if size >= PIECE:
+                yield pd.Series(out)
+                out, size = [], 0
+        if out:
+            yield pd.Series(out)
+
+
 def sections_of(text: Column, page: Column) -> Column:
     """sections as a column, by Arrow batches."""
 
-    def run(texts: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([sections(t, int(p)) for t, p in zip(texts, pages, strict=True)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from in_pieces(batches)
 
     return F.pandas_udf(run, f"array<{SECTION}>")(text, page)
 
