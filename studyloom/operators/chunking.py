@@ -134,17 +134,19 @@ def _section_id(source: Column, f: Column) -> Column:
     return F.coalesce(own, F.concat_ws("-", source, f["parent"], F.element_at(f["path"], -1).cast("string")))
 
 
-def sections_walked(sources: DataFrame) -> DataFrame:
+def sections_walked(sources: DataFrame, known_levels: int | None = None) -> DataFrame:
     """(sourceId, sections JSON, ...) with `walked`: the sections of every level as one array, parents before children.
 
     The tree stays in its row.  One expression for each level takes the nodes
     of the level above and lists theirs, so there is no shuffle and no join
     back to the text; how many levels the table needs is one aggregate over
-    its sections (a driver action, as the plan depends on it).  A malformed
+    its sections (a driver action, as the plan depends on it, which makes the
+    sections once more); known_levels says it where whoever makes the sections
+    knows that none is deeper.  A malformed
     text, or one that is no list, has no sections; list members that are no
     objects come out without any field and count in the numbering.
     """
-    depth = sources.agg(F.max(levels(F.col("sections"))).alias("n")).first()["n"] or 0
+    depth = known_levels or sources.agg(F.max(levels(F.col("sections"))).alias("n")).first()["n"] or 0
     top = F.try_variant_get(F.try_parse_json("sections"), "$", "array<variant>")
     out = sources.withColumn("_0", _children(top, F.array().cast("array<int>"), F.lit("section")).cast(_NODE))
     for k in range(1, depth):
@@ -169,13 +171,13 @@ def sections_walked(sources: DataFrame) -> DataFrame:
     return out.withColumn("walked", F.array_sort(F.concat(*(F.transform(c, section) for c in names)))).drop(*names)
 
 
-def structured_chunks(sources: DataFrame) -> DataFrame:
+def structured_chunks(sources: DataFrame, known_levels: int | None = None) -> DataFrame:
     """(sourceId, rawText, sections) with `chunks`, an array of what can be asked about.
 
     Evidence are the paragraphs, bullets and the summary that the raw text
     has, else the heading; a section without evidence gives no chunk.
     """
-    walked = sections_walked(sources).drop("sections")
+    walked = sections_walked(sources, known_levels).drop("sections")
     points = F.transform("walked", lambda s: F.concat(s["paragraphs"], s["bulletPoints"], F.filter(F.array(s["summary"]), lambda x: x != "")))
     found = with_evidence(walked.withColumns({"points": points, "heads": F.transform("walked", lambda s: s["heading"])}), "rawText", "points", "heads", "found")
 
@@ -187,7 +189,7 @@ def structured_chunks(sources: DataFrame) -> DataFrame:
     return found.withColumn("chunks", F.filter(F.zip_with("walked", "found", chunk), lambda c: F.size(c["evidence"]) > 0)).drop("walked", "points", "heads", "found")
 
 
-def source_chunks(sources: DataFrame, most: int = RAW_CHARS, least: float = 0.75) -> DataFrame:
+def source_chunks(sources: DataFrame, most: int = RAW_CHARS, least: float = 0.75, known_levels: int | None = None) -> DataFrame:
     """All chunks of (id, name, text, sections): structured ones at any depth, then raw ones where those hold too little.
 
     sections is a JSON text of nested sections under either spelling of their
@@ -196,7 +198,7 @@ def source_chunks(sources: DataFrame, most: int = RAW_CHARS, least: float = 0.75
     than `least` of the text's length, raw chunks follow.  ordinal numbers a
     source's chunks from 0, and chars is the length of the whole chunk text,
     as `usable` and `coverage_plan` take it.  Everything about a source
-    happens in its row.
+    happens in its row.  For known_levels see sections_walked.
     """
     given = sources.select(
         F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), F.lit("source")).alias("sourceId"),
@@ -217,7 +219,7 @@ def source_chunks(sources: DataFrame, most: int = RAW_CHARS, least: float = 0.75
         fields = [F.concat("sourceId", F.lit("-raw-"), number), F.lit(None).cast("int"), F.concat(F.lit("Original lecture text · part "), number), part, none, none, part]
         return F.struct(*fields).cast(_CHUNK)
 
-    made = structured_chunks(given)
+    made = structured_chunks(given, known_levels)
     made = made.withColumn("packed", F.when(have < least * F.length("rawText"), packed(lines, most)).otherwise(F.array().cast("array<array<string>>")))
     every = made.select("sourceId", "sourceName", F.posexplode(F.concat("chunks", F.transform("packed", raw))).alias("ordinal", "c")).select("sourceId", "sourceName", "ordinal", "c.*")
     return every.withColumn("chars", F.length(chunk_text(F.col("heading"), F.col("paragraphs"), F.col("bulletPoints"), F.col("keyTerms"), F.col("evidence"))))

@@ -3,7 +3,10 @@
 import os
 import random
 
-from studyloom.operators import dedup, grounding
+import pandas as pd
+
+from studyloom.functions import keyterms
+from studyloom.operators import chunking, dedup, grounding, structure
 from studyloom.plans import catalog
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -46,3 +49,30 @@ def test_small_requests_are_not_spread_over_grams(spark, monkeypatch):
     assert {tuple(r) for r in dedup.fuzzy_dedup(df).collect()} == spread
     assert {r for r in mixed if "x" not in r[0]} == spread
     assert 5 < len(spread) < 300
+
+
+def test_a_word_is_described_once_and_only_windows_with_medical_words_are_made(monkeypatch):
+    calls = []
+    monkeypatch.setattr(keyterms, "lemma", lambda w, own=keyterms.lemma: calls.append(w) or own(w))
+    text = " ".join(f"Zq{a}{b}word plainer" for a in "abcd" for b in "abcd") * 20 + ". Zqhypo Zqvolume found."
+    assert keyterms.key_terms(text)[0] == "Zqhypo Zqvolume Found"
+    assert len(calls) <= 60
+
+
+def test_sections_go_back_in_pieces(monkeypatch):
+    monkeypatch.setattr(structure, "PIECE", 1000)
+    texts = pd.Series([f"Heading {i}\nA point of the page, told at length." for i in range(100)] + [None, ""])
+    got = list(structure.in_pieces(iter([(texts, pd.Series([1] * 102))])))
+    assert len(got) > 5
+    assert [x for part in got for x in part] == [structure.sections(t, 1) for t in texts]
+
+
+def test_known_levels_make_no_pass_to_count_them(spark, monkeypatch):
+    measured = chunking.source_chunks(catalog._nested_sources(spark, FOLDER)).collect()
+
+    def none(_):
+        raise AssertionError("levels are counted")
+
+    monkeypatch.setattr(chunking, "levels", none)
+    assert sorted(map(str, catalog._nested_chunks(spark, FOLDER).collect())) == sorted(map(str, measured))
+    assert catalog.page_structure(spark, FOLDER).count() > 0
