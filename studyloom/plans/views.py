@@ -99,6 +99,8 @@ def lines_sql(c: str) -> str:
     return rf"list_filter(list_transform(string_split({c}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
+#: So many files of slides go to Spark at once.
+FILES = 64
 #: White space and characters that XML cannot hold, as both engines write them.
 SPACES = r"[\x{0}-\x{9}\x{b}-\x{20}\x{7f}-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{fffe}\x{ffff}]+"
 _NAMES = " ".join(f'xmlns:{k}="http://schemas.openxmlformats.org/{v}"' for k, v in {"a": "drawingml/2006/main", "p": "presentationml/2006/main", "r": "officeDocument/2006/relationships"}.items())
@@ -132,8 +134,9 @@ def slide_files(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, said in zip(frame["path"], frame["said"], strict=True):
-                data = slides_file([list(said[i : i + 6]) for i in range(0, len(said), 6)])
-                yield pd.DataFrame({"path": [path], "content": [data], "length": [len(data)]})
+            for at in range(0, len(frame), FILES):
+                some = frame.iloc[at : at + FILES]
+                made = [slides_file([list(said[i : i + 6]) for i in range(0, len(said), 6)]) for said in some["said"]]
+                yield pd.DataFrame({"path": some["path"].to_numpy(), "content": made, "length": [len(x) for x in made]})
 
     return docs.select("path", lines.alias("said")).where(F.size("said") > 0).mapInPandas(run, "path string, content binary, length long")

@@ -55,14 +55,19 @@ def members(files: DataFrame, most_bytes: int = 32 << 20, pdf_pages: PdfReader |
     parsed = F.col("suffix").isin(*office.READERS, *([".pdf"] if pdf_pages else []))
     mime = F.coalesce(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])[F.col("suffix")], F.lit("text/plain"))
     warning = F.when(~fits, "file is too large").when(F.col("suffix") == ".pdf", "no reader for this format")
-    simple = own.where(~(parsed & fits)).select(
-        "path", F.lit(1).alias("page_number"), F.lit("page").alias("kind"), F.lit(None).cast("string").alias("label"), mime.alias("mime_type"),
-        F.when(fits & F.col("suffix").isin(".txt", ".md"), F.col("content").cast("string")).alias("text_hint"), F.when(fits & image, F.col("content")).alias("content"),
-        image.cast("int").alias("n_images"), warning.alias("warning"),
+    reads = F.col("suffix").isin(*office.READERS) & fits
+    # one pass over the files, however dear they are to make or list: those without a reader take a row of the table function too, with nothing to read
+    plain = {
+        "mime_type": mime, "text_hint": F.when(fits & F.col("suffix").isin(".txt", ".md"), F.col("content").cast("string")),
+        "content": F.when(fits & image, F.col("content")), "n_images": image.cast("int"), "warning": warning,
+    }
+    given = own.where(~(parsed & fits) | reads).select(
+        "path", reads.alias("_reads"), F.when(reads, F.col("suffix")).alias("suffix"), F.when(reads, F.col("content")).alias("content"),
+        *[F.when(~reads, c).alias(f"_{name}") for name, c in plain.items()],
     )
-    some = own.where(fits).select("path", "suffix", "content")
-    out = simple.unionByName(office.members(some.where(F.col("suffix").isin(*office.READERS))).select(*MEMBER))
-    return out.unionByName(_pdf(some.where("suffix = '.pdf'"), pdf_pages)) if pdf_pages else out
+    found = office.members(given)
+    out = found.select(*[F.when(F.col("_reads"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) if c in plain else F.col(c) for c in MEMBER])
+    return out.unionByName(_pdf(own.where(fits & (F.col("suffix") == ".pdf")), pdf_pages)) if pdf_pages else out
 
 
 def read_members(spark: SparkSession, path: str, most_bytes: int = 32 << 20, pdf_pages: PdfReader | None = None) -> DataFrame:

@@ -76,3 +76,8 @@ def test_known_levels_make_no_pass_to_count_them(spark, monkeypatch):
     monkeypatch.setattr(chunking, "levels", none)
     assert sorted(map(str, catalog._nested_chunks(spark, FOLDER).collect())) == sorted(map(str, measured))
     assert catalog.page_structure(spark, FOLDER).count() > 0
+
+
+def test_files_are_made_once_for_their_members(spark):
+    plan = catalog.slide_pictures(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
