@@ -24,15 +24,19 @@ from counts of counts.
 
 How it is spread.  Texts are encoded in chunks of bounded bytes, once; these
 stay where they are, in tables bucketed by the part of the input.  Words and
-word pairs are known by hashes and travel as sorted, packed blocks: a chunk
-sends each of its different pairs once, to the bucket that its hash names,
-and gets the count over the corpus back.  A frequent pair so sends one key a
-chunk, and no task holds a context.  Sweeps exchange words only, each once for
-a part however many of its chunks have it, and pairs with more than `hot`
-customers, which their owner alone seats: the seats of all others follow from
-numbers that every chunk knows.  What came back is written before it is dealt
-to the parts, so the keys sent need not stay beside it.  The driver sees
-totals.  Hashes have 24 bits more than the number of tokens, at most 64.
+word pairs are known by hashes and travel as sorted, packed blocks: a part
+sends its different words and a chunk its different pairs once, to the bucket
+that the hash names, and gets the count over the corpus back.  A frequent pair
+so sends one key a chunk, and no task holds a context.  A pair is seated by
+one of the chunks that have it, its owner, and a bucket begins with another
+chunk when it names owners.  A part's head row has its words and the pairs it
+owns: sweeps read that row alone, not the texts.  They exchange words that
+occur twice or more in training, once for a part (any other has one customer
+at one table, if it has any, after every sweep), and in the last sweep the
+pairs with more than `hot` customers, once for a part too: the seats of all
+others follow from numbers that every part knows.  What came back is written
+before it is dealt to the parts, so the keys sent need not stay beside it.  The
+driver sees totals.  Hashes have 24 bits more than the number of tokens, at most 64.
 
 A null or empty text has the end token only.  Without training rows every
 word has the probability 1.  A row without an id is not held out.  Very long texts are scored whole.
@@ -63,18 +67,23 @@ START = np.uint64(0x9D4E5C6FB2A1E387)
 END = np.uint64(textkit.hash_of(b""))
 #: Customers of a dish whose numbers are drawn one by one from hashes; later ones by thinning.
 SINGLY = 4096
+#: Customers of a dish that sit down beside those of all other dishes with the same number.
+ABREAST = 64
 #: The query's burn-in ends when a sweep changes the tables by this share or less.
 SETTLE = 0.005
-#: So many tokens or customers are worked on at a time.
-SLICE = 1 << 18
+#: So many tokens or customers are worked on at a time: what they take fits a core's cache.
+SLICE = 1 << 15
+#: Where uniform() begins.
+SEED = np.uint64(0x243F6A8885A308D3)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def uniform(*parts: np.ndarray | int) -> np.ndarray:
     """Uniform numbers from hashes of the parts."""
-    h = np.uint64(0x243F6A8885A308D3)
+    h = SEED
     with np.errstate(over="ignore"):
         for p in parts:
-            h = textkit.mix(np.atleast_1d(np.asarray(p).astype(np.uint64)) + h * np.uint64(0x9E3779B97F4A7C15))
+            h = textkit.mix(np.atleast_1d(np.asarray(p).astype(np.uint64)) + h * _STEP)
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
@@ -99,34 +108,75 @@ def opened(draw: np.ndarray, found: np.ndarray, start: np.ndarray, tables: np.nd
 
 
 def seated(customers: np.ndarray, mass: np.ndarray, discount: float, key: np.ndarray, salt: int) -> np.ndarray:
-    """The tables of each dish after all its customers have sat down one after the other.
+    """The tables of each dish after all its customers have sat down one after the other."""
+    return seated_in(customers, [mass], discount, key, [salt])[0]
 
-    The first SINGLY customers of a dish have a random number each.  For later
-    ones, in blocks that double, the probability at the block's start bounds
+
+def seated_in(customers: np.ndarray, masses: list[np.ndarray], discount: float, key: np.ndarray, salts: list[int]) -> list[np.ndarray]:
+    """seated() for chains with the same customers and keys, each with masses and a salt of its own.
+
+    The first SINGLY customers of a dish have a random number each.  The first
+    ABREAST are seated for all dishes at once, one number after the other, those
+    up to SINGLY dish after dish.  For later ones, in blocks that double, the probability at the block's start bounds
     all others of the block (customers found less the tables' discount never
     fall), so candidates come from geometric gaps at that probability and are
     accepted by their own: the same law, at a cost of the tables opened.
     """
-    tables = np.minimum(customers, 1).astype(np.int64)
-    many = np.flatnonzero(customers > 1)
-    size = np.minimum(customers[many], SINGLY) - 1
+    out = [np.minimum(customers, 1).astype(np.int64) for _ in masses]
+
+    def drawn(place: np.ndarray) -> Iterator[np.ndarray]:
+        """uniform(place, salt) for each salt, its first step taken once."""
+        with np.errstate(over="ignore"):
+            first = textkit.mix(place + SEED * _STEP) * _STEP
+            for salt in salts:
+                yield (textkit.mix(first + np.uint64(salt)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+    upto = np.minimum(customers, ABREAST).astype(np.uint8)
+    many = np.flatnonzero(upto > 1)
+    for at in range(0, len(many), 2 * SLICE):
+        own = many[at : at + 2 * SLICE]
+        own = own[np.argsort(upto[own], kind="stable")[::-1]]
+        left = len(own) - np.cumsum(np.bincount(upto[own], minlength=ABREAST))  # with more customers than 0, 1, 2, ...
+        place, m, t = key[own], [x[own] for x in masses], [np.ones(len(own)) for _ in masses]
+        for found in range(1, ABREAST):
+            k = int(left[found])
+            if not k:
+                break
+            place = place[:k] + np.uint64(0xD1342543DE82EF95)
+            for x, tables, draw in zip(m, t, drawn(place), strict=True):
+                tables[:k] += draw * (x[:k] + found - discount * tables[:k]) < x[:k]
+        for tables, found_tables in zip(out, t, strict=True):
+            tables[own] = found_tables
+    many = np.flatnonzero(customers > ABREAST)
+    size = np.minimum(customers[many], SINGLY) - ABREAST
     upto = np.cumsum(size)
     at = 0
     while at < len(many):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
         own, count = many[at:to], size[at:to]
         dish = np.repeat(np.arange(len(own)), count)
-        found = np.arange(1, len(dish) + 1) - (np.cumsum(count) - count)[dish]
-        draw = uniform(key[own][dish] + found.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), salt)
-        # with as many tables as customers a table is as likely as can be: others never open one
-        some = np.flatnonzero(draw * (mass[own][dish] + found * (1 - discount)) < mass[own][dish])
-        if len(some):
-            dish, found, draw = dish[some], found[some], draw[some]
-            start = np.flatnonzero(np.append(True, dish[1:] != dish[:-1]))
-            which = own[dish[start]]
-            opens = opened(draw, found.astype(np.float64), start, tables[which], mass[which], discount)
-            tables[which] += np.add.reduceat(opens, start)
+        found = np.arange(ABREAST, ABREAST + len(dish)) - (np.cumsum(count) - count)[dish]
+        with np.errstate(over="ignore"):
+            draws = drawn(key[own][dish] + found.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        far = found * (1 - discount)
+        for tables, mass, draw in zip(out, masses, draws, strict=True):
+            m = mass[own][dish]
+            # with as many tables as customers a table is as likely as can be: others never open one
+            some = np.flatnonzero(draw * (m + far) < m)
+            if len(some):
+                own_dish = dish[some]
+                start = np.flatnonzero(np.append(True, own_dish[1:] != own_dish[:-1]))
+                which = own[own_dish[start]]
+                opens = opened(draw[some], found[some].astype(np.float64), start, tables[which], mass[which], discount)
+                tables[which] += np.add.reduceat(opens, start)
         at = to
+    for tables, mass, salt in zip(out, masses, salts, strict=True):
+        crowded(customers, mass, discount, key, salt, tables)
+    return out
+
+
+def crowded(customers: np.ndarray, mass: np.ndarray, discount: float, key: np.ndarray, salt: int, tables: np.ndarray) -> None:
+    """Seat the customers beyond the first SINGLY of each dish."""
     for i in np.flatnonzero(customers > SINGLY).tolist():
         rng = np.random.Generator(np.random.PCG64([int(key[i]), salt]))
         n, c, m, t = SINGLY, int(customers[i]), float(mass[i]), int(tables[i])
@@ -142,7 +192,6 @@ def seated(customers: np.ndarray, mass: np.ndarray, discount: float, key: np.nda
                 t += int(opened(rng.random(len(place)) * most, (n + place).astype(np.float64), np.array([0]), np.array([t]), np.array([m]), discount).sum())
             n += block
         tables[i] = t
-    return tables
 
 
 def discount_of(ones: float, twos: float) -> float:
@@ -169,8 +218,13 @@ def gaps_of(keys: np.ndarray) -> np.ndarray:
 
 def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys, ascending, and the place of each key among them."""
-    order = np.argsort(keys)
+    # the keys' upper bits with the places below them sort faster than places by keys; equal upper bits of different keys are rare
+    bits = np.uint64(len(keys).bit_length())
+    order = (np.sort((keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(keys)
+        ordered = keys[order]
     new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
     rank = np.empty(len(keys), np.int32)
     rank[order] = np.cumsum(new, dtype=np.int32) - 1
@@ -212,25 +266,34 @@ class Chunk:
         return cls(words, unpacked(row["token"], int(sizes.sum())).astype(np.int32), sizes, trained(row["ids"], held_out))
 
 
-def marked(places: np.ndarray, n: int) -> bytes:
-    """Places among n tokens, as compressed bits."""
-    bits = np.zeros(n, bool)
-    bits[places] = True
-    return zstandard.compress(np.packbits(bits).tobytes(), 3)
-
-
-def owned(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Context, word, customers and key of the pairs with several customers that a chunk owns, in the order of its tokens."""
-    words = np.cumsum(unpacked(row["words"], row["n_words"]), dtype=np.uint64)
-    sizes = np.array(row["sizes"], np.int64)
-    token = unpacked(row["token"], int(sizes.sum())).astype(np.int32)
-    bits = zstandard.decompress(row["places"], len(token) // 8 + 1)
-    at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(token)))
-    begins = np.zeros(len(token), bool)
-    begins[np.cumsum(sizes) - sizes] = True
-    context = np.where(begins[at], np.searchsorted(words, START), token[at - 1])
-    word = token[at]
-    return context, word, unpacked(row["own_counts"], len(at)).astype(np.int64), pair_key(words[context], words[word])
+class Head:
+    """A part's head row: its words, their counts over the corpus, the pairs with several customers that it owns, and its hot pairs."""
+
+    def __init__(self, row: dict) -> None:
+        self.words = np.cumsum(unpacked(row["words"], row["n_words"]), dtype=np.uint64)
+        self.n = unpacked(row["counts"], row["n_words"]).astype(np.int64)
+        self.live = np.flatnonzero(self.n > 1)
+        self.hot = np.cumsum(unpacked(row["hot"], row["n_hot"]), dtype=np.uint64)
+        self.least = unpacked(row["sums"], 2 * row["n_words"]).astype(np.int64).reshape(2, -1)
+        self.row = row
+
+    def owned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Context, word, customers and key of the pairs that the part owns."""
+        n = self.row["n_own"]
+        context, word = np.divmod(np.cumsum(unpacked(self.row["own"], n), dtype=np.uint64).astype(np.int64), max(1, len(self.words)))
+        keys = np.empty(n, np.uint64)
+        for at in range(0, n, SLICE):
+            keys[at : at + SLICE] = pair_key(self.words[context[at : at + SLICE]], self.words[word[at : at + SLICE]])
+        return context, word, unpacked(self.row["own_counts"], n).astype(np.int64), keys
+
+    def state(self, back: pa.Table, state: int, chains: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each chain, by the part's words: tables of the context, customers and tables in the corpus' restaurant."""
+        x = received(back, WHOLE, WORDS, len(self.live), 3 * chains if state else 2)
+        if not state:  # one table for each dish, in every chain
+            x = np.concatenate([np.repeat(x, chains, 0).reshape(2, chains, -1).transpose(1, 0, 2).reshape(2 * chains, -1), np.repeat(np.minimum(x[1:], 1), chains, 0)])
+        out = np.repeat(np.minimum(self.n, 1)[None], 3 * chains, 0)
+        out[:, self.live] = x
+        return [(out[2 * k], out[2 * k + 1], out[2 * chains + k]) for k in range(chains)]
 
 
 def trained(ids: list, held_out: Callable[[str], bool]) -> np.ndarray:
@@ -238,7 +301,9 @@ def trained(ids: list, held_out: Callable[[str], bool]) -> np.ndarray:
 
 
 _CHUNK = "part int, chunk int, ids array<{id}>, sizes array<int>, n_words int, words binary, token binary"
-_COUNTED = _CHUNK + ", counts binary, pair_counts binary, places binary, own_counts binary, sums binary, stats array<long>"
+#: A chunk's words are places among its part's, and its pair_counts those of its tokens.  A head has chunk WHOLE, and what follows these.
+_COUNTED = _CHUNK + ", pair_counts binary, counts binary, n_own int, own binary, own_counts binary, n_hot int, hot binary, sums binary, stats array<long>"
+_HEAD = ("part", "n_words", "words", "counts", "n_own", "own", "own_counts", "n_hot", "hot", "sums")
 #: A block of keys and their numbers, on its way to a bucket and back; chunk is WHOLE where all of a part share it.
 _BLOCK = "part int, chunk int, kind int, bucket int, n int, keys binary, values binary"
 WORDS, PAIRS = 0, 1
@@ -306,7 +371,8 @@ def blocks(rows: list[tuple]) -> pa.Table:
 def exchanged(sent: DataFrame, widths: dict[int, int], more: Callable[[int, np.ndarray, np.ndarray], list[np.ndarray]] | None = None, owners: bool = False) -> DataFrame:
     """Blocks come back with the sums of their keys' values over all chunks.
 
-    owners adds whether the block is the first with a value above 0; more
+    owners adds whether the block is the first with a value above 0, counted
+    from another block in each bucket, so that no part owns the most; more
     makes further values of a kind's keys and sums.  A bucket holds a
     bounded number of keys.  Its row with part -1 has the totals of all values.
     """
@@ -316,7 +382,7 @@ def exchanged(sent: DataFrame, widths: dict[int, int], more: Callable[[int, np.n
         kind = rows["kind"][0].as_py()
         wide = widths[kind]
         order = np.lexsort((rows["chunk"].to_numpy(), rows["part"].to_numpy()))
-        rows = rows.take(pa.array(order))
+        rows = rows.take(pa.array(np.roll(order, rows["bucket"][0].as_py() * 2654435761 % (1 << 32) * len(order) >> 32)))
         sizes = rows["n"].to_numpy()
         edge = np.concatenate([[0], np.cumsum(sizes)])
         keys, values = np.empty(edge[-1], np.uint64), np.empty((wide, edge[-1]), np.int64)
@@ -442,20 +508,6 @@ class Law:
         return (np.maximum(customers - self.root_discount * tables, 0) + (self.root_strength + self.root_discount * t) * self.base) / (self.root_strength + n)
 
 
-def state_of(back: pa.Table, n: int, state: int, chains: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chain, by the part's words: tables of the context, customers and tables in the corpus' restaurant."""
-    if state == 0:  # one table for each dish, in every chain
-        context, customers = received(back, WHOLE, WORDS, n, 2)
-        return [(context, customers, np.minimum(customers, 1))] * chains
-    x = received(back, WHOLE, WORDS, n, 3 * chains)
-    return [(x[2 * k], x[2 * k + 1], x[2 * chains + k]) for k in range(chains)]
-
-
-def at_places(state: list[tuple[np.ndarray, np.ndarray, np.ndarray]], place: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """A part's state for the words of one of its chunks."""
-    return [tuple(x[place] for x in chain) for chain in state]
-
-
 def scored(
     docs: DataFrame,
     held_out: Callable[[str], bool],
@@ -484,32 +536,46 @@ def scored(
     tokens = size["tokens"] or 0
     wire = Wire(min(64, 24 + max(1, tokens).bit_length()), (max(64, -(-(size["words"] or 0) // bucket_keys)), max(64, -(-tokens // bucket_keys))))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in each(batch):
-                c = Chunk.read(row, held_out)
-                for which, keys, n in ((WORDS, c.words, c.n_word), (PAIRS, c.keys, c.n_pair)):
-                    yield from blocks(list(wire.send(row["part"], row["chunk"], which, keys, [n]))).to_batches()
+    def ask(rows: pa.Table) -> pa.Table:
+        part, out = rows["part"][0].as_py(), []
+        words, places = words_of(rows)
+        n = np.zeros(len(words), np.int64)
+        for row, place in zip(each(rows), places, strict=True):
+            c = Chunk.read(row, held_out)
+            n[place] += c.n_word
+            out += wire.send(part, row["chunk"], PAIRS, c.keys, [c.n_pair])
+        return blocks([*out, *wire.send(part, WHOLE, WORDS, words, [n])])
 
     others = shuffles(spark)
     # written, so that what was sent is gone before the counts are dealt to the parts and lie beside the chunks
-    counts = written(exchanged(chunks.mapInArrow(ask, _BLOCK), {WORDS: 1, PAIRS: 1}, owners=True).where("part >= 0"), "lm-counts")
+    counts = written(exchanged(chunks.groupBy("part").applyInArrow(ask, _BLOCK), {WORDS: 1, PAIRS: 1}, owners=True).where("part >= 0"), "lm-counts")
     let_go(spark, shuffles(spark) - others)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in each(left):
+        part, out, owned, many = left["part"][0].as_py(), [], [], []
+        words, places = words_of(left)
+        n, mine = received(right, WHOLE, WORDS, len(words), 2)
+        word = (mine > 0) & (words != START)
+        sums, stats = np.zeros((2, len(words)), np.int64), np.zeros(7, np.int64)
+        stats[1:4] = word.sum(), (n[word] == 1).sum(), (n[word] == 2).sum()
+        for row, place in zip(each(left), places, strict=True):
             c = Chunk.read(row, held_out)
-            n, mine = received(right, row["chunk"], WORDS, len(c.words), 2)
             pairs, own = received(right, row["chunk"], PAIRS, len(c.keys), 2)
-            word = (mine > 0) & (c.words != START)
             first = own > 0
-            at = np.sort(c.place[first & (pairs > 1)])  # one customer has one table, always
-            tables = np.bincount(c.context[first], minlength=len(c.words))
-            customers = np.bincount(c.word[first], minlength=len(c.words))
-            stats = [int(c.n_word[c.words != START].sum()), int(word.sum()), int((n[word] == 1).sum()), int((n[word] == 2).sum()), int(first.sum()), int((pairs[first] == 1).sum()), int((pairs[first] == 2).sum())]
-            out.append(row | {"counts": packed(n), "pair_counts": packed(pairs), "places": marked(at, len(c.token)), "own_counts": packed(pairs[c.pair[at]]), "sums": packed(np.concatenate([tables, customers])), "stats": stats})
-        return pa.Table.from_pylist(out, pa.schema([*left.schema, *[(x, pa.binary()) for x in ("counts", "pair_counts", "places", "own_counts", "sums")], ("stats", pa.list_(pa.int64()))]))
+            sums[0, place] += np.bincount(c.context[first], minlength=len(place))
+            sums[1, place] += np.bincount(c.word[first], minlength=len(place))
+            at = np.flatnonzero(first & (pairs > 1))  # one customer has one table, always
+            owned.append((place[c.context[at]].astype(np.int64) * len(words) + place[c.word[at]], pairs[at]))
+            many = [np.union1d(many[0], c.keys[pairs > hot]) if many else c.keys[pairs > hot]]
+            stats[0] += c.n_word[c.words != START].sum()
+            stats[4:] += first.sum(), (pairs[first] == 1).sum(), (pairs[first] == 2).sum()
+            out.append(row | {"words": packed(gaps_of(place.astype(np.uint64))), "pair_counts": packed(pairs[c.pair])})
+        own, customers = (np.concatenate(x) for x in zip(*owned, strict=True))
+        order = np.argsort(own)
+        head = {"part": part, "chunk": WHOLE, "ids": [], "sizes": [], "n_words": len(words), "words": packed(gaps_of(words)), "counts": packed(n), "n_own": len(own), "own": packed(gaps_of(own[order].astype(np.uint64))), "own_counts": packed(customers[order])}
+        head |= {"n_hot": len(many[0]), "hot": packed(gaps_of(many[0])), "sums": packed(sums.ravel()), "stats": stats.tolist()}
+        more = {"pair_counts": pa.binary(), "counts": pa.binary(), "n_own": pa.int32(), "own": pa.binary(), "own_counts": pa.binary(), "n_hot": pa.int32(), "hot": pa.binary(), "sums": pa.binary(), "stats": pa.list_(pa.int64())}
+        return pa.Table.from_pylist([head, *out], pa.schema([*left.schema, *more.items()]))
 
     counted, forget_counted = bucketed(chunks.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(count, _COUNTED.format(id=kind)), "counted", parts)
     forget()
@@ -518,31 +584,20 @@ def scored(
     n_all, types, ones, twos, dishes, pair_ones, pair_twos = (x or 0 for x in counted.agg(*[F.sum(F.col("stats")[i]) for i in range(7)]).first())
     law = Law(discount_of(pair_ones, pair_twos), strength, discount_of(ones, twos), root_strength, 1.0 / (types + 1), [[(dishes, types)] * chains])
 
+    def head_of(rows: pa.Table) -> Head:
+        return Head(rows.to_pylist()[0])
+
     def least(rows: pa.Table) -> pa.Table:
-        words, places = words_of(rows)
-        sums = np.zeros((2, len(words)), np.int64)
-        for row, place in zip(each(rows), places, strict=True):
-            sums[:, place] += unpacked(row["sums"], 2 * len(place)).astype(np.int64).reshape(2, -1)
-        return blocks(list(wire.send(rows["part"][0].as_py(), WHOLE, WORDS, words, list(sums))))
+        head = head_of(rows)
+        return blocks(list(wire.send(rows["part"][0].as_py(), WHOLE, WORDS, head.words[head.live], list(head.least[:, head.live]))))
 
-    def seats(context: np.ndarray, word: np.ndarray, n: np.ndarray, keys: np.ndarray, state: list[tuple], sweep: int) -> Iterator[np.ndarray]:
+    def seats(context: np.ndarray, word: np.ndarray, n: np.ndarray, keys: np.ndarray, state: list[tuple], sweep: int) -> list[np.ndarray]:
         """For each chain the tables of pairs after a sweep."""
-        for k, (tables, customers, top) in enumerate(state):
-            mass = (law.strength + law.discount * tables[context]) * law.parent(sweep - 1, k, customers, top)[word]
-            yield seated(n, mass, law.discount, keys, 2 * (sweep * chains + k))
-
-    def table_counts(c: Chunk, row: dict, state: list[tuple], sweep: int, only: np.ndarray) -> list[np.ndarray]:
-        """For each chain the tables of the pairs of `only` after a sweep, 0 for the others."""
-        n = unpacked(row["pair_counts"], len(c.keys)).astype(np.int64)
-        at = np.flatnonzero(only)
-        out = []
-        for t in seats(c.context[at], c.word[at], n[at], c.keys[at], state, sweep):
-            found = np.zeros(len(n), np.int64)
-            found[at] = t
-            out.append(found)
-        return out
+        masses = [(law.strength + law.discount * tables[context]) * law.parent(sweep - 1, k, customers, top)[word] for k, (tables, customers, top) in enumerate(state)]
+        return seated_in(n, masses, law.discount, keys, [2 * (sweep * chains + k) for k in range(chains)])
 
-    states = [written(exchanged(counted.select("part", "chunk", "n_words", "words", "sums").groupBy("part").applyInArrow(least, _BLOCK), {WORDS: 2}), "lm-state")]
+    heads = counted.where(F.col("chunk") == WHOLE).select(*_HEAD)
+    states = [written(exchanged(heads.groupBy("part").applyInArrow(least, _BLOCK), {WORDS: 2}), "lm-state")]
     sweep, last = 0, False
     while not last:
         sweep += 1
@@ -550,25 +605,17 @@ def scored(
 
         def sit(left: pa.Table, right: pa.Table, *, sweep: int = sweep, last: bool = last) -> pa.Table:
             """Sums of tables by context and by word; of the last sweep the hot pairs' tables as well, for all who have them."""
-            out: list[tuple] = []
-            words, places = words_of(left)
-            state = state_of(right, len(words), sweep - 1, chains)
-            sums = np.zeros((2 * chains, len(words)), np.int64)
-            for row, place in zip(each(left), places, strict=True):
-                context, word, n, keys = owned(row)
-                tables = list(seats(context, word, n, keys, at_places(state, place), sweep))
-                least = unpacked(row["sums"], 2 * len(place)).astype(np.int64).reshape(2, -1)
-                for k, t in enumerate(tables):
-                    for i, where in enumerate((context, word)):
-                        sums[2 * k + i, place] += least[i] + np.bincount(where, t - 1, len(place)).astype(np.int64)
-                if last:
-                    c = Chunk.read(row, held_out)
-                    many = unpacked(row["pair_counts"], len(c.keys)) > hot
-                    own = np.searchsorted(c.keys, keys)
-                    found = np.zeros((chains, len(c.keys)), np.int64)
-                    found[:, own] = tables
-                    out += wire.send(row["part"], row["chunk"], PAIRS, c.keys[many], list(found[:, many]))
-            return blocks([*out, *wire.send(left["part"][0].as_py(), WHOLE, WORDS, words, list(sums))])
+            part, head = left["part"][0].as_py(), head_of(left)
+            context, word, n, keys = head.owned()
+            tables = seats(context, word, n, keys, head.state(right, sweep - 1, chains), sweep)
+            sums = [head.least[i] + np.bincount(where, t - 1, len(head.words)).astype(np.int64) for t in tables for i, where in enumerate((context, word))]
+            out = list(wire.send(part, WHOLE, WORDS, head.words[head.live], [x[head.live] for x in sums]))
+            if last:
+                many = n > hot
+                found = np.zeros((chains, len(head.hot)), np.int64)
+                found[:, np.searchsorted(head.hot, keys[many])] = [t[many] for t in tables]
+                out += wire.send(part, WHOLE, PAIRS, head.hot, list(found))
+            return blocks(out)
 
         def root(which: int, keys: np.ndarray, sums: list[np.ndarray], sweep: int = sweep) -> list[np.ndarray]:
             if which != WORDS:
@@ -578,45 +625,59 @@ def scored(
             return [seated(sums[2 * k + 1], np.full(len(keys), mass[k]), law.root_discount, full, 2 * (sweep * chains + k) + 1) for k in range(chains)]
 
         back = states[-1].where("part >= 0")
-        seating = counted.select("part", "chunk", "ids", "sizes", "n_words", "words", "token", "places", "own_counts", "sums", *(["pair_counts"] if last else []))
-        sent = seating.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(sit, _BLOCK)
+        sent = heads.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(sit, _BLOCK)
         states.append(written(exchanged(sent, {WORDS: 2 * chains, PAIRS: chains}, root), "lm-state"))
         if len(states) > 2:
             removed(states.pop(0))
         cleaned(spark)
         executors_cleaned(spark)
         found = totals(states[-1], WORDS) or [0] * (3 * chains)
-        law.root.append([(found[2 * k + 1], found[2 * chains + k]) for k in range(chains)])
+        law.root.append([(ones + found[2 * k + 1], ones + found[2 * chains + k]) for k in range(chains)])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        whole = pc.equal(left["chunk"], WHOLE)
+        head = head_of(left.filter(whole))
+        words, n, begin_word = head.words, head.n, np.searchsorted(head.words, START)
         after = right.filter(pc.equal(right["state"], 1))
-        words, places = words_of(left)
-        old = state_of(right.filter(pc.equal(right["state"], 0)), len(words), sweep - 1, chains)
-        new = state_of(after, len(words), sweep, chains)
-        for row, place in zip(each(left), places, strict=True):
-            c = Chunk.read(row, held_out)
-            n = unpacked(row["counts"], len(c.words)).astype(np.int64)
-            pairs = unpacked(row["pair_counts"], len(c.keys)).astype(np.int64)
-            many = pairs > hot
-            tables = table_counts(c, row, at_places(old, place), sweep, ~many)
-            own = received(after, row["chunk"], PAIRS, int(many.sum()), chains)
-            mean = np.zeros(len(pairs))
-            for k, (context, customers, top) in enumerate(at_places(new, place)):
-                tables[k][many] = own[k]
-                p = law.parent(sweep, k, customers, top)[c.word]
-                mean += (np.maximum(pairs - law.discount * tables[k], 0) + (law.strength + law.discount * context[c.context]) * p) / (law.strength + n[c.context])
-            begin = c.first[:-1]
-            known = np.add.reduceat((n > 0)[c.token], begin)
-            plain = np.add.reduceat(np.log10((n + 1) / (n_all + types + 1))[c.token], begin)
-            logs = np.add.reduceat(np.log10(mean / chains)[c.pair], begin)
+        old = head.state(right.filter(pc.equal(right["state"], 0)), sweep - 1, chains)
+        hot_tables = received(after, WHOLE, PAIRS, len(head.hot), chains)
+        plain_of, room, rest, parent = np.log10((n + 1) / (n_all + types + 1)), law.strength + n, [], []
+        for k, (context, customers, top) in enumerate(head.state(after, sweep, chains)):
+            rest.append((law.strength + law.discount * context) / room)
+            parent.append(law.parent(sweep, k, customers, top))
+        for row in each(left.filter(pc.invert(whole))):
+            sizes = np.array(row["sizes"], np.int64)
+            begin = np.cumsum(sizes) - sizes
+            place = np.cumsum(unpacked(row["words"], row["n_words"]), dtype=np.uint64).astype(np.int64)
+            token = place[unpacked(row["token"], int(sizes.sum())).astype(np.int64)]
+            context = np.roll(token, 1)
+            context[begin] = begin_word
+            pairs = unpacked(row["pair_counts"], len(token)).astype(np.int64)
+            at = np.flatnonzero(pairs > 1)
+            keys, which = ranked(pair_key(words[context[at]], words[token[at]]))
+            some = np.empty(len(keys), np.int64)
+            some[which] = at
+            many = pairs[some] > hot
+            few = some[~many]
+            found = np.zeros((chains, len(keys)), np.int64)
+            found[:, ~many] = seats(context[few], token[few], pairs[few], keys[~many], old, sweep)
+            found[:, many] = hot_tables[:, np.searchsorted(head.hot, keys[many])]
+            mean = np.zeros(len(token))
+            for k in range(chains):
+                tables = np.minimum(pairs, 1)
+                tables[at] = found[k][which]
+                mean += np.maximum(pairs - law.discount * tables, 0) / room[context] + rest[k][context] * parent[k][token]
+            known = np.add.reduceat((n > 0)[token], begin, dtype=np.int64)
+            plain = np.add.reduceat(plain_of[token], begin)
+            logs = np.add.reduceat(np.log10(mean / chains), begin)
             out.append(
                 pa.table(
                     {
                         "id": pa.array(row["ids"], left.schema.field("ids").type.value_type),
                         "held_out": pa.array(~trained(row["ids"], held_out)),
-                        "n_tokens": pa.array(np.diff(c.first)),
-                        "n_known": pa.array(known.astype(np.int64)),
+                        "n_tokens": pa.array(sizes),
+                        "n_known": pa.array(known),
                         "train_tokens": pa.array(np.full(len(begin), n_all, np.int64)),
                         "base_score": pa.array(plain),
                         "score": pa.array(logs),

@@ -163,3 +163,53 @@ def test_the_keys_sent_are_gone_before_counts_lie_beside_them(spark, monkeypatch
     monkeypatch.setattr(L, "bucketed", looked)
     assert L.scored(docs, held).count() == 30
     assert left == [set()]
+
+
+def test_words_that_occur_once_do_not_travel_in_sweeps(spark, monkeypatch):
+    rows = [(i, f"some words and word{i}") for i in range(40)]
+    sent, plain = [], L.written
+
+    def seen(df, name):
+        out = plain(df, name)
+        if name == "lm-state":
+            sent.append({r["n"] for r in out.where(f"part >= 0 and kind = {L.WORDS}").groupBy("part").agg(L.F.sum("n").alias("n")).collect()})
+        return out
+
+    monkeypatch.setattr(L, "written", seen)
+    want = brute({i: [*t.split(), ""] for i, t in rows}, 2)
+    got = {r["id"]: r["score"] for r in L.scored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(4), held, sweeps=2).collect()}
+    assert sent == [{5}] * 3  # some, words, and; with the start and the end of a text
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
+def test_no_part_owns_most_of_the_pairs(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(i, text) for i in range(8)], "doc_id long, text string").repartitionByRange(8, "doc_id")
+    own, plain = [], L.bucketed
+
+    def kept(df, name, parts):
+        out = plain(df, name, parts)
+        if name == "counted":
+            own.extend(r["n_own"] for r in out[0].where(f"chunk = {L.WHOLE}").collect())
+        return out
+
+    monkeypatch.setattr(L, "bucketed", kept)
+    assert L.scored(docs, lambda key: False).count() == 8
+    assert sum(own) == 3001 and len(own) == 8 and max(own) < 1500
+
+
+def test_chains_that_share_their_draws_are_seated_as_each_alone():
+    rng = np.random.default_rng(2)
+    for low, high in ((0, 5), (60, 70), (0, 6000)):
+        n, mass, key = rng.integers(low, high, 200), rng.random(200) * 5 + 0.01, rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        both = L.seated_in(n, [mass, 2 * mass], 0.6, key, [3, 5])
+        for got, m, salt in zip(both, (mass, 2 * mass), (3, 5), strict=True):
+            assert got.tolist() == L.seated(n, m, 0.6, key, salt).tolist()
+            few = np.flatnonzero(n <= 300)[:50]
+            assert got[few].tolist() == [one_by_one(int(n[i]), float(m[i]), 0.6, int(key[i]), salt) for i in few]
+
+
+def test_ranks_of_keys_that_agree_in_their_upper_bits():
+    for x in ([7, 5, 7, 6, 5], [1 << 40, 3, 1 << 40, 2], [], [9]):
+        keys, rank = L.ranked(np.array(x, np.uint64))
+        assert keys.tolist() == sorted(set(x)) and [int(keys[i]) for i in rank] == x
