@@ -8,8 +8,8 @@ place back to the source.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 import pyarrow as pa
@@ -22,21 +22,22 @@ _WORD = re.compile(r"\w+")
 
 
 class Source:
-    """A source text, collapsed, with the place of each of its pieces in both forms."""
+    """A source text, collapsed once a quote is not in it as it stands, with the places of its pieces once one is found so."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.begin, self.flat_begin, pieces, at = [], [], [], 0
-        for m in _PIECE.finditer(text):
-            self.begin.append(m.start())
-            self.flat_begin.append(at)
-            pieces.append(m.group())
-            at += len(m.group()) + 1
-        self.flat = " ".join(pieces)
+
+    @cached_property
+    def flat(self) -> str:
+        return " ".join(self.text.split())
+
+    @cached_property
+    def begin(self) -> list[int]:
+        return [m.start() for m in _PIECE.finditer(self.text)]
 
     def _place(self, at: int) -> int:
-        i = bisect_right(self.flat_begin, at) - 1
-        return self.begin[i] + at - self.flat_begin[i]
+        """Where the text has a character of a piece; the collapsed text has a space between two pieces and nowhere else."""
+        return self.begin[self.flat.count(" ", 0, at)] + at - (self.flat.rfind(" ", 0, at) + 1)
 
     def canonical(self, quote: str | None) -> str | None:
         """The source's span for a quote of at least 12 characters and two words; null where there is none."""

@@ -87,3 +87,18 @@ def test_key_terms():
     assert keyterms.key_terms(" ") == [] and len(keyterms.key_terms("Alphabet Betamax Gammaray " * 9, limit=3)) <= 3
     for term in got:
         assert sum(term.lower() in other.lower() for other in got) == 1
+
+
+def test_a_source_is_split_only_for_quotes_that_differ_from_it_in_white_space(monkeypatch):
+    text = " One  two\x1cthree four.　\nFive\tsix seven "
+    own = quotes.Source(text)
+    assert own.canonical("two three  four. Five") == "two\x1cthree four.　\nFive" and own.canonical("One two three") == "One  two\x1cthree"
+    assert own.canonical("Five six seven") == "Five\tsix seven" and own.canonical("seven Five six") is None
+
+    class Never:
+        def finditer(self, text):
+            raise AssertionError("the places of all pieces are not needed")
+
+    monkeypatch.setattr(quotes, "_PIECE", Never())
+    assert quotes.Source(text).canonical("Five\tsix seven") == "Five\tsix seven"
+    assert quotes.Source(text).canonical("nowhere in the text") is None
