@@ -32,8 +32,13 @@ one of the chunks that have it, its owner, and a bucket begins with another
 chunk when it names owners.  A part's head row has its words and the pairs it
 owns: sweeps read that row alone, not the texts.  They exchange words that
 occur twice or more in training, once for a part (any other has one customer
-at one table, if it has any, after every sweep), and in the last sweep the
-pairs with more than `hot` customers, once for a part too: the seats of all
+at one table, if it has any, after every sweep).  Such words travel as keys
+once, before the sweeps: a bucket keeps which of its words each part has, in
+a table bucketed by it.  Then a part sends numbers alone, of the words in the
+pairs with several customers that it owns: the tables beyond one a pair.  It
+gets the state of these back, and after the last sweep that of all its words,
+with the state before.  In the last sweep the pairs with more than `hot`
+customers travel too, once for a part: the seats of all
 others follow from numbers that every part knows.  What came back is written
 before it is dealt to the parts, so the keys sent need not stay beside it.  The
 driver sees totals.  Hashes have 24 bits more than the number of tokens, at most 64.
@@ -277,23 +282,39 @@ class Head:
         self.least = unpacked(row["sums"], 2 * row["n_words"]).astype(np.int64).reshape(2, -1)
         self.row = row
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Context and word of the pairs that the part owns."""
+        return np.divmod(np.cumsum(unpacked(self.row["own"], self.row["n_own"]), dtype=np.uint64).astype(np.int64), max(1, len(self.words)))
+
+    def used(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which of the live words are in these pairs."""
+        out = np.zeros(len(self.words), bool)
+        out[context] = out[word] = True
+        return out[self.live]
+
     def owned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Context, word, customers and key of the pairs that the part owns."""
         n = self.row["n_own"]
-        context, word = np.divmod(np.cumsum(unpacked(self.row["own"], n), dtype=np.uint64).astype(np.int64), max(1, len(self.words)))
+        context, word = self.places()
         keys = np.empty(n, np.uint64)
         for at in range(0, n, SLICE):
             keys[at : at + SLICE] = pair_key(self.words[context[at : at + SLICE]], self.words[word[at : at + SLICE]])
         return context, word, unpacked(self.row["own_counts"], n).astype(np.int64), keys
 
-    def state(self, back: pa.Table, state: int, chains: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each chain, by the part's words: tables of the context, customers and tables in the corpus' restaurant."""
-        x = received(back, WHOLE, WORDS, len(self.live), 3 * chains if state else 2)
-        if not state:  # one table for each dish, in every chain
-            x = np.concatenate([np.repeat(x, chains, 0).reshape(2, chains, -1).transpose(1, 0, 2).reshape(2 * chains, -1), np.repeat(np.minimum(x[1:], 1), chains, 0)])
-        out = np.repeat(np.minimum(self.n, 1)[None], 3 * chains, 0)
-        out[:, self.live] = x
-        return [(out[2 * k], out[2 * k + 1], out[2 * chains + k]) for k in range(chains)]
+    def state(self, back: pa.Table, chains: int, used: np.ndarray | None = None) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """For each chain, by the part's words: tables of the context, customers and tables in the corpus' restaurant.
+
+        used: which of the live words the state came back for.  Without it, it
+        came for all, and so did the state before, which follows.
+        """
+        own = self.live if used is None else self.live[used]
+        x = received(back, WHOLE, WORDS, len(self.live), 3 * chains * (2 if used is None else 1), used)
+        states = []
+        for at in range(0, len(x), 3 * chains):
+            out = np.repeat(np.minimum(self.n, 1)[None], 3 * chains, 0)
+            out[:, own] = x[at : at + 3 * chains]
+            states.append([(out[2 * k], out[2 * k + 1], out[2 * chains + k]) for k in range(chains)])
+        return states
 
 
 def trained(ids: list, held_out: Callable[[str], bool]) -> np.ndarray:
@@ -308,6 +329,8 @@ _HEAD = ("part", "n_words", "words", "counts", "n_own", "own", "own_counts", "n_
 _BLOCK = "part int, chunk int, kind int, bucket int, n int, keys binary, values binary"
 WORDS, PAIRS = 0, 1
 WHOLE = -1
+#: The part of a row with a bucket's totals, and of one with the state of its words.
+TOTALS, KEPT = -1, -2
 
 
 @dataclass
@@ -335,17 +358,17 @@ class Wire:
                 yield part, chunk, kind, i, b - a, packed(gaps_of(short[a:b])), packed(np.concatenate([v[a:b] for v in values]))
 
 
-def received(rows: pa.Table, chunk: int, kind: int, n: int, width: int) -> np.ndarray:
-    """The values that came back for a chunk's keys of a kind: an array of `width` by n."""
+def received(rows: pa.Table, chunk: int, kind: int, n: int, width: int, used: np.ndarray | None = None) -> np.ndarray:
+    """The values that came back for a chunk's n keys of a kind, or for those used: an array with `width` rows."""
     chunks, kinds = rows["chunk"].to_numpy(), rows["kind"].to_numpy()
     at = np.flatnonzero((chunks == chunk) & (kinds == kind))
     at = at[np.argsort(rows["bucket"].to_numpy()[at])]
-    sizes = rows["n"].to_numpy()[at].tolist()
+    edge = np.concatenate([[0], np.cumsum(rows["n"].to_numpy()[at], dtype=np.int64)])
+    if edge[-1] != n:
+        raise RuntimeError(f"{n} keys were sent and {edge[-1]} came back")
+    sizes = np.diff(edge if used is None else np.concatenate([[0], np.cumsum(used)])[edge]).tolist()
     parts = [unpacked(rows["values"][i].as_py(), width * k).reshape(width, k) for i, k in zip(at.tolist(), sizes, strict=True)]
-    out = np.concatenate([*parts, np.zeros((width, 0), np.uint64)], axis=1).astype(np.int64)
-    if out.shape[1] != n:
-        raise RuntimeError(f"{n} keys were sent and {out.shape[1]} came back")
-    return out
+    return np.concatenate([*parts, np.zeros((width, 0), np.uint64)], axis=1).astype(np.int64)
 
 
 def words_of(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -368,49 +391,112 @@ def blocks(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _BLOCK.split(", ")])
 
 
-def exchanged(sent: DataFrame, widths: dict[int, int], more: Callable[[int, np.ndarray, np.ndarray], list[np.ndarray]] | None = None, owners: bool = False) -> DataFrame:
+class Sums:
+    """Blocks of a bucket with a number of values a key: the different keys, the sums of their values, and which of these each block has."""
+
+    def __init__(self, rows: pa.Table, wide: int) -> None:
+        order = np.lexsort((rows["chunk"].to_numpy(), rows["part"].to_numpy()))
+        rows = rows.take(pa.array(np.roll(order, rows["bucket"][0].as_py() * 2654435761 % (1 << 32) * len(order) >> 32)))
+        self.parts, self.chunks, self.sizes = (rows[c].to_pylist() for c in ("part", "chunk", "n"))
+        self.kind, self.bucket = rows["kind"][0].as_py(), rows["bucket"][0].as_py()
+        self.edge = np.concatenate([[0], np.cumsum(self.sizes)])
+        keys, self.values = np.empty(self.edge[-1], np.uint64), np.empty((wide, self.edge[-1]), np.int64)
+        for i, (a, b) in enumerate(zip(self.edge[:-1].tolist(), self.edge[1:].tolist(), strict=True)):
+            keys[a:b] = np.cumsum(unpacked(rows["keys"][i].as_py(), b - a), dtype=np.uint64)
+            self.values[:, a:b] = unpacked(rows["values"][i].as_py(), wide * (b - a)).reshape(wide, -1)
+        self.order = np.argsort(keys, kind="stable")
+        new = np.append(True, keys[self.order[1:]] != keys[self.order[:-1]])
+        self.start = np.flatnonzero(new)
+        self.group = np.empty(len(keys), np.int64)
+        self.group[self.order] = np.cumsum(new) - 1
+        self.keys = keys[self.order[self.start]]
+        self.sums = [np.add.reduceat(v[self.order], self.start) for v in self.values]
+
+    def rows(self, back: list[np.ndarray], keys: np.ndarray | None = None) -> list[tuple]:
+        """The blocks with these values, and keys, instead of theirs."""
+        out = []
+        for i, (a, b) in enumerate(zip(self.edge[:-1].tolist(), self.edge[1:].tolist(), strict=True)):
+            out.append((self.parts[i], self.chunks[i], self.kind, self.bucket, b - a, None if keys is None else packed(gaps_of(keys[a:b])), packed(np.concatenate([x[a:b] for x in back]))))
+        return out
+
+
+def exchanged(sent: DataFrame, widths: dict[int, int], owners: bool = False) -> DataFrame:
     """Blocks come back with the sums of their keys' values over all chunks.
 
     owners adds whether the block is the first with a value above 0, counted
-    from another block in each bucket, so that no part owns the most; more
-    makes further values of a kind's keys and sums.  A bucket holds a
-    bounded number of keys.  Its row with part -1 has the totals of all values.
+    from another block in each bucket, so that no part owns the most.  A
+    bucket holds a bounded number of keys.
     """
 
     def merge(rows: pa.Table) -> pa.Table:
         textkit.lean()
-        kind = rows["kind"][0].as_py()
-        wide = widths[kind]
-        order = np.lexsort((rows["chunk"].to_numpy(), rows["part"].to_numpy()))
-        rows = rows.take(pa.array(np.roll(order, rows["bucket"][0].as_py() * 2654435761 % (1 << 32) * len(order) >> 32)))
-        sizes = rows["n"].to_numpy()
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        keys, values = np.empty(edge[-1], np.uint64), np.empty((wide, edge[-1]), np.int64)
-        for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-            keys[a:b] = np.cumsum(unpacked(rows["keys"][i].as_py(), b - a), dtype=np.uint64)
-            values[:, a:b] = unpacked(rows["values"][i].as_py(), wide * (b - a)).reshape(wide, -1)
-        order = np.argsort(keys, kind="stable")
-        new = np.append(True, keys[order[1:]] != keys[order[:-1]])
-        start = np.flatnonzero(new)
-        group = np.empty(len(keys), np.int64)
-        group[order] = np.cumsum(new) - 1
-        sums = [np.add.reduceat(v[order], start) for v in values]
-        out = [*sums, *(more(kind, keys[order[start]], sums) if more else [])]
-        back = [x[group] for x in out]
+        own = Sums(rows, widths[rows["kind"][0].as_py()])
+        back = [x[own.group] for x in own.sums]
         if owners:
-            first = np.minimum.reduceat(np.where(values[0] > 0, np.arange(len(keys)), len(keys))[order], start)
-            back.append((first[group] == np.arange(len(keys))).astype(np.int64))
-        parts, chunks, buckets = (rows[c].to_pylist() for c in ("part", "chunk", "bucket"))
-        result = [(parts[i], chunks[i], kind, buckets[i], int(sizes[i]), None, packed(np.concatenate([x[edge[i] : edge[i + 1]] for x in back]))) for i in range(len(sizes))]
-        return blocks([*result, (-1, -1, kind, buckets[0], len(out), None, packed(np.array([int(x.sum()) for x in out])))])
+            places = np.arange(len(own.group))
+            first = np.minimum.reduceat(np.where(own.values[0] > 0, places, len(places))[own.order], own.start)
+            back.append((first[own.group] == places).astype(np.int64))
+        return blocks(own.rows(back))
+
+    return sent.groupBy("kind", "bucket").applyInArrow(merge, _BLOCK)
+
+
+def indexed(sent: DataFrame) -> DataFrame:
+    """For blocks of words with two values and a flag: a row with each bucket's words and the sums of both values.
+
+    A block comes back with the places of its words among the bucket's, as
+    keys, and its flags.  So later blocks of the same words need no keys.
+    """
+
+    def merge(rows: pa.Table) -> pa.Table:
+        textkit.lean()
+        own = Sums(rows, 3)
+        whole = (KEPT, WHOLE, own.kind, own.bucket, len(own.keys), packed(gaps_of(own.keys)), packed(np.concatenate(own.sums[:2])))
+        return blocks([whole, *own.rows([own.values[2]], own.group.astype(np.uint64))])
 
     return sent.groupBy("kind", "bucket").applyInArrow(merge, _BLOCK)
 
 
+def swept(sent: pa.Table, index: pa.Table, chains: int, root: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], last: bool) -> pa.Table:
+    """The state of a bucket's words, to each part for those it uses; of the last sweep for all that it has, with the state before.
+
+    sent has what each part adds to the first sums of the words it uses, and
+    for the last sweep the state before.
+    """
+    textkit.lean()
+    bucket, blocks_of, base = index["bucket"][0].as_py(), {}, None
+    for part, n, keys, values in zip(*(index[c].to_pylist() for c in ("part", "n", "keys", "values")), strict=True):
+        if part == KEPT:
+            base = np.cumsum(unpacked(keys, n), dtype=np.uint64), unpacked(values, 2 * n).astype(np.int64).reshape(2, n)
+        else:
+            blocks_of[part] = n, keys, values
+
+    def places(part: int, used: bool) -> np.ndarray:
+        n, keys, flags = blocks_of[part]
+        out = np.cumsum(unpacked(keys, n), dtype=np.uint64).astype(np.int64)
+        return out[unpacked(flags, n) > 0] if used else out
+
+    words, first = base
+    sums, before = np.tile(first, (chains, 1)), []
+    for part, values in zip(*(sent[c].to_pylist() for c in ("part", "values")), strict=True):
+        if part == KEPT:
+            before = list(unpacked(values, 3 * chains * len(words)).astype(np.int64).reshape(3 * chains, -1))
+        else:
+            at = places(part, True)
+            sums[:, at] += unpacked(values, 2 * chains * len(at)).astype(np.int64).reshape(2 * chains, -1)
+    state = np.stack([*sums, *root(words, sums)])
+    told = np.stack([*state, *before]) if last else state
+    out = [(part, WHOLE, WORDS, bucket, n, None, packed(told[:, places(part, not last)].ravel())) for part, (n, _, _) in sorted(blocks_of.items())]
+    out.append((TOTALS, WHOLE, WORDS, bucket, len(state), None, packed(state.sum(axis=1))))
+    if not last:
+        out.append((KEPT, WHOLE, WORDS, bucket, len(words), None, packed(state.ravel())))
+    return blocks(out)
+
+
 def totals(back: DataFrame, kind: int) -> list[int]:
-    """Sums over all keys of a kind, of each value that exchanged() made."""
+    """Sums over all keys of a kind, of each value in the state."""
     out: list[int] = []
-    for r in back.where((F.col("part") == -1) & (F.col("kind") == kind)).select("n", "values").toLocalIterator():  # one row a bucket
+    for r in back.where((F.col("part") == TOTALS) & (F.col("kind") == kind)).select("n", "values").toLocalIterator():  # one row a bucket
         own = unpacked(bytes(r["values"]), r["n"]).tolist()
         out = [a + b for a, b in zip(out, own, strict=True)] if out else own
     return out
@@ -418,9 +504,14 @@ def totals(back: DataFrame, kind: int) -> list[int]:
 
 def bucketed(df: DataFrame, name: str, parts: int) -> tuple[DataFrame, Callable[[], None]]:
     """df as a table in the shared folder whose rows are found by part without a shuffle, and what removes it."""
+    return bucketed_by(df, name, parts, "part")
+
+
+def bucketed_by(df: DataFrame, name: str, parts: int, *by: str) -> tuple[DataFrame, Callable[[], None]]:
+    """bucketed() by these columns."""
     spark = df.sparkSession
     table, path = f"lm_{name}_{uuid.uuid4().hex}", fresh_path(spark, f"lm-{name}")
-    df.write.bucketBy(parts, "part").option("path", path).option("compression", "uncompressed").saveAsTable(table)
+    df.write.bucketBy(parts, *by).option("path", path).option("compression", "uncompressed").saveAsTable(table)
 
     def remove() -> None:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -548,7 +639,7 @@ def scored(
 
     others = shuffles(spark)
     # written, so that what was sent is gone before the counts are dealt to the parts and lie beside the chunks
-    counts = written(exchanged(chunks.groupBy("part").applyInArrow(ask, _BLOCK), {WORDS: 1, PAIRS: 1}, owners=True).where("part >= 0"), "lm-counts")
+    counts = written(exchanged(chunks.groupBy("part").applyInArrow(ask, _BLOCK), {WORDS: 1, PAIRS: 1}, owners=True), "lm-counts")
     let_go(spark, shuffles(spark) - others)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -589,7 +680,12 @@ def scored(
 
     def least(rows: pa.Table) -> pa.Table:
         head = head_of(rows)
-        return blocks(list(wire.send(rows["part"][0].as_py(), WHOLE, WORDS, head.words[head.live], list(head.least[:, head.live]))))
+        used = head.used(*head.places()).astype(np.int64)
+        return blocks(list(wire.send(rows["part"][0].as_py(), WHOLE, WORDS, head.words[head.live], [*head.least[:, head.live], used])))
+
+    def begun(index: pa.Table) -> pa.Table:
+        """One table for each dish, in every chain."""
+        return swept(blocks([]), index, chains, lambda _, sums: list(np.minimum(sums[1::2], 1)), False)
 
     def seats(context: np.ndarray, word: np.ndarray, n: np.ndarray, keys: np.ndarray, state: list[tuple], sweep: int) -> list[np.ndarray]:
         """For each chain the tables of pairs after a sweep."""
@@ -597,19 +693,25 @@ def scored(
         return seated_in(n, masses, law.discount, keys, [2 * (sweep * chains + k) for k in range(chains)])
 
     heads = counted.where(F.col("chunk") == WHOLE).select(*_HEAD)
-    states = [written(exchanged(heads.groupBy("part").applyInArrow(least, _BLOCK), {WORDS: 2}), "lm-state")]
+    others = shuffles(spark)
+    index, forget_index = bucketed_by(indexed(heads.groupBy("part").applyInArrow(least, _BLOCK)), "index", parts, "kind", "bucket")
+    let_go(spark, shuffles(spark) - others)
+    state = written(index.groupBy("kind", "bucket").applyInArrow(begun, _BLOCK), "lm-state")
     sweep, last = 0, False
     while not last:
         sweep += 1
         last = sweep >= sweeps and (settle is None or sweep > 1 and law.settled(settle))
 
         def sit(left: pa.Table, right: pa.Table, *, sweep: int = sweep, last: bool = last) -> pa.Table:
-            """Sums of tables by context and by word; of the last sweep the hot pairs' tables as well, for all who have them."""
+            """Tables beyond one a pair, by context and by word; of the last sweep the hot pairs' tables as well, for all who have them."""
             part, head = left["part"][0].as_py(), head_of(left)
             context, word, n, keys = head.owned()
-            tables = seats(context, word, n, keys, head.state(right, sweep - 1, chains), sweep)
-            sums = [head.least[i] + np.bincount(where, t - 1, len(head.words)).astype(np.int64) for t in tables for i, where in enumerate((context, word))]
-            out = list(wire.send(part, WHOLE, WORDS, head.words[head.live], [x[head.live] for x in sums]))
+            used = head.used(context, word)
+            tables = seats(context, word, n, keys, head.state(right, chains, used)[0], sweep)
+            more = np.stack([np.bincount(where, t - 1, len(head.words)).astype(np.int64)[head.live][used] for t in tables for where in (context, word)])
+            edge = wire.borders(head.words[head.live], WORDS)
+            at = np.concatenate([[0], np.cumsum(used)])[edge]
+            out = [(part, WHOLE, WORDS, i, int(edge[i + 1] - edge[i]), None, packed(more[:, at[i] : at[i + 1]].ravel())) for i in np.flatnonzero(np.diff(at)).tolist()]
             if last:
                 many = n > hot
                 found = np.zeros((chains, len(head.hot)), np.int64)
@@ -617,33 +719,37 @@ def scored(
                 out += wire.send(part, WHOLE, PAIRS, head.hot, list(found))
             return blocks(out)
 
-        def root(which: int, keys: np.ndarray, sums: list[np.ndarray], sweep: int = sweep) -> list[np.ndarray]:
-            if which != WORDS:
-                return []
-            full = keys << np.uint64(64 - wire.bits)
+        def root(words: np.ndarray, sums: np.ndarray, *, sweep: int = sweep) -> list[np.ndarray]:
+            full = words << np.uint64(64 - wire.bits)
             mass = [(law.root_strength + law.root_discount * t) * law.base for _, t in law.root[sweep - 1]]
-            return [seated(sums[2 * k + 1], np.full(len(keys), mass[k]), law.root_discount, full, 2 * (sweep * chains + k) + 1) for k in range(chains)]
-
-        back = states[-1].where("part >= 0")
-        sent = heads.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(sit, _BLOCK)
-        states.append(written(exchanged(sent, {WORDS: 2 * chains, PAIRS: chains}, root), "lm-state"))
-        if len(states) > 2:
-            removed(states.pop(0))
+            return [seated(sums[2 * k + 1], np.full(len(words), mass[k]), law.root_discount, full, 2 * (sweep * chains + k) + 1) for k in range(chains)]
+
+        def merge(sent: pa.Table, index: pa.Table, *, root: Callable = root, last: bool = last) -> pa.Table:
+            if index.num_rows:
+                return swept(sent, index, chains, root, last)
+            own = Sums(sent, chains)  # hot pairs
+            return blocks(own.rows([x[own.group] for x in own.sums]))
+
+        sent = heads.groupBy("part").cogroup(state.where("part >= 0").groupBy("part")).applyInArrow(sit, _BLOCK)
+        if last:
+            sent = sent.unionByName(state.where(F.col("part") == KEPT))
+        before, state = state, written(sent.groupBy("kind", "bucket").cogroup(index.groupBy("kind", "bucket")).applyInArrow(merge, _BLOCK), "lm-state")
+        removed(before)
         cleaned(spark)
         executors_cleaned(spark)
-        found = totals(states[-1], WORDS) or [0] * (3 * chains)
+        found = totals(state, WORDS) or [0] * (3 * chains)
         law.root.append([(ones + found[2 * k + 1], ones + found[2 * chains + k]) for k in range(chains)])
+    forget_index()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         whole = pc.equal(left["chunk"], WHOLE)
         head = head_of(left.filter(whole))
         words, n, begin_word = head.words, head.n, np.searchsorted(head.words, START)
-        after = right.filter(pc.equal(right["state"], 1))
-        old = head.state(right.filter(pc.equal(right["state"], 0)), sweep - 1, chains)
-        hot_tables = received(after, WHOLE, PAIRS, len(head.hot), chains)
+        new, old = head.state(right, chains)
+        hot_tables = received(right, WHOLE, PAIRS, len(head.hot), chains)
         plain_of, room, rest, parent = np.log10((n + 1) / (n_all + types + 1)), law.strength + n, [], []
-        for k, (context, customers, top) in enumerate(head.state(after, sweep, chains)):
+        for k, (context, customers, top) in enumerate(new):
             rest.append((law.strength + law.discount * context) / room)
             parent.append(law.parent(sweep, k, customers, top))
         for row in each(left.filter(pc.invert(whole))):
@@ -687,9 +793,9 @@ def scored(
         return pa.concat_tables(out)
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    both = states[-2].withColumn("state", F.lit(0)).unionByName(states[-1].withColumn("state", F.lit(1))).where("part >= 0")
-    result = written(counted.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(score, schema), "lm-scores")
+    result = written(counted.groupBy("part").cogroup(state.where("part >= 0").groupBy("part")).applyInArrow(score, schema), "lm-scores")
     forget_counted()
+    removed(state)
     return result
 
 

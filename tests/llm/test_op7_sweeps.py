@@ -213,3 +213,36 @@ def test_ranks_of_keys_that_agree_in_their_upper_bits():
     for x in ([7, 5, 7, 6, 5], [1 << 40, 3, 1 << 40, 2], [], [9]):
         keys, rank = L.ranked(np.array(x, np.uint64))
         assert keys.tolist() == sorted(set(x)) and [int(keys[i]) for i in rank] == x
+
+
+def test_sweeps_tell_a_part_of_words_in_its_own_pairs_alone(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.permutation(600)[:200])) for i in range(30)]  # words occur often, pairs hardly ever twice
+    sent, plain = [], L.written
+
+    def seen(df, name):
+        out = plain(df, name)
+        if name == "lm-state":
+            sent.append(out.where(f"part >= 0 and kind = {L.WORDS}").selectExpr("sum(n)", "sum(length(values)) AS size").first())
+        return out
+
+    monkeypatch.setattr(L, "written", seen)
+    want = brute({i: [*t.split(), ""] for i, t in rows}, 3)
+    got = {r["id"]: r["score"] for r in L.scored(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id"), held, sweeps=3).collect()}
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+    assert len({r[0] for r in sent}) == 1 and len(sent) == 4
+    assert all(2 * r["size"] < sent[-1]["size"] for r in sent[:-1])
+
+
+def test_later_blocks_of_a_bucket_need_no_keys(spark):
+    wire = L.Wire(64, (1, 1))
+    words = {0: [5, 7, 11], 3: [7, 11, 13]}
+    used = {0: [1, 0, 1], 3: [0, 1, 1]}
+    first = [r for p, w in words.items() for r in wire.send(p, L.WHOLE, L.WORDS, np.array(w, np.uint64), [np.full(3, 2), np.full(3, 3), np.array(used[p])])]
+    index = L.indexed(spark.createDataFrame(L.blocks(first).to_pandas(), L._BLOCK)).toArrow()
+    more = {0: [[1, 0], [4, 1]], 3: [[2, 0], [0, 5]]}  # by context and by word, of the words used
+    sent = L.blocks([(p, L.WHOLE, L.WORDS, 0, 3, None, L.packed(np.array(m).ravel())) for p, m in more.items()])
+    back = L.swept(sent, index, 1, lambda keys, sums: [keys.astype(np.int64)], False)
+    by = lambda part, n: L.unpacked(next(r["values"] for r in back.to_pylist() if r["part"] == part), 3 * n).reshape(3, n).tolist()
+    assert by(0, 2) == [[2 + 1, 4 + 0 + 2], [3 + 4, 6 + 1 + 0], [5, 11]] and by(3, 2) == [[6, 2], [7, 3 + 5], [11, 13]]
+    assert by(L.KEPT, 4) == [[3, 4, 6, 2], [7, 6, 7, 8], [5, 7, 11, 13]]
