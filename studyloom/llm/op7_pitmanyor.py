@@ -41,7 +41,8 @@ with the state before.  In the last sweep the pairs with more than `hot`
 customers travel too, once for a part: the seats of all
 others follow from numbers that every part knows.  What came back is written
 before it is dealt to the parts, so the keys sent need not stay beside it.  The
-driver sees totals.  Hashes have 24 bits more than the number of tokens, at most 64.
+driver sees totals.  Hashes have 24 bits more than the number of tokens, at most 64;
+those of hot pairs 24 more than the number of these.
 
 A null or empty text has the end token only.  Without training rows every
 word has the probability 1.  A row without an id is not held out.  Very long texts are scored whole.
@@ -641,13 +642,17 @@ def scored(
     # written, so that what was sent is gone before the counts are dealt to the parts and lie beside the chunks
     counts = written(exchanged(chunks.groupBy("part").applyInArrow(ask, _BLOCK), {WORDS: 1, PAIRS: 1}, owners=True), "lm-counts")
     let_go(spark, shuffles(spark) - others)
+    # dealt before the chunks are written anew, so that neither the counts' shuffle nor their first copy lies beside these
+    dealt, forget_dealt = bucketed(counts.repartition(parts, "part"), "dealt", parts)
+    removed(counts)
+    let_go(spark, shuffles(spark) - others)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         part, out, owned, many = left["part"][0].as_py(), [], [], []
         words, places = words_of(left)
         n, mine = received(right, WHOLE, WORDS, len(words), 2)
         word = (mine > 0) & (words != START)
-        sums, stats = np.zeros((2, len(words)), np.int64), np.zeros(7, np.int64)
+        sums, stats = np.zeros((2, len(words)), np.int64), np.zeros(8, np.int64)
         stats[1:4] = word.sum(), (n[word] == 1).sum(), (n[word] == 2).sum()
         for row, place in zip(each(left), places, strict=True):
             c = Chunk.read(row, held_out)
@@ -659,7 +664,7 @@ def scored(
             owned.append((place[c.context[at]].astype(np.int64) * len(words) + place[c.word[at]], pairs[at]))
             many = [np.union1d(many[0], c.keys[pairs > hot]) if many else c.keys[pairs > hot]]
             stats[0] += c.n_word[c.words != START].sum()
-            stats[4:] += first.sum(), (pairs[first] == 1).sum(), (pairs[first] == 2).sum()
+            stats[4:] += first.sum(), (pairs[first] == 1).sum(), (pairs[first] == 2).sum(), (pairs[first] > hot).sum()
             out.append(row | {"words": packed(gaps_of(place.astype(np.uint64))), "pair_counts": packed(pairs[c.pair])})
         own, customers = (np.concatenate(x) for x in zip(*owned, strict=True))
         order = np.argsort(own)
@@ -668,11 +673,12 @@ def scored(
         more = {"pair_counts": pa.binary(), "counts": pa.binary(), "n_own": pa.int32(), "own": pa.binary(), "own_counts": pa.binary(), "n_hot": pa.int32(), "hot": pa.binary(), "sums": pa.binary(), "stats": pa.list_(pa.int64())}
         return pa.Table.from_pylist([head, *out], pa.schema([*left.schema, *more.items()]))
 
-    counted, forget_counted = bucketed(chunks.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(count, _COUNTED.format(id=kind)), "counted", parts)
+    counted, forget_counted = bucketed(chunks.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(count, _COUNTED.format(id=kind)), "counted", parts)
     forget()
-    removed(counts)
+    forget_dealt()
     cleaned(spark)
-    n_all, types, ones, twos, dishes, pair_ones, pair_twos = (x or 0 for x in counted.agg(*[F.sum(F.col("stats")[i]) for i in range(7)]).first())
+    n_all, types, ones, twos, dishes, pair_ones, pair_twos, crowds = (x or 0 for x in counted.agg(*[F.sum(F.col("stats")[i]) for i in range(8)]).first())
+    hot_wire = Wire(min(wire.bits, 24 + max(1, crowds).bit_length()), wire.buckets)  # hot pairs are few: fewer bits tell them apart as well
     law = Law(discount_of(pair_ones, pair_twos), strength, discount_of(ones, twos), root_strength, 1.0 / (types + 1), [[(dishes, types)] * chains])
 
     def head_of(rows: pa.Table) -> Head:
@@ -716,7 +722,7 @@ def scored(
                 many = n > hot
                 found = np.zeros((chains, len(head.hot)), np.int64)
                 found[:, np.searchsorted(head.hot, keys[many])] = [t[many] for t in tables]
-                out += wire.send(part, WHOLE, PAIRS, head.hot, list(found))
+                out += hot_wire.send(part, WHOLE, PAIRS, head.hot, list(found))
             return blocks(out)
 
         def root(words: np.ndarray, sums: np.ndarray, *, sweep: int = sweep) -> list[np.ndarray]:

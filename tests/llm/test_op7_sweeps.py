@@ -246,3 +246,17 @@ def test_later_blocks_of_a_bucket_need_no_keys(spark):
     by = lambda part, n: L.unpacked(next(r["values"] for r in back.to_pylist() if r["part"] == part), 3 * n).reshape(3, n).tolist()
     assert by(0, 2) == [[2 + 1, 4 + 0 + 2], [3 + 4, 6 + 1 + 0], [5, 11]] and by(3, 2) == [[6, 2], [7, 3 + 5], [11, 13]]
     assert by(L.KEPT, 4) == [[3, 4, 6, 2], [7, 6, 7, 8], [5, 7, 11, 13]]
+
+
+def test_counts_are_dealt_before_the_chunks_are_written_anew(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i} and some words") for i in range(30)], "doc_id long, text string")
+    plans, plain = [], L.bucketed
+
+    def looked(df, name, parts):
+        if name == "counted":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, parts)
+
+    monkeypatch.setattr(L, "bucketed", looked)
+    L.scored(docs, held)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
