@@ -391,7 +391,7 @@ def answer_prefix(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT doc_id, CASE WHEN length(regexp_replace(line, '\\s+', ' ', 'g')) >= 12 AND len(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+')) >= 2 THEN line END AS quote FROM (SELECT doc_id, ({lines_sql('text')})[1] AS line FROM documents)""")
 def canonical_quote(spark: SparkSession, d: str) -> DataFrame:
     """The first line with doubled spaces, found again in the source as it stands there."""
-    line = F.element_at(lines(F.col("text")), 1)
+    line = F.get(lines(F.col("text")), F.lit(0))  # null where a text has no line
     return table(spark, d, "documents").select("doc_id", quotes.canonical_quote(F.col("text"), F.replace(line, F.lit(" "), F.lit("  "))).alias("quote"))
 
 

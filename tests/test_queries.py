@@ -47,3 +47,14 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(QUERIES)
+
+
+def test_a_text_without_a_line_has_no_quote(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["A fine  line of words.\nmore", None, "", "   ", "\n \n", "\n  A fine line of words.  \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r["doc_id"]: r["quote"] for r in QUERIES["canonical_quote"](spark, str(tmp_path)).collect()}
+    assert got == dict(c.execute(SQL["canonical_quote"]).fetchall())
+    assert [got[i] for i in range(6)] == ["A fine  line of words.", None, None, None, None, "A fine line of words."]
